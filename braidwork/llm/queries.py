@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import pii, toxicity
+from braidwork.llm import fingerprint, pii, toxicity
 from braidwork.llm.common import documents
 
 
@@ -18,5 +18,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_toxicity": op6_toxicity, "op7_pii": op7_pii}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {}
