@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import fingerprint, license, mixing, packing, pii, toxicity
+from braidwork.llm import fingerprint, license, mixing, near, packing, pii, toxicity
 from braidwork.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.report(documents(spark, sf_dir))
+
+
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.report(documents(spark, sf_dir))
 
@@ -34,5 +38,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op9_license": op9_license, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_near": op8_near, "op9_license": op9_license, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {}
