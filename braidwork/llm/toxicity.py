@@ -251,16 +251,23 @@ def _calibrate(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """Fits on labelled documents whose crc32(doc_id) mod 4 is not 2, at most `max_rows` of them in the order of a hash
     and `max_chars` code points; of a longer text than a hundredth of that, nothing is read."""
-    known = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 100)).join(known, "doc_id")
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows).select("text", "toxic")
-    texts, ys, size = [], [], 0
-    for r in sample.toLocalIterator():
-        size += len(r.text)
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars // 100))
+    # Both broadcasts hold max_rows rows at most, so no text is shuffled but the sample's.
+    lengths = rows.select("doc_id", F.length("text").alias("n")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("toxic").alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    chosen, size = [], 0
+    for r in sorted(lengths.collect(), key=lambda r: (r.h, r.doc_id)):
+        size += r.n
         if size > max_chars:
             break
-        texts.append(r.text)
-        ys.append(int(r.toxic > 0))
+        chosen.append((r.doc_id, int(r.toxic > 0)))
+    if not chosen:
+        return fit([], np.zeros(0))
+    sample = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
+    found = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    found.sort(key=lambda r: r.doc_id)
+    texts, ys = [r.text for r in found], [r.toxic for r in found]
     return fit_calibrated(texts, np.array(ys))
 
 
