@@ -63,8 +63,8 @@ def fingerprints(df: DataFrame, keys: list[str], text: str, carry: list[str]) ->
     # Before the explode, not in its select: what stands there is computed for each row that comes out.
     parts = parts.select(*keys, *carry, F.size("_p").cast("long").alias("n_paragraphs"), _identity(F.col("_p")).alias("identity"), _triples(F.col("_p")).alias("_t"))
     parts = parts.select(*keys, *carry, "n_paragraphs", "identity", F.explode("_t").alias("_h"))
-    first = [F.first(c).alias(c) for c in (*carry, "n_paragraphs", "identity")]
-    summed = parts.groupBy(*keys).agg(*first, F.count(F.lit(1)).alias("n_triples"), *_counts(F.col("_h")))
+    # What is carried stands among the keys: with sums of longs alone the aggregate is by hash and needs no sort.
+    summed = parts.groupBy(*keys, *carry, "n_paragraphs", "identity").agg(F.count(F.lit(1)).alias("n_triples"), *_counts(F.col("_h")))
     outline = F.array(*[F.col(f"c{w}_{j}") for w, j in SLOTS]).alias("outline")
     return summed.select(*keys, *carry, "n_paragraphs", "n_triples", "identity", outline)
 
@@ -124,13 +124,13 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     dealt = rows.withColumn("bucket", bucket)
     # One row for each range: bounded by `buckets`.
     heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy(F.col("bucket").desc()).collect()
-    to = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("is_own"), F.lit(0).alias("late")))
-    copies = to
-    for i, head in enumerate(heads):
-        target = heads[i - 1].bucket
-        copy = F.array(F.struct(F.lit(target).alias("bucket"), F.lit(False).alias("is_own"), F.lit(1).alias("late")))
-        copies = F.when((F.col("bucket") == head.bucket) & F.col("doc_id").eqNullSafe(F.lit(head.top)), F.concat(to, copy)).otherwise(copies)
-    spread = dealt.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.*")
+    number = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    at = F.array_position(number([h.bucket for h in heads]), F.col("bucket").cast("long")).cast("int") - 1
+    before = F.get(number([heads[i - 1].bucket for i in range(len(heads))]), at).cast("int")
+    own = F.array(F.struct(F.col("bucket"), F.lit(True).alias("is_own")))
+    copy = F.array(F.struct(before.alias("bucket"), F.lit(False).alias("is_own")))
+    copies = F.when(F.col("doc_id").eqNullSafe(F.get(number([h.top for h in heads]), at)), F.concat(own, copy)).otherwise(own) if heads else own
+    spread = dealt.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.*").withColumn("late", ~F.col("is_own"))
     order = Window.partitionBy("bucket").orderBy("late", F.col("doc_id").desc_nulls_last(), "text")
     return spread.select("doc_id", "text", "bucket", "is_own", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
