@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import fingerprint, license, mixing, near, packing, pii, repeats, toxicity
+from braidwork.llm import fingerprint, license, lm, mixing, near, packing, pii, repeats, toxicity
 from braidwork.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(documents(spark, sf_dir))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(documents(spark, sf_dir))
 
@@ -42,5 +46,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op5_repeats": op5_repeats, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_near": op8_near, "op9_license": op9_license, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_lm": op4_lm, "op5_repeats": op5_repeats, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_near": op8_near, "op9_license": op9_license, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {}
