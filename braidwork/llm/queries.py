@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import fingerprint, license, lm, mixing, near, packing, pii, repeats, toxicity
+from braidwork.llm import fingerprint, license, lm, mixing, near, packing, pii, repeats, search, toxicity
 from braidwork.llm.common import documents
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.report(documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
@@ -46,5 +50,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_lm": op4_lm, "op5_repeats": op5_repeats, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_near": op8_near, "op9_license": op9_license, "op10_fingerprint": op10_fingerprint}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_search": op1_search, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_lm": op4_lm, "op5_repeats": op5_repeats, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_near": op8_near, "op9_license": op9_license, "op10_fingerprint": op10_fingerprint}
 ORACLE: dict[str, str] = {}
