@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,7 @@ def _shared(rows: np.ndarray) -> np.ndarray:
 
 
 #: What a suffix carries: document, place in it, and how many bytes before the place its first and last window begin.
+GONE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 META = np.dtype([("doc", "<i8"), ("place", "<i4"), ("far", "u1"), ("near", "u1")])
 
 
@@ -348,7 +350,7 @@ def sieve(docs: DataFrame, parts: int) -> np.ndarray:
 
 
 def stretches(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
-    """(doc, gone): per document some of the stretches that must go, as pairs of 32-bit numbers."""
+    """(doc, gone): per document the stretches that must go, as pairs of 32-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def emit(batches):
@@ -380,19 +382,30 @@ def stretches(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
             r, m = rows[edges[i] : edges[i + 1]], meta[edges[i] : edges[i + 1]]
             copy = (_shared(r) == FULL) & np.append(False, (m["far"][1:] == m["far"][:-1]) & (m["near"][1:] == m["near"][:-1]))
             keep.append(int(i))
-            blobs.append(encode(r[~copy], m[~copy], m[copy]))
+            blobs.append(zlib.compress(encode(r[~copy], m[~copy], m[copy]), 1))
         return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(blobs, pa.binary())], ["part", "run"])
 
     def settle(table: pa.Table) -> pa.Table:
-        doc, start, stop = repeated([x.as_py() for x in table.column("run")])
-        order = np.lexsort((start, doc))
-        doc, pairs = doc[order], np.stack([start, stop], axis=1)[order].astype(np.int32)
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-        blobs = [p.tobytes() for p in np.split(pairs, at[1:])] if len(doc) else []
-        return pa.table({"doc": pa.array(doc[at], pa.int64()), "gone": pa.array(blobs, pa.binary())})
+        doc, start, stop = repeated([zlib.decompress(x.as_py()) for x in table.column("run")])
+        bucket = (_mix(doc.view(np.uint64) * np.uint64(MULT)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        found = np.rec.fromarrays([doc[order], start[order].astype(np.int32), stop[order].astype(np.int32)], dtype=GONE)
+        edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+        keep = np.flatnonzero(np.diff(edges))
+        return pa.table({"bucket": pa.array(keep, pa.int32()), "gone": pa.array([found[edges[i] : edges[i + 1]].tobytes() for i in keep], pa.binary())})
+
+    def join(table: pa.Table) -> pa.Table:
+        """All stretches of a bucket of documents: one row for each of them."""
+        found = np.frombuffer(b"".join(x.as_py() for x in table.column("gone")), GONE)
+        found = found[np.argsort(found["doc"], kind="stable")]
+        at = np.flatnonzero(np.append(True, found["doc"][1:] != found["doc"][:-1])) if len(found) else np.zeros(0, int)
+        pairs = np.stack([found["start"], found["stop"]], axis=1)
+        blobs = [union(p).astype(np.int32).tobytes() for p in np.split(pairs, at[1:])] if len(found) else []
+        return pa.table({"doc": pa.array(found["doc"][at], pa.int64()), "gone": pa.array(blobs, pa.binary())})
 
     sent = docs.mapInArrow(emit, "part int, run binary").repartition(parts, "part")
-    return sent.groupBy("part").applyInArrow(settle, "doc long, gone binary")
+    found = sent.groupBy("part").applyInArrow(settle, "bucket int, gone binary")
+    return found.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "doc long, gone binary")
 
 
 def union(pairs: np.ndarray) -> np.ndarray:
@@ -421,14 +434,13 @@ def removed(docs: DataFrame) -> DataFrame:
         single = rows.select("doc", "text")
     parts = partitions(docs.sparkSession)
     gone = written(stretches(single, sieve(single, parts), parts), "repeats-stretches")
-    of = gone.groupBy("doc").agg(F.collect_list("gone").alias("gone"))
-    return rows.join(of, "doc", "left").select("doc_id", "text", "gone")
+    return rows.join(gone, "doc", "left").select("doc_id", "text", "gone")
 
 
-def kept(text: str, gone: list[bytes] | None) -> tuple[bytes, bytes, np.ndarray]:
+def kept(text: str, gone: bytes | None) -> tuple[bytes, bytes, np.ndarray]:
     """The text's bytes, those kept, and the maximal stretches removed."""
     t = text.encode("utf-8", "surrogatepass")
-    spans = union(np.frombuffer(b"".join(gone or []), np.int32).reshape(-1, 2))
+    spans = union(np.frombuffer(gone or b"", np.int32).reshape(-1, 2))
     at, out = 0, []
     for lo, hi in spans.tolist():
         out.append(t[at:lo])
