@@ -88,31 +88,40 @@ def margin_shift(rows: DataFrame, delta: float, by_group: bool = False, kind: st
     return g.select(*keys, gap.alias("gap"), F.when(gap < delta, sign * (F.col("inc") - F.col("cor") + delta)).otherwise(0.0).alias("shift"))
 
 
-def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5) -> DataFrame:
+def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5, shards: int = 64) -> DataFrame:
     """(group_index, slot, masked): per group, the worst correct or the best incorrect sample is taken out again and again,
     whichever widens the gap of means more (ties: correct), until the gap is delta, nothing helps, or `least` of a side
     is left. Sequential by nature; a group is the samples of one prompt, whose number the rollout fixes."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[pdf.correct == True].sort_values(["reward", "slot"])  # noqa: E712  null verdicts are incorrect
-        no = pdf[pdf.correct != True].sort_values(["reward", "slot"], ascending=[False, True])  # noqa: E712
-        a, b = ok.reward.tolist(), no.reward.tolist()
+    def solve(ok: list[tuple[float, int]], no: list[tuple[float, int]]) -> set[int]:
+        ok, no = sorted(ok), sorted(no, key=lambda x: (-x[0], x[1]))
+        a, b = [r for r, _ in ok], [r for r, _ in no]
         keep_a, keep_b = max(1, int(len(a) * least)), max(1, int(len(b) * least))
         i = j = 0
-        mean = lambda xs: sum(xs) / len(xs)
+        sa, sb = sum(a), sum(b)
         while a and b:
-            gap = mean(a[i:]) - mean(b[j:])
-            if gap >= delta:
+            na, nb = len(a) - i, len(b) - j
+            gap = sa / na - sb / nb
+            one = (sa - a[i]) / (na - 1) - sb / nb if na > keep_a else float("-inf")
+            two = sa / na - (sb - b[j]) / (nb - 1) if nb > keep_b else float("-inf")
+            if gap >= delta or max(one, two) <= gap:
                 break
-            one = mean(a[i + 1 :]) - mean(b[j:]) if len(a) - i > keep_a else float("-inf")
-            two = mean(a[i:]) - mean(b[j + 1 :]) if len(b) - j > keep_b else float("-inf")
-            if max(one, two) <= gap:
-                break
-            i, j = (i + 1, j) if one >= two else (i, j + 1)
-        gone = {*ok.slot[:i], *no.slot[:j]}
-        return pd.DataFrame({GROUP: pdf[GROUP], "slot": pdf.slot, "masked": pdf.slot.isin(gone)})
-
-    return rows.select(GROUP, "slot", "reward", "correct").groupBy(GROUP).applyInPandas(solve, f"{GROUP} long, slot int, masked boolean")
+            if one >= two:
+                sa, i = sa - a[i], i + 1
+            else:
+                sb, j = sb - b[j], j + 1
+        return {s for _, s in ok[:i]} | {s for _, s in no[:j]}
+
+    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides: dict[int, tuple[list, list]] = {}
+        for g, s, r, c in zip(pdf[GROUP], pdf.slot, pdf.reward, pdf.correct, strict=True):
+            sides.setdefault(g, ([], []))[0 if c is True or c == 1 else 1].append((r, s))  # null verdicts are incorrect
+        gone = {g: solve(*x) for g, x in sides.items()}
+        return pd.DataFrame({GROUP: pdf[GROUP], "slot": pdf.slot, "masked": [s in gone[g] for g, s in zip(pdf[GROUP], pdf.slot, strict=True)]})
+
+    # Many groups to a call: a call for each would cost more than its work.
+    dealt = rows.select(GROUP, "slot", "reward", "correct", F.pmod(F.xxhash64(GROUP), F.lit(shards)).alias("_shard"))
+    return dealt.groupBy("_shard").applyInPandas(lambda pdf: shard(pdf), f"{GROUP} long, slot int, masked boolean")
 
 
 def injection_pick(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def differencing(costs: list[int], parts: int) -> list[list[int]]:
@@ -60,16 +61,27 @@ def chunks(costs: list[int], size: int) -> list[list[int]]:
     return out if out[-1] else out[:-1]
 
 
-def assign(rows: DataFrame, keys: list[str], order: list[str], cost: str, kernel: Callable[[list[int]], list[list[int]]]) -> DataFrame:
-    """keys, order columns, cost and part: the kernel over each batch's costs in order."""
+def assign(rows: DataFrame, keys: list[str], order: list[str], cost: str, kernel: Callable[[list[int]], list[list[int]]], shards: int = 64) -> DataFrame:
+    """keys, order columns, cost and part: the kernel over each batch's costs in order. Batches are dealt to shards, many to
+    a call."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        part = pd.Series(-1, index=pdf.index)
-        for k, items in enumerate(kernel([int(c) for c in pdf[cost]])):
-            part[items] = k
-        return pdf.assign(part=part.astype("int32"))
+        pdf = pdf.sort_values([*keys, *order]).reset_index(drop=True)
+        part = [-1] * len(pdf)
+        costs = [int(c) for c in pdf[cost]]
+        at = list(pdf[keys].itertuples(index=False, name=None))
+        lo = 0
+        while lo < len(at):
+            hi = lo + 1
+            while hi < len(at) and at[hi] == at[lo]:
+                hi += 1
+            for k, items in enumerate(kernel(costs[lo:hi])):
+                for i in items:
+                    part[lo + i] = k
+            lo = hi
+        return pdf[cols].assign(part=pd.Series(part, dtype="int32"))
 
     kinds = dict(rows.dtypes)
     cols = [*keys, *order, cost]
-    return rows.select(*cols).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in cols), "part int"]))
+    dealt = rows.select(*cols, F.pmod(F.xxhash64(*keys), F.lit(shards)).alias("_shard"))
+    return dealt.groupBy("_shard").applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in cols), "part int"]))

@@ -279,9 +279,9 @@ def anneal_schedule(spark, d):
     return tokens(spark, d).select("step").distinct().select("step", F.round(gr.annealed(0.5, 20.0, F.col("step")), 6).alias("c"))
 
 
-@query("SELECT group_index, arg_min(teacher, (m, teacher)) teacher, round(min(m), 6) mean FROM (SELECT group_index, teacher, avg(reward) m FROM grp GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT group_index, arg_min(teacher, (m, teacher)) teacher, round(min(m), 6) mean FROM (SELECT group_index, teacher, avg(length) m FROM grp GROUP BY 1, 2) GROUP BY 1")
 def teacher_argmin(spark, d):
-    scores = groups(spark, d).withColumn("score", F.col("reward"))
+    scores = groups(spark, d).withColumn("score", F.col("length"))
     return gr.argmin_teacher(scores, ["group_index"]).select("group_index", "teacher", r6("mean"))
 
 
