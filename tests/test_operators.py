@@ -63,7 +63,7 @@ def test_pass_at_k(spark):
 
 def test_balance_extremes(spark):
     df = spark.createDataFrame([(1, s, 0.0, (None if s == 5 else s < 4)) for s in range(6)] + [(2, 0, 0.0, True)], "group_index int, slot int, reward double, correct boolean")
-    count = lambda r: {(x.group_index, bool(x.correct)): x.n for x in groups.balanced(df, r).where("keep").groupBy("group_index", "correct").agg(F.count("*").alias("n")).collect()}
+    count = lambda r: {(x.group_index, x.ok): x.n for x in groups.balanced(df, r).where("keep").groupBy("group_index", F.coalesce("correct", F.lit(False)).alias("ok")).agg(F.count("*").alias("n")).collect()}
     assert sum(count(1.0).values()) == 4
     assert set(count(0).keys()) == {(1, False)} and sum(n for (g, c), n in count(float("inf")).items()) == 5
 
@@ -71,7 +71,8 @@ def test_balance_extremes(spark):
 def test_greedy_mask(spark):
     rows = [(1, 0, 0.1, True), (1, 1, 0.9, True), (1, 2, 0.8, False), (1, 3, 0.0, False)]
     df = spark.createDataFrame(rows, "group_index long, slot int, reward double, correct boolean")
-    assert {r.slot for r in groups.greedy_margin_mask(df, 0.5).where("masked").collect()} == {0, 2}
+    assert {r.slot for r in groups.greedy_margin_mask(df, 0.8).where("masked").collect()} == {0, 2}
+    assert {r.slot for r in groups.greedy_margin_mask(df, 0.4).where("masked").collect()} == {0}
 
 
 def test_bootstrap_is_that_of_the_formula(spark):
