@@ -13,6 +13,7 @@ from braidwork.operators import groups as gr
 from braidwork.operators import normalizer as nz
 from braidwork.operators import partitioning as pt
 from braidwork.operators import prompts as pr
+from braidwork.operators import rollouts as ro
 from braidwork.operators import tokens as tk
 from braidwork.plans.views import WITH, groups, records, responses, table, tokens
 from braidwork.sources.readers import Part, mixture
@@ -467,3 +468,89 @@ def keep_cascade(spark, d):
 @query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= (SELECT count(*) // 128 * 128 FROM orders)", views=False)
 def trim_to_batch(spark, d):
     return gr.trimmed(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 128)
+
+
+@query("SELECT group_index, slot, greatest(least(30, 60 - length), 0)::DOUBLE budget, CASE WHEN least(30, 60 - length) <= 0 THEN 'truncated' ELSE 'pending' END status FROM (SELECT *, length * 1.5 AS length2 FROM grp)")
+def token_budget(spark, d):
+    budget, status = ro.token_budget(30, 60, F.col("length"))
+    return groups(spark, d).select("group_index", "slot", budget.cast("double").alias("budget"), status.alias("status"))
+
+
+@query("SELECT group_index, slot, CASE WHEN status <> 'aborted' THEN correct ELSE reward >= 1.0 END verdict FROM grp")
+def strict_verdicts(spark, d):
+    flag = F.when(F.col("status") != "aborted", F.col("correct"))
+    return groups(spark, d).select("group_index", "slot", ro.strict_verdict(flag, F.col("reward")).alias("verdict"))
+
+
+@query("SELECT group_index, slot, t AS teacher, CASE WHEN t = g.teacher THEN reward END score FROM grp g, (VALUES ('t0'), ('t1'), ('t2')) v(t)")
+def teacher_fanout(spark, d):
+    g = groups(spark, d)
+    scores = g.select("group_index", "slot", "teacher", F.col("reward").alias("score"))
+    return ro.fan_out(g.select("group_index", "slot"), ["t0", "t1", "t2"], scores, ["group_index", "slot"])
+
+
+@query("SELECT status, count(*) n, round(sum(length)/sum(l_partkey % 10 + 1), 6) tokens_per_second, max(length) longest, round(avg(length/(l_partkey % 10 + 1)) FILTER (length = m), 6) longest_rate FROM (SELECT *, max(length) OVER (PARTITION BY status) m FROM grp) GROUP BY status")
+def throughput(spark, d):
+    rows = groups(spark, d).withColumn("seconds", F.col("l_partkey") % 10 + 1)
+    f = ro.throughput(rows, ["status"], "length", "seconds")
+    return f.select("status", "n", r6("tokens_per_second"), "longest", r6("longest_rate"))
+
+
+@query("SELECT count(*) n, count(DISTINCT doc_id) = count(*) AND min(doc_id) = 0 AND max(doc_id) = count(*) - 1 contiguous FROM documents", views=False)
+def contiguity_check(spark, d):
+    return ro.contiguity(table(spark, d, "documents"), "doc_id")
+
+
+@query("SELECT teacher, max(length) >= 50 passed FROM grp GROUP BY teacher")
+def metric_gate(spark, d):
+    return ro.gate(groups(spark, d), ["teacher"], "length", 50.0)
+
+
+@query("SELECT sample_id, min(pos) AS first, count(*) AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY sample_id, adv < 0 ORDER BY pos) island FROM tokens) WHERE adv < 0 GROUP BY sample_id, island HAVING count(*) >= 3")
+def failure_streaks(spark, d):
+    return ro.streaks(tokens(spark, d), ["sample_id"], ["pos"], F.col("adv") < 0, 3)
+
+
+@query("SELECT group_index, slot, coalesce(sum(length) OVER (PARTITION BY group_index ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM grp")
+def packed_offsets(spark, d):
+    return ro.offsets(groups(spark, d), ["group_index"], ["slot"], "length").select("group_index", "slot", "start")
+
+
+PARAMS = "SELECT label model, i idx, avg(embedding[i]::DOUBLE) v FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) i FROM embeddings) GROUP BY label, i"
+
+
+def _parameters(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("idx", "v"))
+    return e.groupBy(F.col("label").alias("model"), (F.col("idx") + 1).cast("long").alias("idx")).agg(F.avg(F.col("v").cast("double")).alias("value")).withColumn("name", F.lit("w"))
+
+
+@query(f"SELECT 'w' AS name, idx, round(avg(v), 5) AS value FROM ({PARAMS}) GROUP BY idx", views=False)
+def parameter_average(spark, d):
+    return ro.averaged(_parameters(spark, d)).select("name", "idx", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH p AS ({PARAMS}) SELECT 'w' AS name, b.idx, round(b.v + 0.3::DOUBLE * (sum(t.v) - count(*) * b.v), 5) AS value FROM p b JOIN p t ON b.idx = t.idx AND b.model = 0 AND t.model > 0 GROUP BY b.idx, b.v", views=False)
+def task_arithmetic(spark, d):
+    p = _parameters(spark, d)
+    return ro.task_arithmetic(p.where("model = 0"), p.where("model > 0"), 0.3).select("name", "idx", F.round("value", 5).alias("value"))
+
+
+@query(f"SELECT a.model, a.suite, round(a.s - b.s, 6) difference FROM (SELECT model, suite, avg(score) s FROM ({SCORES}) GROUP BY 1, 2) a JOIN (SELECT suite, avg(score) s FROM ({SCORES}) WHERE model = 'src0' GROUP BY 1) b USING (suite) WHERE a.model <> 'src0' AND a.s < b.s")
+def specialist_drops(spark, d):
+    means = _scores(spark, d).groupBy("model", "suite").agg(F.avg("score").alias("score"))
+    return ro.drops(means, "src0").select("model", "suite", r6("difference"))
+
+
+@query("SELECT conv_id session_id, sum(n)::INT tokens, coalesce(sum(n) FILTER (role = 'assistant'), 0)::INT trained FROM (SELECT conv_id, role, length(text) n FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant')) GROUP BY conv_id", views=False)
+def session_samples(spark, d):
+    # Each assistant turn is a record whose prompt is all text before it, as code points.
+    codes = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", codes(F.col("text")).alias("ids"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    seen = turns.withColumn("prompt_ids", F.flatten(F.collect_list("ids").over(before)))
+    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
+    seen = seen.withColumn("_last", last).where(F.col("_last").isNotNull())
+    log = seen.where("role = 'assistant' or turn > _last").select(F.col("conv_id").alias("session_id"), "turn", F.when(F.col("role") == "assistant", F.col("prompt_ids")).otherwise(F.concat("prompt_ids", "ids")).alias("prompt_ids"), F.when(F.col("role") == "assistant", F.col("ids")).otherwise(F.array().cast("array<int>")).alias("output_ids"))
+    log = log.withColumn("logprobs", F.transform("output_ids", lambda x: F.lit(-1.0)))
+    s = ro.session_samples(log)
+    return s.select("session_id", F.size("tokens").alias("tokens"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("trained"))
