@@ -2,7 +2,9 @@
 
 A shard is an inverted index of some documents in the memory of a task: for each term its postings in the order of the
 shard's documents, cut into blocks of BLOCK documents with the greatest weight of each. For a query the blocks' maxima add
-up to bounds; blocks are scored in the order of their bounds until the next bound is no more than the k-th best score.
+up to bounds; the blocks with the best bounds are scored first, and then those whose bound reaches the k-th best score. The
+COMMON commonest terms of a shard, whose postings would be most of its documents, are a matrix instead: their part of all
+scores comes first, is exact, and makes both bounds and the k-th best score tight from the start.
 Document frequencies, the number and the mean length of documents are global, so shards' scores compare and the best k of
 all shards' best are the best k. Documents of a shard are ordered by their commonest word, which tightens the bounds.
 
@@ -25,6 +27,8 @@ from braidwork.llm.near import words
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK, DOCUMENTS, WORDS = 32, 16_384, 8_000_000
+#: Terms of a shard that are kept as a matrix; blocks scored before the bounds are looked at again.
+COMMON, FIRST = 256, 8
 PAIRS = 3_000_000
 
 
@@ -110,56 +114,84 @@ class Shard:
         common = np.array([p[0][p[1].argmax()] if len(p[0]) else -1 for p in self.parts])
         order = np.lexsort((np.array(self.lengths), common))
         self.docs = [self.docs[i] for i in order]
+        self.ids = np.array([np.iinfo(np.int64).max if d is None else d for d in self.docs], np.int64)
         sizes = np.array([len(self.parts[i][0]) for i in order])
-        doc = np.repeat(np.arange(len(order)), sizes)
+        self.blocks = -(-len(order) // BLOCK)
         none = [np.zeros(0, np.int32)]
+        doc = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
         term = np.concatenate([self.parts[i][0] for i in order] or none)
         n = np.concatenate([self.parts[i][1] for i in order] or none).astype(float)
+        self.parts = []
         norm = K1 * (1 - B + B * np.array(self.lengths, float)[order] / max(self.mean, 1e-9))
         weight = self.idf[term] * n * (K1 + 1) / (n + norm[doc])
+        # By document, for the scores that are returned.
+        self.of, self.term, self.weight = np.append(0, np.cumsum(sizes)), term, weight
+        # The commonest terms as a matrix: their part of all scores is one product for many queries.
+        count = np.bincount(term, minlength=len(self.terms))
+        top = np.argsort(-count, kind="stable")[:COMMON]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[top] = np.arange(len(top))
+        self.matrix = np.zeros((len(top), self.blocks * BLOCK), np.float32)
+        c = self.column[term]
+        self.matrix[c[c >= 0], doc[c >= 0]] = weight[c >= 0]
+        # The others as postings with block maxima.
+        term, doc, weight = term[c < 0], doc[c < 0], weight[c < 0]
         by = np.argsort(term, kind="stable")
-        term, self.doc, self.weight = term[by], doc[by].astype(np.int32), weight[by]
-        block = self.doc // BLOCK
+        term, self.post, self.worth = term[by], doc[by], weight[by].astype(np.float32)
+        block = self.post // BLOCK
         new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, int)
         self.begin = np.append(new, len(term))
         self.block = block[new]
-        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        # Where each term's blocks begin.
+        self.most = np.maximum.reduceat(self.worth, new) if len(new) else np.zeros(0, np.float32)
         self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
-        self.blocks = -(-len(order) // BLOCK)
-        self.parts = []
-
-    def best(self, terms: np.ndarray, times: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (score, index in docs) among documents with a score above 0; those that tie with the last are kept."""
+        self.times = np.zeros(len(self.terms))
+
+    def best(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (terms, times) the k best (score to six places, index in docs) with a score above 0; ties go to
+        the lesser id."""
+        dense = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for i, (t, n) in enumerate(queries):
+            c = self.column[t]
+            dense[i, c[c >= 0]] = n[c >= 0]
+        scores = dense @ self.matrix
+        return [self._one(s, t, n, k) for s, (t, n) in zip(scores, queries, strict=True)]
+
+    def _least(self, s: np.ndarray, k: int) -> float:
+        """The k-th best score so far, with room for the rounding of single precision."""
+        return float(np.partition(s, -k)[-k]) * (1 - 1e-4) if len(s) > k else 0.0
+
+    def _one(self, s: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int) -> list[tuple[float, int]]:
         lo, n = self.first[terms], self.first[terms + 1] - self.first[terms]
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        if not len(entry):
+        if len(entry):
+            factor = np.repeat(times.astype(np.float32), n)
+            block = self.block[entry]
+            bound = s.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, factor * self.most[entry], self.blocks)
+            open_ = bound > 0
+            # The commonest terms' scores are lower bounds already; then the best blocks, then all that may still matter.
+            for part in (FIRST, self.blocks):
+                chosen = open_ & (bound >= self._least(s, k))
+                if chosen.sum() > part:
+                    at = np.flatnonzero(chosen)
+                    chosen[:] = False
+                    chosen[at[np.argpartition(-bound[at], part)[:part]]] = True
+                open_ &= ~chosen
+                sel = chosen[block]
+                e = entry[sel]
+                size = self.begin[e + 1] - self.begin[e]
+                post = np.repeat(self.begin[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                s += np.bincount(self.post[post], np.repeat(factor[sel], size) * self.worth[post], len(s)).astype(np.float32)
+        near = np.flatnonzero((s > 0) & (s >= self._least(s, k)))
+        if not len(near):
             return []
-        factor = np.repeat(times.astype(float), n)
-        block = self.block[entry]
-        bound = np.bincount(block, factor * self.most[entry], self.blocks) * (1 + 1e-12)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        group = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[group], np.arange(self.blocks + 1))
-        scores, index, least, at, step = np.zeros(0), np.zeros(0, int), 0.0, 0, 4
-        while at < len(order) and bound[order[at]] >= least:
-            part = order[at : at + step]
-            part = part[bound[part] >= least]
-            e = np.concatenate([group[edges[b] : edges[b + 1]] for b in part])
-            f, e = factor[e], entry[e]
-            size = self.begin[e + 1] - self.begin[e]
-            post = np.repeat(self.begin[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            got, back = np.unique(self.doc[post], return_inverse=True)
-            s = np.bincount(back, np.repeat(f, size) * self.weight[post], len(got))
-            scores, index = np.append(scores, s), np.append(index, got)
-            if len(scores) > k:
-                least = np.partition(scores, -k)[-k]
-                keep = scores >= least * (1 - 1e-12)
-                scores, index = scores[keep], index[keep]
-            at += step
-            step *= 2
-        return list(zip(scores.tolist(), index.tolist(), strict=True))
+        # Exact scores of what is left.
+        self.times[terms] = times
+        size = self.of[near + 1] - self.of[near]
+        at = np.repeat(self.of[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        exact = np.round(np.add.reduceat(self.times[self.term[at]] * self.weight[at], np.cumsum(size) - size), 6)
+        self.times[terms] = 0
+        order = np.lexsort((self.ids[near], -exact))[:k]
+        return [(float(exact[i]), int(near[i])) for i in order]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -200,9 +232,10 @@ def _searched(docs: DataFrame, table: pa.Table, count: int, mean: float, k: int)
         def answers(shard):
             shard.seal()
             rows = []
-            for i, q in enumerate(ids.tolist()):
-                found = shard.best(at[first[i] : first[i + 1]], n[first[i] : first[i + 1]], k)
-                rows += [(q, shard.docs[d], round(s, 6)) for s, d in found]
+            for lo in range(0, len(ids), 128):
+                part = range(lo, min(lo + 128, len(ids)))
+                found = shard.best([(at[first[i] : first[i + 1]], n[first[i] : first[i + 1]]) for i in part], k)
+                rows += [(int(ids[i]), shard.docs[d], s) for i, best in zip(part, found, strict=True) for s, d in best]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "doc_id", "score"])
 
