@@ -88,6 +88,40 @@ def test_order_minhash_meets_edited_texts_and_keeps_others_apart():
     assert len(near.sketch(near.words(""))) == 0 and len(near.sketch(near.words("one two"))) == near.SKETCHES
 
 
+def test_similar_texts_meet_at_the_stated_similarity():
+    rng = random.Random(4)
+    for share in (0.8, 0.85, 0.9):
+        met = 0
+        for _ in range(200):
+            w = [f"w{rng.randint(0, 9999)}" for _ in range(250)]
+            v = list(w)
+            for at in rng.sample(range(250), round(250 * (1 - share))):
+                v[at] = f"v{rng.randint(0, 9999)}"
+            a, b = near.words(" ".join(w)), near.words(" ".join(v))
+            met += bool(set(near.sketch(a)) & set(near.sketch(b))) and near.similar(a, b)
+        assert met >= 194, share
+
+
+def test_short_similar_texts_always_share_a_run():
+    rng = random.Random(6)
+    seen = 0
+    for _ in range(4000):
+        w = [f"w{rng.randint(0, 99)}" for _ in range(rng.randint(4, 30))]
+        v = list(w)
+        for _ in range(rng.randint(1, 7)):
+            at = rng.randrange(len(v) + 1)
+            v[at : at + rng.randint(0, 1)] = [f"v{rng.randint(0, 99)}"] * rng.randint(0, 1)
+        a, b = near.words(" ".join(w)), near.words(" ".join(v))
+        if len(b) and near.similar(a, b) and list(a) != list(b):
+            seen += 1
+            assert set(near.runs(a)) & set(near.runs(b)), (w, v)
+    assert seen > 500
+    for n in range(6, 16):  # one changed middle word
+        w = [f"w{i}" for i in range(n)]
+        v = [*w[: n // 2], "other", *w[n // 2 + 1 :]]
+        assert set(near.runs(near.words(" ".join(w)))) & set(near.runs(near.words(" ".join(v))))
+
+
 def test_merge_of_front_coded_runs():
     rng = random.Random(5)
     for runs in (1, 2, 3, 7):
