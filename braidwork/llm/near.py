@@ -8,11 +8,12 @@ Few k-mers of a short text survive an edit, so texts of up to SHORT words have e
 so long that similar texts share one. Texts that share a bucket are candidates; they are linked if the edit distance of
 their words, found inside a band, is at most a fifth of the longer.
 
-Groups are the connected components of links. Exact copies are one node from the start. No bucket's pairs are listed: in
-each of ROUNDS rounds every member is held against the first and the last of its bucket by length (in the first
-round only with the one of these it shares most buckets with; after the second, among those that no link joins to the
-bucket's first one yet); pairs that links already join are not aligned. A pair is missed if no
-bucket holds both, or if in each bucket that does they are never held together; the tests measure that.
+Groups are the connected components of links. Exact copies are one node from the start. First each text is held against the
+first or the last of its bucket by length, the one it shares most buckets with; NEAREST times then against the one of
+another component that is nearest by its gauge; and at last every pair of a bucket is aligned that links do not join yet
+and whose lengths and gauges allow it. A gauge counts a text's words by hash, and bounds the edit distance from below, so
+nothing is lost by it. Hot buckets are dealt in blocks, and only pairs that pass leave a task. A pair is missed only if no
+bucket holds both.
 
 Edge cases: a null text counts as empty; texts without words are grouped only with their exact copies; a text of fewer
 than five words is one k-mer; repeated rows are copies; ids that are null are ordered last; other columns are not read;
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.common import fresh, written
 
-K, TAKE, SKETCHES, SIMILAR, ROUNDS = 5, 1, 24, 0.8, 3
+K, TAKE, SKETCHES, SIMILAR, NEAREST = 5, 1, 24, 0.8, 2
 #: A text of at most 30 words has similar ones of at most SHORT words.
 SHORT = 37
+#: Cells of a gauge, and members of a bucket that are dealt as one block.
+CELLS, BLOCK = 64, 512
 #: Fixed odd multipliers of the orders, from a linear congruence.
 SEEDS = np.array([(i * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (1 << 64) | 1 for i in range(1, SKETCHES + 1)], np.uint64)
 POWERS = 64
@@ -182,6 +185,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return longer > 0 and distance(a, b, most) <= most
 
 
+def gauge(w: np.ndarray) -> np.ndarray:
+    """Counts of the words by hash. What two gauges differ by, in the one direction or the other, their texts differ by."""
+    return np.minimum(np.bincount((w % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
 def digest() -> Column:
     """Names a text: 128 bits of its SHA-256."""
     return F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)
@@ -190,17 +198,18 @@ def digest() -> Column:
 def _sketched(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            node, size, found = [], [], []
+            node, size, found, gauges = [], [], [], []
             for t in b.column(1):
                 t = t.as_py() or ""
                 w = words(t)
                 node.append(hashlib.sha256(t.encode()).hexdigest()[:32])
                 size.append(len(w))
                 found.append(np.concatenate([sketch(w), runs(w)]))
+                gauges.append(gauge(w).tobytes())
             buckets = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), pa.array(size, pa.int32()), buckets], ["doc_id", "node", "size", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), pa.array(size, pa.int32()), buckets, pa.array(gauges, pa.binary())], ["doc_id", "node", "size", "buckets", "gauge"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node string, size int, buckets array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node string, size int, buckets array<long>, gauge binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -235,28 +244,105 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _candidates(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of nodes in one bucket, from (bucket, size, node): each with the first and the last of its bucket. With
-    roots, only members that are not yet joined to the bucket's first one take part; pairs joined by links are left out."""
-    if roots is None:
-        members = buckets.withColumn("root", F.col("node"))
-    else:
-        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        leads = named.groupBy("bucket").agg(F.min(F.struct("size", "node", "root")).alias("lead"))
-        members = named.join(leads, "bucket").where(F.col("root") != F.col("lead.root")).drop("lead")
+def _ends(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in one bucket, from (bucket, size, node): each with the first and the last of its bucket."""
     key = F.struct("size", "node")
-    ends = members.groupBy("bucket").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    near = members.join(ends, "bucket").select("node", "size", F.explode(F.array("lo", "hi")).alias("end"))
+    ends = buckets.groupBy("bucket").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    near = buckets.join(ends, "bucket").select("node", "size", F.explode(F.array("lo", "hi")).alias("end"))
     fits = F.least("size", "end.size") >= F.greatest("size", "end.size") * SIMILAR - 1e-6
     pair = near.where((F.col("node") != F.col("end.node")) & fits)
     return pair.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b"))
 
 
+def apart(root: np.ndarray, size: np.ndarray, gauges: np.ndarray, side: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the members of a bucket, or of two of its blocks (`side` 0 and 1), the pairs of different roots whose lengths and
+    gauges allow a link, and what the gauges differ by; with `nearest` for each member only that with the least."""
+    none = np.zeros(0, np.int64)
+    codes, counts = np.unique(root, return_counts=True)
+    if len(codes) < 2:
+        return none, none, none
+    # Each pair has a member outside the largest root: these come first, and each is held against those after it.
+    order = np.argsort(root == codes[counts.argmax()], kind="stable")
+    root, size, side = root[order], size[order], side[order]
+    wide, cross = gauges[order].astype(np.int16), side.any() and not side.all()
+    found = []
+    for i in range(len(root) - int(counts.max())):
+        allowed = (np.maximum(size[i], size[i + 1 :]) * (1 - SIMILAR) + 1e-9).astype(np.int64)
+        ok = (root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= allowed)
+        if cross:
+            ok &= side[i + 1 :] != side[i]
+        at = np.flatnonzero(ok)
+        if len(at):
+            d = wide[i + 1 + at] - wide[i]
+            over, total = np.maximum(d, 0).sum(axis=1), d.sum(axis=1)
+            gap = np.maximum(over, over - total)
+            keep = np.flatnonzero(gap <= allowed[at])
+            if len(keep):
+                found.append((np.full(len(keep), i), i + 1 + at[keep], gap[keep]))
+    if not found:
+        return none, none, none
+    i, j, gap = (np.concatenate(x) for x in zip(*found, strict=True))
+    if nearest:
+        who, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        by = np.lexsort((gap[pair], who))
+        pair = np.unique(pair[by[np.append(True, who[by][1:] != who[by][:-1])]])
+        i, j, gap = i[pair], j[pair], gap[pair]
+    return order[i], order[j], gap
+
+
+def _unjoined(buckets: DataFrame, gauges: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket that links do not join and that gauges allow: with `nearest` for each node the one of
+    least gap, else all."""
+    named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = named.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    members = named.join(open_.where("r0 <> r1").select("bucket", "blocks"), "bucket").join(gauges, "node")
+    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), "blocks").cast("int"))
+    # Each block is held against itself and every other, each two of them by themselves.
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = members.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("side"), "size", "node", "root", "gauge")
+    dealt = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def pairs(t: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+        node = t.column("node").to_pylist()
+        root = t.column("root").dictionary_encode().indices.to_numpy()
+        size, side = t.column("size").to_numpy().astype(np.int64), t.column("side").to_numpy(zero_copy_only=False)
+        table = np.frombuffer(b"".join(t.column("gauge").to_pylist()), np.uint8).reshape(-1, CELLS)
+        a, b, gap = [], [], []
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            i, j, g = apart(root[s:e], size[s:e], table[s:e], side[s:e], nearest)
+            for x, y in zip((i + s).tolist(), (j + s).tolist(), strict=True):
+                a.append(min(node[x], node[y]))
+                b.append(max(node[x], node[y]))
+            gap += g.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(gap, pa.int32())], ["a", "b", "gap"])
+
+    def run(batches):
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = b if kept is None else pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0]
+            key = [t.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+            change = np.flatnonzero(reduce(np.logical_or, [k[1:] != k[:-1] for k in key])) + 1
+            last = int(change[-1]) if len(change) else 0
+            if last:
+                yield pairs(t.slice(0, last), np.append(0, change))
+            kept = t.slice(last)  # may go on in the next batch
+        if kept is not None:
+            yield pairs(kept, np.array([0, kept.num_rows]))
+
+    found = dealt.mapInArrow(run, "a string, b string, gap int")
+    if not nearest:
+        return found.select("a", "b").distinct()
+    best = found.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "gap").groupBy("node").agg(F.min(F.struct("gap", "a", "b")).alias("p"))
+    return best.select("p.a", "p.b").distinct()
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, node (names its text), class_id (the least id of that text), group_id (the least id of
     its group), n_links (links found between its text and others)."""
     rows = written(_sketched(docs), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first(F.struct("size", "buckets")).alias("s")).select("node", "class_id", "s.*"), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first(F.struct("size", "buckets", "gauge")).alias("s")).select("node", "class_id", "s.*"), "nodes")
     buckets = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(buckets.join(full.select("bucket"), "bucket"), "buckets")
@@ -264,31 +350,23 @@ def grouped(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", digest())
     texts = named.join(wanted, (named.node == wanted.node) & named.doc_id.eqNullSafe(wanted.class_id)).select(named.node, "text")
     texts = written(texts, "texts")
-    edges = tried = first = roots = None
-    for _ in range(ROUNDS):
-        if roots is None:
-            # In the first round each node is held against the one with which it shares most.
-            counted = _candidates(buckets, None).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-            counted = written(counted, "pairs")
-            best = counted.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "n").groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("p"))
-            pairs = written(best.select("p.a", "p.b").distinct(), "pairs")
-        else:
-            more = counted.select("a", "b") if tried is first else _candidates(buckets, roots)
-            of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-            more = more.distinct().join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-            pairs = written(more.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "pairs")
+    gauges = nodes.select("node", "gauge")
+    counted = _ends(buckets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # In the first round each node is held against the end with which it shares most.
+    best = counted.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "n").groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("p"))
+    tried = written(best.select("p.a", "p.b").distinct(), "pairs")
+    edges = written(_verified(tried, texts), "links")
+    roots = components(edges)
+    for nearest in [True] * NEAREST + [False]:
+        more = _unjoined(buckets, gauges, roots, nearest).join(tried, ["a", "b"], "left_anti")
+        pairs = written(more, "pairs")
         if pairs.isEmpty():
-            break
+            continue
+        tried = tried.union(pairs)
         new = written(_verified(pairs, texts), "links")
-        edges = new if edges is None else edges.union(new)
-        if tried is None:
-            tried = first = pairs
-        else:
-            tried = tried.union(pairs)
-        roots = components(edges)
-    if edges is None:
-        edges = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = edges.union(new)
+        if not new.isEmpty():
+            roots = components(edges)
     links = edges.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.select("node", "class_id").join(roots, "node", "left").join(links, "node", "left")
     known = known.select("node", "class_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -142,6 +142,32 @@ def test_near_recall_on_the_small_table(spark):
     assert met >= 0.95 * linked
 
 
+def test_near_joins_a_hub_with_all_its_spokes(spark):
+    rng = random.Random(8)
+    hub = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    rows = [(0, " ".join(hub))]
+    for i in range(1, 601):  # 0.88 to the hub, about 0.77 to each other; some shorter and some longer than it
+        v = list(hub)
+        for at in rng.sample(range(200), 24 if i % 3 else 22):
+            v[at] = f"v{rng.randint(0, 99999)}"
+        rows.append((i, " ".join(v if i % 3 else v[:-2] if i % 2 else [*v, "more", "words"])))
+    rows += [(2000 + i, " ".join([*hub[:40], *(f"u{rng.randint(0, 99999)}" for _ in range(160))])) for i in range(200)]  # a common passage
+    got = {r.doc_id: r.group_id for r in near.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i] == 0 for i in range(601)) >= 600
+    assert all(got[i] == i for i in range(2000, 2200))
+
+
+def test_near_short_texts_join_exactly(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):  # one changed middle word in 6 to 15
+        w = [f"w{rng.randint(0, 9999)}" for _ in range(6 + i % 10)]
+        v = [*w[: len(w) // 2], "other", *w[len(w) // 2 + 1 :]]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {r.doc_id: r.group_id for r in near.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(60))
+
+
 def test_licences(spark):
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, None), (3, "the license of the bar"), (4, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0."), (1, "x\nReleased under the MIT License.\ny")]
     got = sorted((r.doc_id, r.families, r.lines) for r in license.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
