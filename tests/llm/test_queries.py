@@ -224,6 +224,15 @@ def test_lm_base_is_exact_and_scores_are_finite(docs, monkeypatch):
         assert math.isclose(r.base_score, base[(r.doc_id, r.n_tokens)], rel_tol=1e-9)
 
 
+def test_lm_learns_from_the_windows_of_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "START", 10)
+    tables, write = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    rows = [(i, f"word{i % 7}") for i in range(2000)]  # a window each
+    assert lm.report(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2000
+    assert tables["lm-windows"].count() == sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
+
+
 def test_toxicity_report_handles_nulls_and_clashing_names(spark, docs):
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(30)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.report(docs, labels).collect()
