@@ -390,7 +390,9 @@ def shard_round_robin(spark, d):
 
 @query()
 def karmarkar_karp(spark, d):
-    return pt.assign(groups(spark, d).where("group_index < 500"), ["teacher"], ["group_index", "slot"], "length", lambda c: pt.differencing(c, 8))
+    # A rollout's batch: a teacher's samples of 500 consecutive group indices.
+    batches = groups(spark, d).withColumn("batch", F.expr("group_index div 500"))
+    return pt.assign(batches, ["teacher", "batch"], ["group_index", "slot"], "length", lambda c: pt.differencing(c, 8))
 
 
 @query()

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.operators import evaluation, groups, normalizer, partitioning, prompts, tokens
+from braidwork.plans import queries as plans
+from braidwork.plans import views
 
 
 def _tokens(spark, rows):
@@ -131,3 +133,17 @@ def test_option_conflicts():
     for bad in ({"kl_coef": 1, "kl_loss_coef": 1}, {"estimator": "reinforce_plus_plus"}, {"rollout_logprobs": True, "tis": True}, {"estimator": "x"}):
         with pytest.raises(ValueError):
             tokens.validated(**{"estimator": "grpo", **bad})
+
+
+def test_karmarkar_karp_parts_every_row(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = views.groups(spark, sf).select("teacher", "group_index", "slot", "length").collect()
+    batches, want = {}, {}
+    for r in sorted(rows):
+        batches.setdefault((r.teacher, r.group_index // 500), []).append(r)
+    for (t, b), rs in batches.items():
+        for part, items in enumerate(partitioning.differencing([int(r.length) for r in rs], 8)):
+            want |= {(t, b, rs[i].group_index, rs[i].slot): part for i in items}
+    got = plans.karmarkar_karp(spark, sf).collect()
+    assert len(got) == len(rows) == len(want)
+    assert {(r.teacher, r.batch, r.group_index, r.slot): r.part for r in got} == want
