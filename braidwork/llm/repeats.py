@@ -5,14 +5,19 @@ leftmost in ties) is the window's anchor; equal windows have equal anchors at eq
 suffixes at anchors, some 3 % of all. A suffix is sorted by the bytes after its anchor's start and then by those before it,
 in reverse: all that any of its windows reaches.
 
-1. Fingerprints of anchors meet by hash; those that occur twice set bits in a filter of fixed size. Like the duplicate
-   detection of distributed string sorters, it only spares suffixes that are alone; a false hit costs bytes, not truth.
-2. Each task sorts the suffixes left into runs, one for each part of the anchors' hashes, and exchanges them front-coded:
-   the length of the prefix shared with the one before, and the rest. Of equal ones only the first keeps its bytes.
+1. Fingerprints of anchors meet by hash; those that occur twice set bits in a filter. Like the duplicate detection of
+   distributed string sorters, it only spares suffixes that are alone; a false hit costs bytes, not truth. A second filter
+   holds the hot anchors, that occur HOT times or more.
+2. Each task sorts the suffixes left into runs. Of equal ones all but the first are repeats and go no further. The others are
+   exchanged front-coded: the length of the prefix shared with the one before, and the rest. Sampled anchors cut the order of
+   all suffixes into stretches, one for each part.
 3. A loser tree merges a part's runs. It knows of every head how much it shares with the last output and compares two
    heads only beyond that; the merged suffixes come with the lengths that neighbours share.
-4. Neighbours that share an anchor are a group. Suffixes that are equal throughout are one; for the others each window is
-   held against the group's windows at the same place by a hash, and equal hashes are confirmed by the bytes.
+4. Suffixes that share LENGTH - b bytes, by those lengths, and the b bytes before them, by a hash that the bytes confirm, have
+   an equal window that begins b bytes before the anchor: all but the earliest are repeats.
+5. A hot anchor may have as many contexts as there are documents, so its windows are dealt each by itself: their fingerprints
+   meet as those of anchors do, each task drops the windows that it has seen, and the rest, sorted and front-coded as
+   suffixes of LENGTH bytes, are dealt by their hash and merged. So no task gathers what a hot anchor has.
 
 Edge cases: a null text counts as empty; texts shorter than LENGTH lose nothing; rows that repeat an id and text are one
 document and get equal results; rows of one id with different texts, and rows without an id (last), are documents in the
@@ -27,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import partitions, written
@@ -35,8 +40,12 @@ from braidwork.llm.common import partitions, written
 LENGTH, ANCHOR = 100, 40
 SPAN = LENGTH - ANCHOR + 1
 LEFT, FULL = SPAN - 1, SPAN - 1 + LENGTH
-#: Bits of the filter, whatever the input's size: 32 MB.
-FILTER_BITS = 28
+#: Powers of two of the filter's bits: at least, and at most (128 MB); between, 4 to 8 for each anchor.
+LEAST_BITS, MOST_BITS = 20, 30
+#: Occurrences from which an anchor is hot; of one batch no more than MOST are counted.
+HOT, MOST = 512, 100
+#: Parts of the order for each partition, sampled anchors for each part, and suffixes in a run.
+PARTS, SAMPLES, RUN = 2, 32, 100_000
 #: Bytes handled at once, so that the arrays stay in a cache; below 2^20, as places share a word with hashes.
 PIECE = 200_000
 MULT = 0x9E3779B97F4A7C15
@@ -47,15 +56,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hashes(t: np.ndarray) -> np.ndarray:
-    """A hash of the ANCHOR bytes from each place, by doubling."""
+def hashes(t: np.ndarray, length: int = ANCHOR) -> np.ndarray:
+    """A hash of the `length` bytes from each place, by doubling."""
     h, size, kept = t.astype(np.uint64) + np.uint64(1), 1, {}
     power = lambda n: np.uint64(pow(MULT, n, 1 << 64))
-    while size * 2 <= ANCHOR:
+    while size * 2 <= length:
         kept[size] = h
         h = h[: len(h) - size] * power(size) + h[size:]
         size *= 2
-    rest = ANCHOR - size
+    rest = length - size
     for part in sorted(kept, reverse=True):
         if rest & part:
             k = kept[part]
@@ -121,18 +130,29 @@ def _pieces(texts: list[bytes]):
         yield together()
 
 
+def hit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    bit = (h >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
 def _anchored(texts: list[bytes], sieve: np.ndarray | None):
     """Per piece: the bytes, the anchors that pass the filter, and of each its text, the text's bounds and its place."""
     for t, ends, owners, offsets in _pieces(texts):
         h, place, first, last = anchors(t, ends)
         if sieve is not None and len(h):
-            bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            hit = (sieve[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            h, place, first, last = h[hit], place[hit], first[hit], last[hit]
+            ok = hit(sieve, h)
+            h, place, first, last = h[ok], place[ok], first[ok], last[ok]
         which = np.searchsorted(ends, place, side="right")
         yield t, h, place, first, last, owners[which], np.append(0, ends)[which], ends[which], offsets[which]
 
 
+def _starts(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the anchors given by their first and last: where they begin, and the anchor's number."""
+    n = last - first + 1
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+
+
 def _contexts(t: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """A row for each anchor: LENGTH bytes from its place on, then LEFT bytes before it in reverse; 0 beyond its text."""
     reach = np.append(np.arange(LENGTH), -1 - np.arange(LEFT))
@@ -144,36 +164,67 @@ def _contexts(t: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray)
 def _shared(rows: np.ndarray) -> np.ndarray:
     """How many leading bytes each row shares with the row before; 0 for the first."""
     unlike = rows[1:] != rows[:-1]
-    return np.append(0, np.where(unlike.any(axis=1), unlike.argmax(axis=1), FULL)).astype(np.uint8)
+    return np.append(0, np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])).astype(np.uint8)
 
 
-#: What a suffix carries: document, place in it, and how many bytes before the place its first and last window begin.
+#: A stretch to remove; and what a suffix carries: document, place in it, and how many bytes before the place its first and
+#: last window begin.
 GONE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 META = np.dtype([("doc", "<i8"), ("place", "<i4"), ("far", "u1"), ("near", "u1")])
 
 
-def encode(rows: np.ndarray, meta: np.ndarray, copies: np.ndarray) -> bytes:
-    """A sorted run, front-coded: sizes, metadata, metadata of copies, shared lengths, the rests of the rows."""
+def gone(meta: np.ndarray, far: np.ndarray, near: np.ndarray) -> np.ndarray:
+    out = np.empty(len(meta), GONE)
+    out["doc"], out["start"], out["stop"] = meta["doc"], meta["place"] - far.astype(np.int32), meta["place"] - near.astype(np.int32) + LENGTH
+    return out
+
+
+def joined(found: np.ndarray) -> np.ndarray:
+    """Stretches of a document joined where they overlap or touch, in order."""
+    if not len(found):
+        return found
+    found = found[np.lexsort((found["start"], found["doc"]))]
+    shift = np.cumsum(np.append(False, found["doc"][1:] != found["doc"][:-1])).astype(np.int64) << 32
+    end = np.maximum.accumulate(found["stop"] + shift)
+    new = np.append(True, found["start"][1:] + shift[1:] > end[:-1])
+    out = found[new]
+    out["stop"] = (end & 0xFFFFFFFF)[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+    return out
+
+
+def encode(rows: np.ndarray, meta: np.ndarray) -> bytes:
+    """A sorted run, front-coded: size, metadata, shared lengths, the rests of the rows."""
     shared = _shared(rows)
-    rest = rows[np.arange(FULL)[None, :] >= shared[:, None]]
-    return struct.pack("<qq", len(meta), len(copies)) + meta.tobytes() + copies.tobytes() + shared.tobytes() + rest.tobytes()
+    rest = rows[np.arange(rows.shape[1])[None, :] >= shared[:, None]]
+    return struct.pack("<q", len(meta)) + meta.tobytes() + shared.tobytes() + rest.tobytes()
 
 
-def decode(blob: bytes) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<qq", blob)
-    at = 16 + (n + m) * META.itemsize
-    meta = np.frombuffer(blob, META, n + m, 16)
+def decode(blob: bytes, width: int = FULL) -> tuple[list[bytes], list[int], np.ndarray]:
+    (n,) = struct.unpack_from("<q", blob)
+    at = 8 + n * META.itemsize
+    meta = np.frombuffer(blob, META, n, 8)
     shared = list(blob[at : at + n])
     at += n
     rows, row = [], b""
     for s in shared:
-        row = row[:s] + blob[at : (at := at + FULL - s)]
+        row = row[:s] + blob[at : (at := at + width - s)]
         rows.append(row)
-    return rows, shared, meta[:n], meta[n:]
+    return rows, shared, meta
+
 
+def collapsed(rows: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and metadata in order, of equal ones the first only, and the stretches of the others."""
+    if not len(rows):
+        return rows, meta, np.zeros(0, GONE)
+    order = np.lexsort((meta["place"], meta["doc"]))
+    order = order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{rows.shape[1]}").ravel(), kind="stable")]
+    rows, meta = rows[order], meta[order]
+    copy = (_shared(rows) == rows.shape[1]) & np.append(False, (meta["far"][1:] == meta["far"][:-1]) & (meta["near"][1:] == meta["near"][:-1]))
+    return rows[~copy], meta[~copy], gone(meta[copy], meta["far"][copy], meta["near"][copy])
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Merges sorted runs of equally long rows with their shared lengths: the (run, index) of each output, and how many
+
+def merge(runs: list[tuple[list[bytes], list[int]]], size: int = FULL) -> tuple[list[tuple[int, int]], list[int]]:
+    """Merges sorted runs of rows of `size` bytes with their shared lengths: the (run, index) of each output, and how many
     bytes it shares with the output before.
 
     know[r] is what run r's head shares with the last output (for a head in the tree: with the one that beat it, which was
@@ -196,7 +247,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
             return x < y
         a, b = head[x][kx:], head[y][kx:]
         if a == b:
-            know[max(x, y)] = FULL
+            know[max(x, y)] = size
             return x < y
         diff = int.from_bytes(a) ^ int.from_bytes(b)
         same = kx + len(a) - (diff.bit_length() + 7) // 8
@@ -238,36 +289,33 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
     return order, out
 
 
-def repeated(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the stretches that one part's runs say must go."""
-    docs, starts, stops = [], [], []
-
-    def gone(meta: np.ndarray, far: np.ndarray, near: np.ndarray) -> None:
-        docs.append(meta["doc"])
-        starts.append(meta["place"].astype(np.int64) - far)
-        stops.append(meta["place"].astype(np.int64) - near + LENGTH)
-
-    decoded = [decode(b) for b in blobs]
-    for *_, copies in decoded:
-        gone(copies, copies["far"], copies["near"])
-    runs = [(rows, shared) for rows, shared, _, _ in decoded if rows]
-    metas = [m for rows, _, m, _ in decoded if rows]
-    if runs:
-        order, shared = merge(runs)
-        base = np.append(0, np.cumsum([len(m) for m in metas]))
-        index = np.array([base[r] + i for r, i in order])
-        meta = np.concatenate(metas)[index]
-        shared = np.array(shared)
-        group = np.cumsum(shared < ANCHOR)
-        size = np.bincount(group)[group]
-        several = np.flatnonzero(size > 1)
-        for lo, hi in _cuts(group[several], 20_000):
-            part = several[lo:hi]
-            rows = np.frombuffer(b"".join(runs[order[i][0]][0][order[i][1]] for i in part), np.uint8).reshape(-1, FULL)
-            _windows(rows, meta[part], group[part], gone)
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(docs), np.concatenate(starts), np.concatenate(stops)
+def _merged(blobs: list[bytes], width: int):
+    """A part's runs as one: rows as a function of a range, metadata, shared lengths."""
+    runs = [decode(zlib.decompress(b), width) for b in blobs]
+    order, shared = merge([(rows, s) for rows, s, _ in runs], width)
+    base = np.append(0, np.cumsum([len(m) for *_, m in runs]))
+    meta = np.concatenate([m for *_, m in runs])[np.array([base[r] + i for r, i in order], np.int64)]
+    take = lambda lo, hi: np.frombuffer(b"".join(runs[r][0][i] for r, i in order[lo:hi]), np.uint8).reshape(-1, width)
+    return take, meta, np.array(shared)
+
+
+def repeated(blobs: list[bytes]) -> np.ndarray:
+    """The stretches that one part's runs of suffixes say must go."""
+    take, meta, shared = _merged(blobs, FULL)
+    group = np.cumsum(shared < ANCHOR)
+    found = [np.zeros(0, GONE)]
+    for lo, hi in _cuts(group, 20_000):
+        found.append(_windows(take(lo, hi), np.append(0, shared[lo + 1 : hi]), meta[lo:hi]))
+    return np.concatenate(found)
+
+
+def again(blobs: list[bytes]) -> np.ndarray:
+    """The stretches of all but the earliest of each of the windows in one part's runs."""
+    _, meta, shared = _merged(blobs, LENGTH)
+    group = np.cumsum(shared < LENGTH)
+    by = np.lexsort((meta["place"], meta["doc"], group))
+    late = by[np.append(False, group[by][1:] == group[by][:-1])]
+    return gone(meta[late], meta["far"][late], meta["near"][late])
 
 
 def _cuts(group: np.ndarray, size: int):
@@ -279,143 +327,235 @@ def _cuts(group: np.ndarray, size: int):
         lo = hi
 
 
-def _windows(rows: np.ndarray, meta: np.ndarray, group: np.ndarray, gone) -> None:
-    """Window by window, what begins earlier in the group; `gone` gets stretches of windows that lie side by side."""
+def _windows(rows: np.ndarray, shared: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """Of rows in order, with the lengths that neighbours share, the stretches of windows that begin earlier too."""
+    group = np.cumsum(shared < ANCHOR)
+    alone = np.bincount(group)[group] < 2
+    if alone.all():
+        return np.zeros(0, GONE)
+    several = np.flatnonzero(~alone)
+    rows, shared, meta, group = rows[several], shared[several], meta[several], group[several]
     by = np.lexsort((meta["place"], meta["doc"], group))
-    rows, meta, group = rows[by], meta[by], group[by]
-    # The bytes in the order of the text; the anchor is at column LEFT.
-    line = np.concatenate([rows[:, LENGTH:][:, ::-1], rows[:, :LENGTH]], axis=1)
-    sums = np.zeros((FULL + 1, len(rows)), np.uint64)
-    for c in range(FULL):
-        sums[c + 1] = sums[c] * np.uint64(MULT) + line[:, c] + np.uint64(1)
-    lift, salt = np.uint64(pow(MULT, LENGTH, 1 << 64)), _mix(group.astype(np.uint64) * np.uint64(MULT))
     seen = np.zeros((len(rows), SPAN), bool)
+    before = np.zeros(len(rows), np.uint64)  # a hash of the bytes before the anchor that the window has
     for back in range(SPAN):
-        sel = np.flatnonzero((meta["near"] <= back) & (back <= meta["far"]))
+        if back:
+            before = before * np.uint64(MULT) + rows[:, LENGTH + back - 1] + np.uint64(1)
+        ok = (meta["near"] <= back) & (back <= meta["far"])
+        sel = by[ok[by]]
         if len(sel) < 2:
             continue
-        begin = LEFT - back
-        h = _mix((sums[begin + LENGTH, sel] - sums[begin, sel] * lift) ^ salt[sel])
+        after = np.cumsum(shared < LENGTH - back)  # equal for rows that share the bytes after
+        h = _mix(before[sel] ^ _mix(after[sel].astype(np.uint64) * np.uint64(MULT)))
         rank = np.argsort(h, kind="stable")
         s = h[rank]
         new = np.append(True, s[1:] != s[:-1])
         if new.all():
             continue
         first = sel[rank[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]]
-        again, origin = sel[rank[~new]], first[~new]
-        like = (line[again, begin : begin + LENGTH] == line[origin, begin : begin + LENGTH]).all(axis=1) & (group[again] == group[origin])
-        seen[again[like], back] = True
+        late, origin = sel[rank[~new]], first[~new]
+        like = (after[late] == after[origin]) & (rows[late, LENGTH : LENGTH + back] == rows[origin, LENGTH : LENGTH + back]).all(axis=1)
+        seen[late[like], back] = True
         if not like.all():  # Different strings with one hash: settled by the strings themselves.
             met = set()
-            for i in np.sort(sel[np.isin(h, h[np.isin(sel, again[~like])])]):
-                key = (group[i], line[i, begin : begin + LENGTH].tobytes())
+            for i in sel[np.isin(h, h[np.isin(sel, late[~like])])]:
+                key = (after[i], rows[i, LENGTH : LENGTH + back].tobytes())
                 seen[i, back] = key in met
                 met.add(key)
     edge = np.diff(np.pad(seen, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, near = np.nonzero(edge == 1)
     _, far = np.nonzero(edge == -1)
-    gone(meta[row], far - 1, near)
+    return gone(meta[row], far - 1, near)
 
 
 def _bytes(column) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
-def sieve(docs: DataFrame, parts: int) -> np.ndarray:
-    """The filter: bits of the anchors' hashes that occur more than once. Each part of the hashes has its own stretch of
-    it, and what reaches the driver is no more than the filter."""
-    bits = (parts - 1).bit_length()
+def _bits(docs: DataFrame, find, bits: int, levels: list[int], parts: int) -> list[np.ndarray]:
+    """Filters of 2^bits bits: for each level the hashes of which `find` (texts to hashes and a sample) gives so many, and
+    the samples, sorted. Each part of the hashes has its own stretch of the filters, and no more reaches the driver."""
+    cut = min(bits - 3, (parts - 1).bit_length())
+    stretch = 1 << (bits - cut)
 
     def emit(batches):
         for b in batches:
-            h = np.concatenate([x[1] for x in _anchored(_bytes(b.column(1)), None)] or [np.zeros(0, np.uint64)])
+            h, sample = find(_bytes(b.column(1)))
             found, count = np.unique(h, return_counts=True)
-            found = np.sort(np.concatenate([found, found[count > 1]]))
-            edges = np.searchsorted((found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64), np.arange((1 << bits) + 1))
-            keep = [i for i in range(1 << bits) if edges[i + 1] > edges[i]]
+            found = np.repeat(found, np.minimum(count, MOST))
+            edges = np.searchsorted((found >> np.uint64(63 - cut) >> np.uint64(1)).astype(np.int64), np.arange((1 << cut) + 1))
+            keep = np.flatnonzero(np.diff(edges))
             blobs = [found[edges[i] : edges[i + 1]].tobytes() for i in keep]
+            keep, blobs = ([*keep, -1], [*blobs, sample]) if sample else (keep, blobs)
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(blobs, pa.binary())], ["part", "found"])
 
-    def twice(table: pa.Table) -> pa.Table:
-        h = np.sort(np.frombuffer(b"".join(x.as_py() for x in table.column("found")), np.uint64))
-        again = np.unique(h[1:][h[1:] == h[:-1]] >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
-        return pa.table({"set": pa.array([again.tobytes()] if len(again) else [], pa.binary())})
-
-    found = docs.mapInArrow(emit, "part int, found binary").repartition(parts, "part").groupBy("part").applyInArrow(twice, "set binary")
-    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    def count(table: pa.Table) -> pa.Table:
+        part, blob = table.column("part")[0].as_py(), b"".join(x.as_py() for x in table.column("found"))
+        if part < 0:
+            return pa.table({"part": pa.array([part], pa.int32()), "set": pa.array([[blob]], pa.list_(pa.binary()))})
+        h, n = np.unique(np.frombuffer(blob, np.uint64), return_counts=True)
+        sets = []
+        for least in levels:
+            flags = np.zeros(stretch, bool)
+            flags[(h[n >= least] >> np.uint64(64 - bits)).astype(np.int64) - part * stretch] = True
+            sets.append(np.packbits(flags, bitorder="little").tobytes())
+        return pa.table({"part": pa.array([part], pa.int32()), "set": pa.array([sets], pa.list_(pa.binary()))})
+
+    found = docs.mapInArrow(emit, "part int, found binary").repartition(parts, "part").groupBy("part").applyInArrow(count, "part int, set array<binary>")
+    out, sample = [np.zeros(1 << (bits - 3), np.uint8) for _ in levels], b""
     for r in found.toLocalIterator(prefetchPartitions=True):
-        bit = np.frombuffer(r["set"], np.int32).astype(np.int64)
-        np.bitwise_or.at(bitmap, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-    return bitmap
-
-
-def stretches(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
+        if r["part"] < 0:
+            sample = r["set"][0]
+            continue
+        for bitmap, flags in zip(out, r["set"], strict=True):
+            bitmap[r["part"] * (stretch >> 3) :][: stretch >> 3] = np.frombuffer(flags, np.uint8)
+    return [*out, np.sort(np.frombuffer(sample, f"S{ANCHOR}"))]
+
+
+def filters(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of anchors those that repeat and those that are hot, of hot anchors' windows those that repeat, and the splitters of
+    `parts` stretches of the order. Sizes follow the bytes of all texts."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    expected = 2 * size // (SPAN + 1) + 1
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * expected).bit_length()))
+    share = min(1.0, SAMPLES * parts / expected)
+
+    def fingerprints(texts):
+        all_, strings = [np.zeros(0, np.uint64)], []
+        for t, h, place, *_ in _anchored(texts, None):
+            all_.append(h)
+            # Which anchors are in the sample only moves the splitters, not what is found.
+            chosen = place[_mix(h ^ np.arange(len(h), dtype=np.uint64) * np.uint64(MULT)) < np.uint64(min(2**64 - 1, int(share * 2**64)))]
+            strings.append(t[chosen[:, None] + np.arange(ANCHOR)].tobytes())
+        return np.concatenate(all_), b"".join(strings)
+
+    repeat, hot, sample = _bits(docs, fingerprints, bits, [2, HOT], partitions(docs.sparkSession))
+    splitters = sample[np.linspace(0, len(sample) - 1, parts + 1).astype(int)[1:-1]] if len(sample) >= parts else sample
+    if not hot.any():
+        return repeat, hot, np.zeros(1 << (LEAST_BITS - 3), np.uint8), splitters
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def windows(texts):
+        all_ = [np.zeros(0, np.uint64)]
+        for t, _, _, first, last, *_ in _anchored(texts, shared.value):
+            if len(first):
+                all_.append(hashes(t, LENGTH)[_starts(first, last)[0]])
+        return np.concatenate(all_), b""
+
+    several, _ = _bits(docs, windows, bits, [2], partitions(docs.sparkSession))
+    shared.unpersist()
+    return repeat, hot, several, splitters
+
+
+def stretches(docs: DataFrame, parts: int) -> DataFrame:
     """(doc, gone): per document the stretches that must go, as pairs of 32-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    spark = docs.sparkSession
+    shared, buckets = spark.sparkContext.broadcast(filters(docs, parts)), partitions(spark)
+
+    def deal(found: np.ndarray):
+        """Stretches by bucket of documents, where they meet at last."""
+        found = joined(found)
+        bucket = (_mix(found["doc"].astype(np.uint64) * np.uint64(MULT)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        keep = np.flatnonzero(np.diff(edges))
+        return keep, [found[order[edges[i] : edges[i + 1]]].tobytes() for i in keep]
 
     def emit(batches):
+        repeat, hot, several, splitters = shared.value
         for b in batches:
             ids = b.column(0).to_numpy()
-            rows, metas, part = [], [], []
-            for t, h, place, first, last, owner, lo, hi, offset in _anchored(_bytes(b.column(1)), shared.value):
+            suffixes, windows, late, held = [], [], [], 0
+            for t, h, place, first, last, owner, lo, hi, offset in _anchored(_bytes(b.column(1)), repeat):
                 m = np.zeros(len(h), META)
                 m["doc"], m["place"] = ids[owner], place - lo + offset
                 m["far"], m["near"] = place - first, place - last
-                rows.append(_contexts(t, place, lo, hi))
-                metas.append(m)
-                part.append((_mix(h * np.uint64(MULT)) % np.uint64(parts)).astype(np.int32))
-                if sum(map(len, metas)) > 100_000:
-                    yield runs(np.concatenate(rows), np.concatenate(metas), np.concatenate(part))
-                    rows, metas, part = [], [], []
-            if metas:
-                yield runs(np.concatenate(rows), np.concatenate(metas), np.concatenate(part))
-
-    def runs(rows, meta, part):
-        order = np.lexsort((meta["place"], meta["doc"]))
-        rows, meta, part = rows[order], meta[order], part[order]
-        order = np.argsort(np.ascontiguousarray(rows).view(f"S{FULL}").ravel(), kind="stable")
-        order = order[np.argsort(part[order], kind="stable")]
-        rows, meta, part = rows[order], meta[order], part[order]
-        edges = np.searchsorted(part, np.arange(parts + 1))
+                often = hit(hot, h)
+                if often.any():
+                    w, wm, more = _seen(t, first[often], last[often], place[often], m[often], several)
+                    windows.append((w, wm))
+                    late.append(more)
+                    h, place, lo, hi, m = (x[~often] for x in (h, place, lo, hi, m))
+                    held += len(wm)
+                suffixes.append((_contexts(t, place, lo, hi), m))
+                held += len(m)
+                if held > RUN:
+                    yield runs(suffixes, windows, late, splitters)
+                    suffixes, windows, late, held = [], [], [], 0
+            if suffixes:
+                yield runs(suffixes, windows, late, splitters)
+
+    def runs(suffixes, windows, late, splitters):
+        """Sorted runs for the parts: of suffixes by their place in the order, then of windows by hash, then stretches."""
         keep, blobs = [], []
-        for i in np.flatnonzero(np.diff(edges)):
-            r, m = rows[edges[i] : edges[i + 1]], meta[edges[i] : edges[i + 1]]
-            copy = (_shared(r) == FULL) & np.append(False, (m["far"][1:] == m["far"][:-1]) & (m["near"][1:] == m["near"][:-1]))
-            keep.append(int(i))
-            blobs.append(zlib.compress(encode(r[~copy], m[~copy], m[copy]), 1))
-        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(blobs, pa.binary())], ["part", "run"])
-
-    def settle(table: pa.Table) -> pa.Table:
-        doc, start, stop = repeated([zlib.decompress(x.as_py()) for x in table.column("run")])
-        bucket = (_mix(doc.view(np.uint64) * np.uint64(MULT)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        found = np.rec.fromarrays([doc[order], start[order].astype(np.int32), stop[order].astype(np.int32)], dtype=GONE)
-        edges = np.searchsorted(bucket[order], np.arange(parts + 1))
-        keep = np.flatnonzero(np.diff(edges))
-        return pa.table({"bucket": pa.array(keep, pa.int32()), "gone": pa.array([found[edges[i] : edges[i + 1]].tobytes() for i in keep], pa.binary())})
+        for kind, found in enumerate((suffixes, windows)):
+            if not found:
+                continue
+            rows, meta, more = collapsed(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+            late.append(more)
+            if kind:
+                part = (hashes(rows.ravel(), LENGTH)[::LENGTH] % np.uint64(parts)).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+                order = np.argsort(part, kind="stable")
+                rows, meta, part = rows[order], meta[order], part[order]
+            else:
+                part = np.searchsorted(splitters, np.ascontiguousarray(rows[:, :ANCHOR]).view(f"S{ANCHOR}").ravel(), side="right")
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            for i in np.flatnonzero(np.diff(edges)):
+                keep.append(int(i) + kind * parts)
+                blobs.append(zlib.compress(encode(rows[edges[i] : edges[i + 1]], meta[edges[i] : edges[i + 1]]), 1))
+        at, found = deal(np.concatenate(late))
+        return pa.RecordBatch.from_arrays([pa.array([*keep, *(at + 2 * parts)], pa.int32()), pa.array([*blobs, *found], pa.binary())], ["part", "run"])
+
+    def settle(batches):
+        now, blobs = None, []
+        for b in batches:
+            for part, run in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if part != now and blobs:
+                    yield settled(now, blobs)
+                    blobs = []
+                now = part
+                blobs.append(run.as_py())
+        if blobs:
+            yield settled(now, blobs)
+
+    def settled(part: int, blobs: list[bytes]):
+        if part >= 2 * parts:
+            at, found = [part - 2 * parts], [b"".join(blobs)]
+        else:
+            at, found = deal(repeated(blobs) if part < parts else again(blobs))
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found, pa.binary())], ["bucket", "gone"])
 
     def join(table: pa.Table) -> pa.Table:
         """All stretches of a bucket of documents: one row for each of them."""
-        found = np.frombuffer(b"".join(x.as_py() for x in table.column("gone")), GONE)
-        found = found[np.argsort(found["doc"], kind="stable")]
+        found = joined(np.frombuffer(b"".join(x.as_py() for x in table.column("gone")), GONE))
         at = np.flatnonzero(np.append(True, found["doc"][1:] != found["doc"][:-1])) if len(found) else np.zeros(0, int)
         pairs = np.stack([found["start"], found["stop"]], axis=1)
-        blobs = [union(p).astype(np.int32).tobytes() for p in np.split(pairs, at[1:])] if len(found) else []
+        blobs = [p.tobytes() for p in np.split(pairs, at[1:])] if len(found) else []
         return pa.table({"doc": pa.array(found["doc"][at], pa.int64()), "gone": pa.array(blobs, pa.binary())})
 
-    sent = docs.mapInArrow(emit, "part int, run binary").repartition(parts, "part")
-    found = sent.groupBy("part").applyInArrow(settle, "bucket int, gone binary")
-    return found.repartition(parts, "bucket").groupBy("bucket").applyInArrow(join, "doc long, gone binary")
-
-
-def union(pairs: np.ndarray) -> np.ndarray:
-    """Stretches joined where they overlap or touch, in order."""
-    if not len(pairs):
-        return pairs.reshape(0, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    end = np.maximum.accumulate(pairs[:, 1])
-    new = np.append(True, pairs[1:, 0] > end[:-1])
-    return np.stack([pairs[new, 0], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], axis=1)
+    sent = docs.mapInArrow(emit, "part int, run binary").repartition(buckets, "part").sortWithinPartitions("part")
+    found = sent.mapInArrow(settle, "bucket int, gone binary")
+    return found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "doc long, gone binary")
+
+
+def _seen(t: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, meta: np.ndarray, several: np.ndarray):
+    """Windows of hot anchors in one piece that repeat somewhere: rows and metadata of the earliest of equal ones, and the
+    stretches of the others."""
+    start, which = _starts(first, last)
+    h = hashes(t, LENGTH)[start]
+    ok = hit(several, h)
+    start, which, h = start[ok], which[ok], h[ok]
+    m = meta[which]
+    m["place"] += (start - place[which]).astype(np.int32)
+    m["far"] = m["near"] = 0
+    order = np.lexsort((m["place"], m["doc"], h))
+    start, h, m = start[order], h[order], m[order]
+    rows = t[start[:, None] + np.arange(LENGTH, dtype=np.int32)]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    origin = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    # One hash, other bytes: kept, for the sort to tell.
+    copy = ~new & (rows == rows[origin]).all(axis=1)
+    return rows[~copy], m[~copy], gone(m[copy], m["far"][copy], m["near"][copy])
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -423,24 +563,21 @@ def removed(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if odd:
-        # Ids must tell documents apart: rank them with their texts' hashes; only these and no texts are ordered in one task.
-        keys = rows.select("doc_id", F.xxhash64("text").alias("h")).distinct()
-        ranked = keys.select("doc_id", "h", (F.row_number().over(Window.orderBy(F.col("doc_id").asc_nulls_last(), "h")) - 1).cast("long").alias("doc"))
-        r = rows.withColumn("h", F.xxhash64("text"))
-        rows = written(r.join(ranked.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "doc"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("doc_id", "text", "doc"), "repeats-documents")
-        single = rows.groupBy("doc").agg(F.first("text").alias("text")).select("doc", "text")
+        # Ids must tell documents apart, in order: numbers that grow from one stretch of the sorted table to the next do.
+        each = rows.groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+        ranked = each.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("doc", F.monotonically_increasing_id())
+        rows = written(ranked, "repeats-documents")
     else:
         rows = rows.withColumn("doc", F.col("doc_id"))
-        single = rows.select("doc", "text")
-    parts = partitions(docs.sparkSession)
-    gone = written(stretches(single, sieve(single, parts), parts), "repeats-stretches")
-    return rows.join(gone, "doc", "left").select("doc_id", "text", "gone")
+    gone = written(stretches(rows.select("doc", "text"), PARTS * partitions(docs.sparkSession)), "repeats-stretches")
+    found = rows.join(gone, "doc", "left")
+    return (found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))) if odd else found).select("doc_id", "text", "gone")
 
 
 def kept(text: str, gone: bytes | None) -> tuple[bytes, bytes, np.ndarray]:
     """The text's bytes, those kept, and the maximal stretches removed."""
     t = text.encode("utf-8", "surrogatepass")
-    spans = union(np.frombuffer(gone or b"", np.int32).reshape(-1, 2))
+    spans = np.frombuffer(gone or b"", np.int32).reshape(-1, 2)
     at, out = 0, []
     for lo, hi in spans.tolist():
         out.append(t[at:lo])

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_kernels import repeats_by_force
+
 from braidwork.llm import fingerprint, license, lm, mixing, near, packing, pii, queries, repeats, search, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -118,6 +120,25 @@ def test_repeats_report(docs):
     assert len({(r.n_removed, r.kept_sha256) for r in got[(5, len(dict(rows)[5]))]}) == 1
 
 
+@pytest.mark.parametrize("hot", [3, 512])
+def test_repeats_report_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    passages = [text(150), text(400), text(101)]
+    rows = [(i, text(rng.randint(0, 90)) + rng.choice(passages) + text(rng.randint(0, 90)) + rng.choice(passages)) for i in range(60)]
+    rows += [(3, rows[9][1]), (3, text(200)), (None, rows[11][1]), (None, None), (90, ""), rows[20]]  # one id with three texts
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()), key=str)
+    each = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1].encode()))
+    want = {r: left for r, left in zip(each, repeats_by_force([t.encode() for _, t in each]), strict=True)}
+    assert len(got) == len(rows)
+    plain = []
+    for i, t in rows:
+        left, data = want[i, t or ""], (t or "").encode()
+        plain.append((i, len(data), len(data) - len(left), hashlib.sha256(left).hexdigest()))
+    assert sorted(((a, b, c, e) for a, b, c, _, e in got), key=str) == sorted(plain, key=str)
+
+
 def test_near_groups(docs):
     rows = near.report(docs).collect()
     assert len(rows) == docs.count()
