@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.partitioning import stretches
+
 GROUP = "group_index"
 
 
@@ -23,8 +25,8 @@ def varied(rows: DataFrame, least: float = 1e-8) -> DataFrame:
     return g.withColumn("keep", F.coalesce(F.col("sd") > least, F.lit(False)))
 
 
-def bounded_filter(groups: DataFrame, budget: int, chunk: int = 100_000) -> DataFrame:
-    """Adds seen (the group's place by group_index, from 1) and accept: kept by its variance, or past the budget.
+def bounded_filter(groups: DataFrame, budget: int) -> DataFrame:
+    """Adds accept: kept by its variance, or past the budget.
 
     The place is needed only up to the budget, so the order needs one task over `budget` rows and no more.
     """
@@ -88,7 +90,7 @@ def margin_shift(rows: DataFrame, delta: float, by_group: bool = False, kind: st
     return g.select(*keys, gap.alias("gap"), F.when(gap < delta, sign * (F.col("inc") - F.col("cor") + delta)).otherwise(0.0).alias("shift"))
 
 
-def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5, shards: int = 64) -> DataFrame:
+def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5) -> DataFrame:
     """(group_index, slot, masked): per group, the worst correct or the best incorrect sample is taken out again and again,
     whichever widens the gap of means more (ties: correct), until the gap is delta, nothing helps, or `least` of a side
     is left. Sequential by nature; a group is the samples of one prompt, whose number the rollout fixes."""
@@ -112,16 +114,20 @@ def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5, shards
                 sb, j = sb - b[j], j + 1
         return {s for _, s in ok[:i]} | {s for _, s in no[:j]}
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides: dict[int, tuple[list, list]] = {}
-        for g, s, r, c in zip(pdf[GROUP], pdf.slot, pdf.reward, pdf.correct, strict=True):
-            sides.setdefault(g, ([], []))[0 if c is True or c == 1 else 1].append((r, s))  # null verdicts are incorrect
-        gone = {g: solve(*x) for g, x in sides.items()}
-        return pd.DataFrame({GROUP: pdf[GROUP], "slot": pdf.slot, "masked": [s in gone[g] for g, s in zip(pdf[GROUP], pdf.slot, strict=True)]})
+    def run(batches):
+        for t, edges in stretches(batches, [GROUP]):
+            slot, reward, correct = (t.column(c).to_pylist() for c in ("slot", "reward", "correct"))
+            masked = []
+            for lo, hi in edges:
+                sides: tuple[list, list] = ([], [])
+                for s, r, c in zip(slot[lo:hi], reward[lo:hi], correct[lo:hi], strict=True):
+                    sides[0 if c else 1].append((r, s))  # null verdicts are incorrect
+                gone = solve(*sides)
+                masked += [s in gone for s in slot[lo:hi]]
+            yield pa.RecordBatch.from_arrays([t.column(GROUP), t.column("slot"), pa.array(masked, pa.bool_())], [GROUP, "slot", "masked"])
 
-    # Many groups to a call: a call for each would cost more than its work.
-    dealt = rows.select(GROUP, "slot", "reward", "correct", F.pmod(F.xxhash64(GROUP), F.lit(shards)).alias("_shard"))
-    return dealt.groupBy("_shard").applyInPandas(lambda pdf: shard(pdf), f"{GROUP} long, slot int, masked boolean")
+    dealt = rows.select(F.col(GROUP).cast("long"), F.col("slot").cast("int"), "reward", "correct").repartition(GROUP).sortWithinPartitions(GROUP, "slot")
+    return dealt.mapInArrow(run, f"{GROUP} long, slot int, masked boolean")
 
 
 def injection_pick(rows: DataFrame) -> DataFrame:
@@ -158,13 +164,18 @@ def routed(rows: DataFrame, alias: Column, table: dict[str, str], default: str,
 
 
 def trimmed(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """The first floor(n / size) x size rows by `order`, found by the last row's rank from the end: only fewer than `size`
-    rows are cut, so only those are ordered in one task."""
+    """The first floor(n / size) x size rows by `order`; which of rows equal in it go is not told, but as many as must. Fewer
+    than `size` rows are cut, so only those are ordered in one task."""
     extra = rows.count() % size
     if not extra:
         return rows
-    last = rows.select(*order).orderBy(*[F.col(c).desc() for c in order]).limit(extra)
-    return rows.join(F.broadcast(last), order, "left_anti")  # fewer rows than `size`
+    last = rows.select(*order).orderBy(*[F.col(c).desc_nulls_first() for c in order]).limit(extra)
+    cut = last.groupBy(*order).agg(F.count(F.lit(1)).alias("_cut")).select(F.struct(*order).alias("_key"), "_cut")  # fewer rows than `size`
+    met = rows.withColumn("_order", F.struct(*order)).join(F.broadcast(cut), F.col("_order").eqNullSafe(F.col("_key")), "left")
+    whole = met.where("_cut is null").drop("_order", "_key", "_cut")
+    # Only rows that tie with one that goes are numbered, each tie by itself.
+    tied = met.where("_cut is not null").withColumn("_r", F.row_number().over(Window.partitionBy("_order").orderBy("_cut")))
+    return whole.unionByName(tied.where("_r > _cut").drop("_order", "_key", "_cut", "_r"))
 
 
 def keep_cascade(rows: DataFrame) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def differencing(costs: list[int], parts: int) -> list[list[int]]:
@@ -61,27 +61,39 @@ def chunks(costs: list[int], size: int) -> list[list[int]]:
     return out if out[-1] else out[:-1]
 
 
-def assign(rows: DataFrame, keys: list[str], order: list[str], cost: str, kernel: Callable[[list[int]], list[list[int]]], shards: int = 64) -> DataFrame:
-    """keys, order columns, cost and part: the kernel over each batch's costs in order. Batches are dealt to shards, many to
-    a call."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, *order]).reset_index(drop=True)
-        part = [-1] * len(pdf)
-        costs = [int(c) for c in pdf[cost]]
-        at = list(pdf[keys].itertuples(index=False, name=None))
-        lo = 0
-        while lo < len(at):
-            hi = lo + 1
-            while hi < len(at) and at[hi] == at[lo]:
-                hi += 1
-            for k, items in enumerate(kernel(costs[lo:hi])):
-                for i in items:
-                    part[lo + i] = k
-            lo = hi
-        return pdf[cols].assign(part=pd.Series(part, dtype="int32"))
+def stretches(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Rows sorted by keys as batches of whole groups, each with the groups' bounds; a batch and the group that goes on are
+    in memory at a time, however many groups a task has."""
+    kept = None
+    for b in chain(batches, [None]):
+        if b is not None and not b.num_rows:
+            continue
+        t = b if kept is None else kept if b is None else pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0]
+        if t is None:
+            return
+        key = list(zip(*(t.column(k).to_pylist() for k in keys), strict=True))
+        at = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1])]
+        if b is None:
+            yield t, list(zip(at, [*at[1:], len(key)], strict=True))
+        else:
+            if at[-1]:
+                yield t.slice(0, at[-1]), list(zip(at[:-1], at[1:], strict=True))
+            kept = t.slice(at[-1])
+
+
+def assign(rows: DataFrame, keys: list[str], order: list[str], cost: str, kernel: Callable[[list[int]], list[list[int]]]) -> DataFrame:
+    """keys, order columns, cost and part: the kernel over each batch's costs in order."""
+
+    def run(batches):
+        for t, edges in stretches(batches, keys):
+            part, costs = [-1] * t.num_rows, [int(c) for c in t.column(cost).to_pylist()]
+            for lo, hi in edges:
+                for k, items in enumerate(kernel(costs[lo:hi])):
+                    for i in items:
+                        part[lo + i] = k
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(part, pa.int32())], [*t.schema.names, "part"])
 
     kinds = dict(rows.dtypes)
     cols = [*keys, *order, cost]
-    dealt = rows.select(*cols, F.pmod(F.xxhash64(*keys), F.lit(shards)).alias("_shard"))
-    return dealt.groupBy("_shard").applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in cols), "part int"]))
+    dealt = rows.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in cols), "part int"]))

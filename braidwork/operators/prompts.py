@@ -28,6 +28,20 @@ def shuffled(rows: DataFrame, key: Column, seed: int) -> DataFrame:
     return rows.withColumn("shuffle", F.xxhash64(F.lit(seed), key))
 
 
+def places(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """Adds place, from 0, in the order of columns that tell rows apart; and the number of rows. Each task numbers its own
+    stretch of the sorted rows; what is gathered is one count per stretch."""
+    sorted_ = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    part, within = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = sorted_.select("*", part.alias("_part"), within.alias("_in"))
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect()
+    first, before = {}, 0
+    for r in sorted(counts):
+        first[r["_part"]], before = before, before + r["_n"]
+    start = F.create_map(*[F.lit(x) for kv in first.items() for x in kv]) if first else F.lit(None).cast("map<bigint,int>")
+    return numbered.withColumn("place", (F.element_at(start, F.col("_part")) + F.col("_in")).cast("long")).drop("_id", "_part", "_in"), before
+
+
 def round_robin(rows: DataFrame, place: Column, shards: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int"))
 
@@ -63,11 +77,11 @@ def last_before(events: DataFrame, probes: DataFrame, key: list[str], at: str, v
     return seen.where("_kind = 0").select(*key, at, value)
 
 
-def longest_prefix(texts: DataFrame, cached: DataFrame, longest: int) -> DataFrame:
-    """(id, prefix): the longest cached prefix of each text. Texts meet prefixes by an equality join on (length, prefix),
-    for the lengths that the cache has, so nothing is a nested loop; no prefix is longer than `longest`."""
-    sizes = cached.select(F.length("prefix").alias("n")).where(F.col("n") <= longest).distinct().agg(F.sort_array(F.collect_set("n")).alias("sizes"))
-    rows = texts.crossJoin(F.broadcast(sizes))  # one row of at most `longest` numbers
+def longest_prefix(texts: DataFrame, cached: DataFrame) -> DataFrame:
+    """(id, prefix): the longest cached prefix of each text. Texts meet prefixes by an equality join on the prefix, for the
+    lengths that the cache has (one row of as many numbers as the longest prefix has at most), so nothing is a nested loop."""
+    sizes = cached.select(F.length("prefix").alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+    rows = texts.crossJoin(F.broadcast(sizes))
     cut = rows.select("id", F.explode(F.filter("sizes", lambda n: n <= F.length("text"))).alias("n"), "text")
     cut = cut.select("id", F.expr("left(text, n)").alias("prefix"))
     return cut.join(cached.select("prefix").distinct(), "prefix").groupBy("id").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
@@ -99,3 +113,99 @@ def teacher_of(metadata: Column, keys: tuple[str, ...], default: str) -> Column:
 def role_mask(turns: Column, role: str = "assistant") -> Column:
     """One 0 or 1 per word of a conversation's turns, in order: 1 in turns of the role."""
     return F.flatten(F.transform(turns, lambda t: F.transform(F.filter(F.split(t["text"], r"\s+"), lambda w: w != ""), lambda w: (t["role"] == role).cast("int"))))
+
+
+def covered(groups: DataFrame, bank: DataFrame, key: str) -> DataFrame:
+    """Groups with whether the bank has their key. The bank may be large: the join is left to Spark."""
+    return groups.join(bank.select(key, F.lit(True).alias("covered")).distinct(), key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+def chained(rows: DataFrame, parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows with the columns of each part by key; a row that a part lacks is an error."""
+    for i, part in enumerate(parts):
+        mark = f"_in{i}"
+        fail = F.raise_error(F.concat_ws(" ", F.lit(f"part {i} lacks"), *[F.col(k).cast("string") for k in key])).cast("boolean")
+        rows = rows.join(part.withColumn(mark, F.lit(True)), key, "left").where(F.coalesce(F.col(mark), fail)).drop(mark)
+    return rows
+
+
+def positional(pool: DataFrame, index: str, wanted: list[int]) -> DataFrame:
+    """Rows of the pool by listed places, in the list's order as `place`; repeated ones as often."""
+    ids = pool.sparkSession.createDataFrame([(i, w) for i, w in enumerate(wanted)], f"place long, {index} long")
+    return pool.join(F.broadcast(ids), index)  # the list is part of the program
+
+
+def frequent(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Keys that occur `least` times or more, with their number."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def short_prompts(rows: DataFrame, text: str, most: int) -> DataFrame:
+    """Rows whose prompt has at most `most` words; a null prompt, which cannot be measured, goes."""
+    return rows.where(F.regexp_count(F.col(text), F.lit(r"\S+")) <= most)
+
+
+def of_domain(rows: DataFrame, domain: Column, wanted: str, index: str) -> DataFrame:
+    """Rows of one domain, with their place in the whole file kept as src_index."""
+    return rows.where(F.coalesce(domain, F.lit("")) == wanted).withColumn("src_index", F.col(index))
+
+
+def pass_band(rates: DataFrame, lo: float = 0.125, hi: float = 0.875) -> DataFrame:
+    """Prompts that are neither hopeless nor solved."""
+    return rates.where(F.col("pass_rate").between(lo, hi))
+
+
+def unrepeated(rows: DataFrame, key: Column, order: str, most: int) -> DataFrame:
+    """Of generated rows, the first `most` that repeat no earlier one; at most 50 times as many are looked at."""
+    looked = rows.orderBy(order).limit(50 * most).withColumn("_k", key)
+    first = looked.groupBy("_k").agg(F.min(order).alias("_o"))
+    kept = looked.join(first, "_k").where(F.col(order) == F.col("_o"))
+    return kept.orderBy(order).limit(most).drop("_k", "_o")
+
+
+def overridden(metadata: Column, kind: Column, overrides: Column) -> Column:
+    """A string map with rm_type put in, over which the overrides win."""
+    entries = F.concat(F.map_entries(F.coalesce(metadata, F.expr("map()").cast("map<string,string>"))), F.map_entries(F.create_map(F.lit("rm_type"), kind)), F.map_entries(overrides))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def arguments(given: Column, count: Column) -> Column:
+    """Keyword maps without null values, as many as there are instructions: more are cut, missing ones are empty."""
+    kind = "array<map<string,string>>"
+    clean = F.transform(F.coalesce(given, F.array().cast(kind)), lambda m: F.map_filter(F.coalesce(m, F.expr("map()").cast("map<string,string>")), lambda k, v: v.isNotNull()))
+    empty = F.array_repeat(F.expr("map()").cast("map<string,string>"), F.greatest(count - F.size(clean), F.lit(0)))
+    return F.slice(F.concat(clean, empty), 1, count)
+
+
+def resolved(*layers: dict) -> dict:
+    """Settings of several layers, the first that has a value (not None) wins; keys that the last does not know are an error."""
+    known = layers[-1]
+    if unknown := sorted({k for layer in layers for k in layer} - set(known)):
+        raise KeyError(f"unknown settings: {', '.join(unknown)}")
+    return {k: next((layer[k] for layer in layers if layer.get(k) is not None), None) for k in known}
+
+
+def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys of both, of the left or of the right only."""
+    one, two = a.select(key).distinct(), b.select(key).distinct()
+    part = lambda df, name: df.withColumn("side", F.lit(name))
+    return part(one.intersect(two), "both").unionByName(part(one.exceptAll(two), "left")).unionByName(part(two.exceptAll(one), "right"))
+
+
+def student_set(pools: dict[str, DataFrame], per_domain: int, seed: int) -> DataFrame:
+    """(key, domain, src_index): of each domain's pool (key, src_index, label) the first `per_domain` labelled keys in a
+    seeded order, each key once, and no key of an earlier domain."""
+    out = None
+    for domain, pool in pools.items():
+        rows = pool.where("label is not null").groupBy("key").agg(F.min("src_index").alias("src_index"))
+        if out is not None:
+            rows = rows.join(out.select("key"), "key", "left_anti")
+        picked = rows.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(per_domain).withColumn("domain", F.lit(domain))
+        out = picked if out is None else out.unionByName(picked)
+    return out.select("key", "domain", "src_index")
+
+
+def catalogue(rows: DataFrame, prompt: Column, answer: Column) -> DataFrame:
+    """(id, input_sha256, visible, answer): a benchmark's rows, named by the digest of what a model is shown."""
+    return rows.select(F.col("id").cast("string").alias("id"), F.sha2(prompt, 256).alias("input_sha256"), prompt.alias("visible"), answer.alias("answer"))

@@ -143,3 +143,109 @@ def release_scan(files: DataFrame, required: list[str], forbidden: str) -> DataF
     need = files.sparkSession.createDataFrame([(p,) for p in required], "path string")
     missing = need.join(files.select("path"), "path", "left_anti").select("path", F.lit("missing").alias("problem"))
     return missing.unionByName(files.where(F.col("text").rlike(forbidden)).select("path", F.lit("forbidden text").alias("problem")))
+
+
+def rates(rows: DataFrame, by: list[str], truncated: Column, repeated: Column) -> DataFrame:
+    """by, n, truncated_ratio and repetition_frac."""
+    share = lambda c: F.count_if(c) / F.count(F.lit(1))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(truncated).alias("truncated_ratio"), share(repeated).alias("repetition_frac"))
+
+
+def counters(rows: DataFrame, by: list[str], multimodal: Column) -> DataFrame:
+    """by, total, multimodal, text_only and the percentage of all rows."""
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(multimodal).alias("multimodal"))
+    return g.select("*", (F.col("total") - F.col("multimodal")).alias("text_only"), (100 * F.col("total") / F.sum("total").over(Window.partitionBy())).alias("percentage"))
+
+
+def turn_lengths(masks: DataFrame, by: list[str], mask: str, rounds: str, cap: int) -> DataFrame:
+    """by, and mean, max and min of the raw lengths and of those without observations, the share at the cap, mean rounds."""
+    raw, own = F.size(mask), F.aggregate(mask, F.lit(0), lambda a, x: a + x)
+    three = lambda c, name: [F.avg(c).alias(f"{name}_mean"), F.max(c).alias(f"{name}_max"), F.min(c).alias(f"{name}_min")]
+    return masks.groupBy(*by).agg(*three(raw, "raw"), *three(own, "own"), (F.count_if(raw >= cap) / F.count(F.lit(1))).alias("clip_ratio"), F.avg(rounds).alias("rounds_mean"))
+
+
+def numbered(prompts: DataFrame, place: str, copies: int) -> DataFrame:
+    """Each prompt's samples: group_index (its place, from 0), slot, and index over all samples."""
+    rows = prompts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("group_index", F.col(place))
+    return rows.withColumn("index", F.col("group_index") * copies + F.col("slot"))
+
+
+def elapsed(log: DataFrame) -> DataFrame:
+    """(timer, seconds, calls) from (timer, start, stop)."""
+    return log.groupBy("timer").agg(F.sum(F.col("stop") - F.col("start")).alias("seconds"), F.count(F.lit(1)).alias("calls"))
+
+
+def most_common(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """Values with their number and rank: the commonest first, of equals the one seen first."""
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "_first"))).drop("_first")
+
+
+def buffer_first(buffer: DataFrame, fresh: DataFrame, order: str, n: int) -> DataFrame:
+    """n rows: those of the buffer in order, then fresh ones; `source` says which."""
+    both = buffer.withColumn("source", F.lit(0)).unionByName(fresh.withColumn("source", F.lit(1)))
+    return both.orderBy("source", order).limit(n)
+
+
+def least_loaded_worker(workers: DataFrame, by: list[str]) -> DataFrame:
+    """by, worker: the healthy one with the fewest requests, of equals the first by name."""
+    healthy = workers.where("healthy").groupBy(*by).agg(F.min(F.struct("load", "worker")).alias("w"))
+    return healthy.select(*by, F.col("w.worker").alias("worker"), F.col("w.load").alias("load"))
+
+
+def ends(rows: DataFrame, order: list[str], share: float) -> DataFrame:
+    """The first and the last floor(n x share / 2) rows of a dump, for a look at both ends."""
+    half = int(rows.count() * share / 2)
+    first = rows.orderBy(*order).limit(half)
+    return first.unionByName(rows.orderBy(*[F.col(c).desc() for c in order]).limit(half))
+
+
+def periodic(step: Column, interval: int, per_epoch: int, last: int) -> Column:
+    """Whether something is due after a step (from 0): each interval, at an epoch's end, and after the last."""
+    due = F.pmod(step + 1, F.lit(interval)) == 0 if interval else F.lit(False)
+    return due | (F.pmod(step + 1, F.lit(per_epoch)) == 0 if per_epoch else F.lit(False)) | (step == last)
+
+
+def rollout_step(rollout: Column, size: int, batch: int) -> Column:
+    """The training step that a rollout begins, when each takes size / batch steps."""
+    return F.expr(f"{size} div {batch}") * rollout
+
+
+def restored(sent: DataFrame, results: DataFrame, at: str, index: str) -> DataFrame:
+    """Results, which name their place `at` in what was sent, in the original order of `index`."""
+    return sent.select(at, index).join(results, at).drop(at)
+
+
+def random_reward(key: Column, seed: int) -> Column:
+    """0 or 1 by hash: the same for a key in every run."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2)).cast("double")
+
+
+def cells(models: list[str], caps: list[int], suites: list[str], spark) -> DataFrame:
+    """Every (model, cap, suite) of an evaluation: a product of three short lists."""
+    one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+    return one("model", models, "string").crossJoin(one("cap", caps, "int")).crossJoin(one("suite", suites, "string"))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with the table's value by keys; one that the table lacks is an error."""
+    fail = F.raise_error(F.concat_ws(" ", F.lit("no row for"), *[F.col(k).cast("string") for k in keys])).cast(dict(table.dtypes)[value])
+    return rows.join(table.select(*keys, F.col(value).alias("_v")), keys, "left").withColumn(value, F.coalesce("_v", fail)).drop("_v")
+
+
+def resumed(todo: DataFrame, cache: DataFrame, key: str, versions: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, left): cached results whose key is still wanted in the same versions, and what must be done again."""
+    same = [key, *versions]
+    kept = cache.dropDuplicates(same).join(todo.select(*same), same, "left_semi")
+    return kept, todo.join(kept.select(*same), same, "left_anti")
+
+
+def rescored(dump: DataFrame, reward: Column) -> DataFrame:
+    """A stored rollout with another reward, and by how much it differs from the stored one."""
+    return dump.withColumn("new_reward", reward).withColumn("difference", F.col("new_reward") - F.col("reward"))
+
+
+def eval_log(samples: DataFrame, datasets: str, key: str) -> DataFrame:
+    """For each dataset: problems, samples, mean reward, truncated ratio, and pass rate of the best sample."""
+    per = samples.groupBy(datasets, key).agg(F.count(F.lit(1)).alias("_n"), F.avg("reward").alias("_r"), F.max("reward").alias("_best"), F.count_if(F.col("status") == "truncated").alias("_t"))
+    return per.groupBy(datasets).agg(F.count(F.lit(1)).alias("problems"), F.sum("_n").alias("samples"), (F.sum(F.col("_r") * F.col("_n")) / F.sum("_n")).alias("mean_reward"), (F.sum("_t") / F.sum("_n")).alias("truncated_ratio"), F.avg("_best").alias("best_reward"))

@@ -162,3 +162,77 @@ def advantages(tokens: DataFrame, estimator: str, kl_coef: float = 0.0, gamma: f
         adv = discounted(rewards, gamma)
     both = rows.select(*keys, F.explode(F.arrays_zip(F.col("t.pos").alias("pos"), adv.alias("adv"))).alias("x"))
     return both.select(*keys, "x.pos", "x.adv")
+
+
+def injected(advantage: Column, constant: Column) -> Column:
+    """An injected sample's constant instead of its advantages; 0, or none, keeps them."""
+    return F.when(constant > 0, constant).otherwise(advantage)
+
+
+def near_teacher(log_prob: Column, teacher: Column, most: float) -> Column:
+    """1 where the student is less than `most` away from the teacher, else 0: what its loss is multiplied by."""
+    return (F.abs(log_prob - teacher) < most).cast("double")
+
+
+def sft_loss(rows: DataFrame, log_prob: str, keys: list[str]) -> DataFrame:
+    """One row: responses, and minus the mean over responses of the masked mean log-probability."""
+    per = rows.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col("mask"), F.col(log_prob))), F.lit(0.0)) / F.greatest(F.count_if(F.col("mask")), F.lit(1))).alias("_m"))
+    return per.agg(F.count(F.lit(1)).alias("responses"), (-F.avg("_m")).alias("loss"))
+
+
+def policy_total(policy: Column, entropy: Column, kl: Column, entropy_weight: float, kl_weight: float) -> Column:
+    return policy - F.lit(entropy_weight) * entropy + F.lit(kl_weight) * kl
+
+
+def log_weighted_mean_exp(values: Column, weights: Column) -> Column:
+    """log of the sum of weights x exp(values); weights are scaled to 1, and those of 0 leave their value out."""
+    pairs = F.filter(F.arrays_zip(values.alias("v"), weights.alias("w")), lambda x: x["w"] > 0)
+    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
+    top = F.array_max(F.transform(pairs, lambda x: x["v"]))
+    return top + F.log(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"] * F.exp(x["v"] - top)) / total)
+
+
+def teacher_target(mode: str, scores: Column, label: Column, means: Column) -> Column:
+    """(target, applied) from maps of teachers to log-probabilities and to mean scores: the label's teacher, the one with the
+    least mean (first by name in ties), or the pool of all. A teacher without a score is an error."""
+    if mode == "pool":
+        values = F.map_values(scores)
+        return F.struct(log_weighted_mean_exp(values, F.transform(values, lambda v: F.lit(1.0))).alias("target"), F.lit("pool").alias("applied"))
+    least = F.array_min(F.transform(F.map_entries(means), lambda e: F.struct(e["value"].alias("m"), e["key"].alias("t"))))["t"]
+    name = label if mode == "label" else least
+    fail = F.raise_error(F.concat(F.lit("teacher without a score: "), F.coalesce(name, F.lit("none")))).cast("double")
+    return F.struct(F.coalesce(F.try_element_at(scores, name), fail).alias("target"), name.alias("applied"))
+
+
+def response_mask(mask: Column, length: Column) -> Column:
+    """The mask, all ones where there is none; another length or no one at all is an error."""
+    full = F.coalesce(mask, F.array_repeat(F.lit(1), length))
+    fail = lambda what: F.raise_error(F.lit(what)).cast("array<int>")
+    return F.when(F.size(full) != length, fail("mask and response differ in length")).when(~F.exists(full, lambda x: x == 1), fail("empty response mask")).otherwise(full)
+
+
+def response_length(mask: Column) -> Column:
+    """How many places there are from the first 1 on."""
+    first = F.array_position(mask, 1)
+    return F.when(first > 0, F.size(mask) - first + 1).otherwise(F.lit(0)).cast("long")
+
+
+def one_end(ids: Column, end: int) -> Column:
+    """The ids with just one end at their end."""
+    kept = F.filter(F.transform(ids, lambda x, i: F.when(x != end, i)), lambda i: i.isNotNull())
+    return F.concat(F.slice(ids, 1, F.coalesce(F.array_max(kept) + 1, F.lit(0))), F.array(F.lit(end)))
+
+
+def subsequence(ids: Column, pattern: list[int]) -> Column:
+    """Places, from 0, at which the pattern begins, of overlapping ones the first."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ids) - len(pattern), F.lit(0))), lambda i: F.slice(ids, i + 1, len(pattern)) == F.array(*[F.lit(x) for x in pattern]))
+    free = lambda a, i: F.when((F.size(a) == 0) | (F.element_at(a, -1) + len(pattern) <= i), F.concat(a, F.array(i))).otherwise(a)
+    return F.aggregate(starts, F.array().cast("array<int>"), free)
+
+
+def forward_flops(length: Column, layers: int, hidden: int, heads: int, groups: int, head_dim: int, inner: int, vocabulary: int) -> Column:
+    """Floating-point operations of one causal forward pass over a sequence: projections, half the attention square, a gated
+    feed-forward layer of three products, and the output."""
+    n = length.cast("double")
+    attention = 2 * n * hidden * heads * head_dim + 4 * n * hidden * groups * head_dim + 2 * n * n * heads * head_dim + 2 * n * heads * head_dim * hidden
+    return layers * (attention + 6 * n * hidden * inner) + 2 * n * hidden * vocabulary

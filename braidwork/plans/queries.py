@@ -237,9 +237,12 @@ def ratio_vs_mean_ratio(spark, d):
     return groups(spark, d).agg(F.round(F.try_divide(F.sum(F.col("reward") * F.col("length")), F.sum("length")), 6).alias("ratio_of_sums"), F.round(F.avg(F.try_divide(F.col("reward") * F.col("length"), F.col("length"))), 6).alias("mean_of_ratios"))
 
 
-@query("SELECT teacher, status, count(*) n, round(avg(length), 6) mean_length, round(avg(reward), 6) mean_reward FROM grp GROUP BY ROLLUP (teacher, status)")
+@query("SELECT teacher, status, count(*) n, round(avg(length), 6) mean_length, round(sum(round(reward*100)::BIGINT)/(100*count(*)), 6) mean_reward, round(count(*) FILTER (correct)/count(*), 6) correct_rate, round(count(*) FILTER (status = 'truncated')/count(*), 6) truncated_rate, max(length) longest FROM grp GROUP BY ROLLUP (teacher, status)")
 def panel_rollup(spark, d):
-    return groups(spark, d).rollup("teacher", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("length"), 6).alias("mean_length"), F.round(F.avg("reward"), 6).alias("mean_reward"))
+    # Rewards are hundredths: as whole numbers their sum does not depend on its order.
+    n, share = F.count(F.lit(1)), lambda c, name: F.round(F.count_if(c) / F.count(F.lit(1)), 6).alias(name)
+    hundredths = F.round(F.sum(F.round(F.col("reward") * 100).cast("long")) / (100 * n), 6)
+    return groups(spark, d).rollup("teacher", "status").agg(n.alias("n"), F.round(F.avg("length"), 6).alias("mean_length"), hundredths.alias("mean_reward"), share(F.col("correct"), "correct_rate"), share(F.col("status") == "truncated", "truncated_rate"), F.max("length").alias("longest"))
 
 
 @query("SELECT teacher, round(avg(reward) FILTER (correct), 6) correct, round(avg(reward) FILTER (NOT correct), 6) incorrect, round(avg(reward) FILTER (correct) - avg(reward) FILTER (NOT correct), 6) difference FROM grp GROUP BY teacher")
@@ -363,7 +366,7 @@ def asof_last_applied(spark, d):
 def prefix_match(spark, d):
     docs = table(spark, d, "documents")
     cached = docs.where("doc_id % 4 = 0").select(F.expr("left(text, 5 + doc_id % 3 * 10)").alias("prefix"))
-    return pr.longest_prefix(docs.select(F.col("doc_id").alias("id"), "text"), cached, 64)
+    return pr.longest_prefix(docs.select(F.col("doc_id").alias("id"), "text"), cached)
 
 
 @query("SELECT sha256(text) AS \"key\", min(doc_id) doc_id, arg_min(lang, doc_id) lang, max(n_chars) n_chars FROM documents GROUP BY text", views=False)
@@ -381,11 +384,12 @@ def seeded_fill_dedup(spark, d):
     return pr.seeded_fill(docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 <> 0"), "k", "doc_id", "label", 150).select("doc_id", "src")
 
 
-@query("SELECT o_orderkey, (o_orderkey % 8)::INT AS shard, floor(o_orderkey / ceil((SELECT count(*) FROM orders)/4))::INT AS block FROM orders", views=False)
+@query("SELECT o_orderkey, (p % 8)::INT AS shard, floor(p / ceil((SELECT count(*) FROM orders)/4))::INT AS block FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 p FROM orders)", views=False)
 def shard_round_robin(spark, d):
     o = table(spark, d, "orders")
-    both = pr.round_robin(o, F.col("o_orderkey"), 8)
-    return pr.contiguous(both.withColumnRenamed("shard", "rr"), F.col("o_orderkey"), o.count(), 4).select("o_orderkey", F.col("rr").alias("shard"), F.col("shard").alias("block"))
+    placed, n = pr.places(o, ["o_orderdate", "o_orderkey"])
+    both = pr.round_robin(placed, F.col("place"), 8)
+    return pr.contiguous(both.withColumnRenamed("shard", "rr"), F.col("place"), n, 4).select("o_orderkey", F.col("rr").alias("shard"), F.col("shard").alias("block"))
 
 
 @query()
@@ -419,7 +423,7 @@ def token_f1(spark, d):
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id::VARCHAR END box FROM documents", views=False)
 def boxed_extract(spark, d):
     docs = table(spark, d, "documents")
-    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.expr("left(text, 50)"), F.lit("\\boxed{unclosed"))).otherwise(F.concat(F.lit("\\boxed{1} "), F.expr("left(text, 50)"), F.lit("\\boxed{"), F.col("doc_id").cast("string"), F.lit("}")))
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\\boxed{unclosed"))).otherwise(F.concat(F.lit("\\boxed{1} "), "text", F.lit("\\boxed{"), F.col("doc_id").cast("string"), F.lit("}")))
     return docs.select("doc_id", answers.boxed_column(said).alias("box"))
 
 

@@ -17,13 +17,13 @@ def frozen_multipliers(found: DataFrame) -> DataFrame:
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = state.get[0] if state.exists else None
-        for pdf in parts:
-            out = []
-            for r in pdf.sort_values("step").itertuples():
-                if kept is None and r.measurable:
-                    kept = float(r.multiplier)
-                out.append((r.step, key[0], float(r.multiplier) if kept is None else kept))
-            yield pd.DataFrame(out, columns=["step", "domain", "applied"])
+        out = []
+        # The steps' order is that of the whole batch, which may come in several parts; a domain has one row a step.
+        for r in pd.concat(list(parts)).sort_values("step").itertuples():
+            if kept is None and r.measurable:
+                kept = float(r.multiplier)
+            out.append((r.step, key[0], float(r.multiplier) if kept is None else kept))
+        yield pd.DataFrame(out, columns=["step", "domain", "applied"])
         if kept is not None:
             state.update((kept,))
 
@@ -53,6 +53,48 @@ def per_update(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def unseen(stream: DataFrame, key: str) -> DataFrame:
-    """Each key once."""
-    return stream.dropDuplicates([key])
+def unseen(stream: DataFrame, key: str, at: str | None = None, late: str | None = None) -> DataFrame:
+    """Each key once. With an event time `at` and a bound `late` keys are forgotten when none can come any more; without,
+    all are kept for ever, as a set of prompts that must not repeat asks for."""
+    if at is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def bounded_filter(groups: DataFrame, budget: int) -> DataFrame:
+    """Groups (run, group_index, keep) with accept and released: a run's first `budget` groups seen must be kept by their
+    filter, those after are let through. State: how many were seen, kept and dropped."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, kept, dropped = state.get if state.exists else (0, 0, 0)
+        out = []
+        for r in pd.concat(list(parts)).sort_values("group_index").itertuples():
+            released = seen >= budget
+            accept = released or bool(r.keep)
+            seen, kept, dropped = seen + 1, kept + accept, dropped + (not accept)
+            out.append((key[0], r.group_index, accept, released, kept, dropped))
+        state.update((seen, kept, dropped))
+        yield pd.DataFrame(out, columns=["run", "group_index", "accept", "released", "kept", "dropped"])
+
+    kinds = "run string, group_index long, accept boolean, released boolean, kept long, dropped long"
+    return groups.groupBy("run").applyInPandasWithState(run, kinds, "seen long, kept long, dropped long", "append", GroupStateTimeout.NoTimeout)
+
+
+def partial_buffer(samples: DataFrame) -> DataFrame:
+    """Samples (run, step, index, status): finished ones are put out with the step at which they were first seen and whether
+    they are off-policy (begun at an earlier step); others wait in the state, and of several rows the last counts."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, int] = dict(zip(*state.get, strict=True)) if state.exists else {}
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["step", "index_"]).itertuples():
+            first = waiting.setdefault(int(r.index_), int(r.step))
+            if r.status in ("completed", "truncated"):
+                out.append((key[0], r.index_, first, r.step, first < r.step))
+                del waiting[int(r.index_)]
+        state.update((list(waiting), list(waiting.values())))
+        yield pd.DataFrame(out, columns=["run", "index", "first_step", "step", "off_policy"])
+
+    named = samples.withColumnRenamed("index", "index_")
+    kinds = "run string, index long, first_step long, step long, off_policy boolean"
+    return named.groupBy("run").applyInPandasWithState(run, kinds, "ids array<long>, steps array<long>", "append", GroupStateTimeout.NoTimeout)

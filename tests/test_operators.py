@@ -123,7 +123,7 @@ def test_seeded_fill(spark):
 def test_longest_prefix_and_last_before(spark):
     texts = spark.createDataFrame([(1, "abcdef"), (2, "zz")], "id int, text string")
     cached = spark.createDataFrame([("ab",), ("abcd",), ("b",)], "prefix string")
-    assert [(r.id, r.prefix) for r in prompts.longest_prefix(texts, cached, 10).collect()] == [(1, "abcd")]
+    assert [(r.id, r.prefix) for r in prompts.longest_prefix(texts, cached).collect()] == [(1, "abcd")]
     events = spark.createDataFrame([("k", 1, "x"), ("k", 5, "y")], "k string, at int, v string")
     probes = spark.createDataFrame([("k", 5), ("k", 6), ("k", 1)], "k string, at int")
     assert {(r.at, r.v) for r in prompts.last_before(events, probes, ["k"], "at", "v").collect()} == {(5, "x"), (6, "y"), (1, None)}

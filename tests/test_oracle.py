@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from braidwork.plans import more  # noqa: F401  registers its queries
 from braidwork.plans.queries import ORACLE, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
