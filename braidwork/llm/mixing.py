@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule, as DataFrame expressions only.
 
-Time runs in slots t = 0, 1, ...; each takes one block of BLOCK words. Slot t belongs to the source into whose stretch of
-the cumulative weights the fractional part of (t + 1/2) times the golden ratio falls, so that any run of slots is mixed
-nearly to weight. The k-th slot of a source takes its k-th block, and begins anew after the last. A source's blocks cut the
-stream of its documents, put in the order of a hash, into equal numbers of words.
+Time runs in slots t = 0, 1, ..., one for each BLOCK words. Slot t belongs to the source into whose stretch of the cumulative
+weights the fractional part of (t + 1/2) times the golden ratio falls, so that any run of slots is mixed nearly to weight;
+a source whose stretch no slot meets gets one at the end. The stream of a source is its documents in the order of a hash,
+begun anew at its end; the source's slots cut its target, rounded to whole words, from the stream's beginning on into equal
+blocks (of one word more or less), and the k-th slot takes the k-th block. So every source gives just its target.
 
 Edge cases: a null text has no words, a null source is a source (the last); documents without words are never taken;
 repeated rows count each on its own; ties in the order of the hash are broken by id and text; if no source has words, all
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.common import fresh, partitions, running, words_in, written
 
-#: Words in a block; the seed of the order of documents.
+#: Words for a slot; the seed of the order of documents.
 BLOCK, SEED = 64, 11
 #: No document is taken more often than this.
 TIMES = 3
@@ -78,13 +79,19 @@ def schedule(goals: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     return met.select("slot", "source", (F.col("_in") + F.col("_before")).alias("rank"))
 
 
-def uses(goals: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
-    """source, block, times: how often the schedule takes each block of a source; blocks never taken are missing."""
-    plan = schedule(goals, total, block).join(goals.select(F.col("source").alias("_g"), "source_size"), F.col("source").eqNullSafe(F.col("_g")))
-    blocks = F.ceil(F.col("source_size") / block)
-    # Not beyond TIMES rounds, which the rounding of a full source's target to whole slots might begin.
-    plan = plan.where(F.col("rank") < TIMES * blocks)
-    return plan.groupBy("source", F.pmod(F.col("rank"), blocks).alias("block")).agg(F.count(F.lit(1)).alias("times"))
+def blocks(goals: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
+    """slot, source, lo, hi: the words that each slot takes, from `lo` on and before `hi`, of its source's stream, which goes
+    on beyond the source's size by beginning anew."""
+    plan = schedule(goals, total, block)
+    many = plan.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    sizes = goals.select(F.col("source").alias("_g"), "source_size", F.floor(F.col("target") + 0.5).alias("words"))
+    known = sizes.join(many, F.col("_g").eqNullSafe(F.col("source")), "left").drop("source").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    unmet = known.where("slots = 0").select(F.lit(-(-total // block)).cast("long").alias("slot"), F.col("_g").alias("source"), F.lit(0).cast("long").alias("rank"))
+    each = plan.select("slot", "source", F.col("rank").cast("long").alias("rank")).unionByName(unmet)
+    met = each.join(known, F.col("source").eqNullSafe(F.col("_g")))
+    edge = lambda k: F.floor(k.cast("double") * F.col("words") / F.greatest(F.col("slots"), F.lit(1)))
+    cut = met.select("slot", "source", edge(F.col("rank")).alias("lo"), edge(F.col("rank") + 1).alias("hi"))
+    return cut.where("hi > lo")
 
 
 def takes(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
@@ -96,16 +103,29 @@ def takes(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     goals = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     placed = running(rows.where("size > 0"), ["source"], ["mix", "doc_id"], "size", "first", max(partitions(spark), count // 50_000))
-    # Of two documents with words no two begin at the same word of their source's stream.
-    number = lambda at: F.floor(at / F.lit(block))
-    parts = placed.withColumn("block", F.explode(F.sequence(number(F.col("first")), number(F.col("first") + F.col("size") - 1))))
-    used = uses(goals, total, block).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "times")
-    met = parts.join(used, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
-    words = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("first"), F.col("block") * block)
-    taken = met.groupBy("source", "first", "doc_id", "mix", "size").agg(F.sum(words * F.coalesce(F.col("times"), F.lit(0))).alias("taken")).drop("first")
-    found = taken.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    told = found.join(goals.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")))
-    return told.select("doc_id", "source", "mix", "size", "source_size", "target", "taken")
+    told = goals.select(F.col("source").alias("_s"), "source_size", "target")
+    placed = placed.join(told, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # A document's stretches of the stream, as often as the target comes round to it; of two documents of a source no two
+    # begin at the same word.
+    last = F.floor(F.col("target") + 0.5)
+    rounds = F.floor((last - F.col("first") - 1) / F.col("source_size"))
+    parts = placed.withColumn("_round", F.explode(F.when(last > F.col("first"), F.sequence(F.lit(0).cast("long"), rounds))))
+    parts = parts.withColumn("_lo", F.col("first") + F.col("_round") * F.col("source_size"))
+    parts = parts.withColumn("_hi", F.least(F.col("_lo") + F.col("size"), last))
+    # Stretches and blocks meet in the cells of a grid that both touch.
+    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor((hi - 1) / block)))
+    parts = parts.withColumn("_cell", grid(F.col("_lo"), F.col("_hi")))
+    used = blocks(goals, total, block)
+    used = used.select(F.col("source").alias("_t"), "lo", "hi", grid(F.col("lo"), F.col("hi")).alias("_at"))
+    met = parts.join(used, F.col("source").eqNullSafe(F.col("_t")) & (F.col("_cell") == F.col("_at")))
+    both = [F.greatest(F.col("_lo"), F.col("lo"), F.col("_cell") * block), F.least(F.col("_hi"), F.col("hi"), (F.col("_cell") + 1) * block)]
+    met = met.withColumn("_words", F.greatest(both[1] - both[0], F.lit(0)))
+    found = met.groupBy("source", "first").agg(F.sum("_words").cast("long").alias("taken"))
+    found = found.select(F.col("source").alias("_t"), F.col("first").alias("_f"), "taken")
+    taken = placed.join(found, F.col("source").eqNullSafe(F.col("_t")) & (F.col("first") == F.col("_f")), "left")
+    empty = rows.where("size = 0").join(told, F.col("source").eqNullSafe(F.col("_s")))
+    cols = ["doc_id", "source", "mix", "size", "source_size", "target"]
+    return taken.select(*cols, F.coalesce("taken", F.lit(0).cast("long")).alias("taken")).unionByName(empty.select(*cols, F.lit(0).cast("long").alias("taken")))
 
 
 def report(docs: DataFrame) -> DataFrame:

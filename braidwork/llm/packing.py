@@ -1,7 +1,6 @@
 """Packing: length buckets with the least padding, and batches of a fixed budget of words inside each.
 
-The histogram of lengths over all documents has at most as many entries as there are cells: lengths up to EXACT have one
-each, beyond it a cell is one part in 2^FINE of a power of two (its upper end stands for it). Over it dynamic programming
+The histogram has the exact lengths of all documents, no more entries than the longest has words. Over it dynamic programming
 chooses the BUCKETS boundaries for which padding every document to its bucket's boundary adds least. Inside a bucket the
 documents, in the order of a hash, are cut into batches of as many as the budget of padded words holds, at least one.
 
@@ -13,22 +12,15 @@ read; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import partitions, running, words_in, written
 
 BUCKETS, BUDGET = 16, 65_536
-EXACT, FINE = 1024, 7
 SEED = 5
 
 
-def cell(length: Column) -> Column:
-    """The upper end of the histogram's cell that holds a length; 1 for length 0."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - FINE).cast("long"))
-    return F.when(length <= EXACT, F.greatest(length, F.lit(1))).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def boundaries(widths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
     """The ascending boundaries, the last the largest width, that minimise the sum of count x (boundary - width).
 
@@ -74,7 +66,7 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed:
     """doc_id, size (words), bucket (from 0), width (padded words), batch (within the bucket, from 0), slot (in the batch)."""
     rows = docs.select("doc_id", words_in(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix"))
     rows = written(rows, "pack-sizes")
-    found = rows.groupBy(cell(F.col("size")).alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()
+    found = rows.groupBy(F.greatest("size", F.lit(1)).alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()
     ends = boundaries([r.w for r in found], [r.n for r in found], buckets) or [1]
     count = sum(r.n for r in found)
     table = F.array(*[F.lit(e).cast("long") for e in ends])
