@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidwork.operators.prompts import places
+
 RECORD = T.StructType([T.StructField("id", T.StringType()), T.StructField("input_sha256", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("correct", T.StringType()), T.StructField("mean_tokens", T.DoubleType()), T.StructField("cap_hits", T.IntegerType())])
 GENERATION = "id string, input_sha256 string, model string, cap int, n int, responses array<string>, token_counts array<int>, finish_reasons array<string>"
 PROMPT = "prompt array<struct<role:string,content:string>>, label string, domain string, teacher string, metadata struct<domain:string,data_source:string,src_index:bigint>"
@@ -42,14 +44,29 @@ def parse_slice(path: str) -> tuple[str, int | None, int | None]:
 
 
 def sliced(rows: DataFrame, order: str, lo: int | None, hi: int | None) -> DataFrame:
-    """Rows lo to hi by an explicit order column; only the first hi rows are ordered in one task."""
-    if lo is None and hi is None:
+    """Rows lo to hi by an explicit order column that tells rows apart. Each task numbers its own stretch of the sorted rows."""
+    if not lo and hi is None:
         return rows
-    head = rows.orderBy(order).limit(hi) if hi is not None else rows
     if not lo:
-        return head
-    place = F.row_number().over(Window.orderBy(order))
-    return head.withColumn("_r", place).where(F.col("_r") > lo).drop("_r")
+        return rows.orderBy(order).limit(hi)
+    placed, _ = places(rows, [order])
+    inside = F.col("place") >= lo
+    return placed.where(inside if hi is None else inside & (F.col("place") < hi)).drop("place")
+
+
+def json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files that are one JSON array each, named by the offset at which they start: their rows with start and place (in the
+    file), by which they are in order."""
+    read = spark.read.schema(schema).option("multiLine", True).json(path)
+    start = F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*\z", 1).cast("long")
+    # A file is read by one task, in which numbers grow.
+    rows = read.select("*", start.alias("start"), F.monotonically_increasing_id().alias("_id"))
+    return rows.withColumn("place", F.col("_id") - F.min("_id").over(Window.partitionBy("start"))).drop("_id")
+
+
+def json_document(spark: SparkSession, path: str, schema: str, field_: str) -> DataFrame:
+    """One nested JSON document: the rows of an array of it, with their fields as columns."""
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline(field_))
 
 
 @dataclass

@@ -147,3 +147,39 @@ def test_karmarkar_karp_parts_every_row(spark):
     got = plans.karmarkar_karp(spark, sf).collect()
     assert len(got) == len(rows) == len(want)
     assert {(r.teacher, r.batch, r.group_index, r.slot): r.part for r in got} == want
+
+
+def test_seed_interval_of_like_draws():
+    rng = np.random.default_rng(3)
+    draws = {s: rng.normal(1.0, 0.1, 4000) for s in (42, 43, 44)}
+    lo, hi = evaluation.seed_interval(draws, np.random.default_rng(1))
+    assert 0.85 < lo < 0.95 and 1.05 < hi < 1.15
+    apart = {s: np.full(4000, float(i)) for i, s in enumerate(draws)}
+    assert evaluation.seed_interval(apart, np.random.default_rng(1)) == (0.0, 2.0)
+
+
+def test_settings_of_layers():
+    assert prompts.resolved({"a": None, "b": 2}, {"a": 1, "b": 3, "c": None}) == {"a": 1, "b": 2, "c": None}
+    try:
+        prompts.resolved({"x": 1}, {"a": 1})
+    except KeyError:
+        return
+    raise AssertionError
+
+
+def test_trimmed_with_ties(spark):
+    rows = spark.createDataFrame([(i, 1 if i < 9 else None) for i in range(11)], "i long, k long")
+    left = groups.trimmed(rows, ["k"], 5)
+    assert left.count() == 10 and left.columns == ["i", "k"]
+
+
+def test_places_number_sorted_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "i long").repartition(7)
+    rows, n = prompts.places(df, ["i"])
+    assert n == 101 and all(r.place == r.i for r in rows.collect())
+
+
+def test_streamed_groups_of_a_partition_are_whole(spark):
+    rows = spark.createDataFrame([(g, s, float(s % 3), s % 2 == 0) for g in range(40) for s in range(5)], "group_index long, slot int, reward double, correct boolean")
+    got = groups.greedy_margin_mask(rows.repartition(3), 0.5).collect()
+    assert len(got) == 200 and len({tuple(sorted((r.slot, r.masked) for r in got if r.group_index == g)) for g in range(40)}) == 1

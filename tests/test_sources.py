@@ -48,3 +48,39 @@ def test_streamed_frozen_multipliers_equal_the_batch(spark, tmp_path):
     q = state.frozen_multipliers(stream).writeStream.format("memory").queryName("frozen").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.step, r.applied) for r in spark.table("frozen").collect()) == [(1, 1.0), (2, 2.0), (3, 2.0)]
+
+
+def test_json_arrays_and_documents(spark, tmp_path):
+    for start, ids in ((0, [5, 3]), (2, [9]), (10, [1, 7, 2])):
+        (tmp_path / f"chunk_{start}.json").write_text("[" + ",\n ".join(f'{{"id": {i}}}' for i in ids) + "]")
+    rows = readers.json_arrays(spark, str(tmp_path / "chunk_*.json"), "id long").orderBy("start", "place").collect()
+    assert [(r.start, r.id) for r in rows] == [(0, 5), (0, 3), (2, 9), (10, 1), (10, 7), (10, 2)]
+    (tmp_path / "doc.json").write_text('{"size": "2B",\n "contrasts": [{"a": "x", "delta": 1.5},\n {"a": "y", "delta": -1}]}')
+    assert [tuple(r) for r in readers.json_document(spark, str(tmp_path / "doc.json"), "size string, contrasts array<struct<a:string,delta:double>>", "contrasts").collect()] == [("x", 1.5), ("y", -1.0)]
+
+
+def test_slices_without_an_end(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)], "i long").repartition(6)
+    assert sorted(r.i for r in readers.sliced(df, "i", 45, None).collect()) == [45, 46, 47, 48, 49]
+    assert sorted(r.i for r in readers.sliced(df, "i", 3, 6).collect()) == [3, 4, 5]
+
+
+def _streamed(spark, tmp_path, batches, schema, operator, name):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    q = operator(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_streamed_filter_releases_after_its_budget(spark, tmp_path):
+    batches = [[("r", 1, True), ("r", 2, False)], [("r", 3, False), ("r", 4, False)]]
+    rows = _streamed(spark, tmp_path, batches, "run string, group_index long, keep boolean", lambda s: state.bounded_filter(s, 3), "bounded")
+    assert sorted((r.group_index, r.accept, r.released) for r in rows) == [(1, True, False), (2, False, False), (3, False, False), (4, True, True)]
+
+
+def test_streamed_buffer_keeps_partial_samples(spark, tmp_path):
+    batches = [[("r", 1, 0, "aborted"), ("r", 1, 1, "completed")], [("r", 2, 0, "completed"), ("r", 2, 2, "truncated")]]
+    rows = _streamed(spark, tmp_path, batches, "run string, step long, index long, status string", state.partial_buffer, "partial")
+    assert sorted((r["index"], r.first_step, r.step, r.off_policy) for r in rows) == [(0, 1, 2, True), (1, 1, 1, False), (2, 2, 2, False)]
