@@ -2,17 +2,19 @@
 
 A shard is an inverted index of some documents in the memory of a task: for each term its postings in the order of the
 shard's documents, cut into blocks of BLOCK documents with the greatest weight of each. For a query the blocks' maxima add
-up to bounds; the blocks with the best bounds are scored first, and then those whose bound reaches the k-th best score. The
-COMMON commonest terms of a shard, whose postings would be most of its documents, are a matrix instead: their part of all
-scores comes first, is exact, and makes both bounds and the k-th best score tight from the start.
-Document frequencies, the number and the mean length of documents are global, so shards' scores compare and the best k of
-all shards' best are the best k. Documents of a shard are ordered by their commonest word, which tightens the bounds.
-
-Queries come in blocks of at most PAIRS words with counts; each is broadcast, so its size is bounded, and the shards are
-gone through once for each.
-
-Edge cases: null and empty texts match nothing; a query without words has no results; equal scores are ranked by id
-(nulls last); repeated rows are documents of their own; other columns are not read; an empty table gives an empty result.
+up to bounds, and only blocks whose bound reaches the k-th best score so far are scored. That score is known from the start:
+a SEEDS-th of the documents is searched first, and its k-th best score is a lower bound for all others. The COMMON commonest
+terms of a shard, that stand in most of its blocks, so that no block could be passed over for them, are a matrix instead:
+their part of all scores is one product for many queries, exact, and makes the bounds tight. Document frequencies, the number
+and the mean length of documents are global, so shards' scores compare and the best k of all shards' best are the best k.
+Documents of a shard are ordered by their commonest word, which tightens the bounds.
+
+Queries come in sets of at most PAIRS words with counts; one set at a time is broadcast, and the shards are gone through once
+for each.
+
+Edge cases: null and empty texts match nothing; a query without words or without an id has no results; different rows of one
+query id are one query, whose words count together, and equal ones count once; equal scores are ranked by id (nulls last);
+repeated rows are documents of their own; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import partitions, running, written
+from braidwork.llm.common import forget, partitions, running, written
 from braidwork.llm.near import words
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK, DOCUMENTS, WORDS = 32, 16_384, 8_000_000
-#: Terms of a shard that are kept as a matrix; blocks scored before the bounds are looked at again.
-COMMON, FIRST = 256, 8
-PAIRS = 3_000_000
+#: Terms of a shard that are kept as a matrix; blocks scored before the bounds are looked at again; the share searched first.
+COMMON, FIRST, SEEDS = 256, 8, 16
+PAIRS = 2_000_000
 
 
 def _terms(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -86,7 +88,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
                 terms, n, _ = _terms(t.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([q.as_py()] * len(terms), pa.int64()), pa.array(terms), pa.array(n.astype(np.int32))], ["query_id", "term", "n"])
 
-    return queries.select("query_id", "text").mapInArrow(emit, "query_id long, term long, n int")
+    rows = queries.where("query_id is not null").select("query_id", "text").distinct()
+    found = rows.mapInArrow(emit, "query_id long, term long, n int")
+    return found.groupBy("query_id", "term").agg(F.sum("n").cast("int").alias("n"))
 
 
 class Shard:
@@ -146,31 +150,32 @@ class Shard:
         self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
         self.times = np.zeros(len(self.terms))
 
-    def best(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """For each query (terms, times) the k best (score to six places, index in docs) with a score above 0; ties go to
-        the lesser id."""
+    def best(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[float, int]]]:
+        """For each query (terms, times, least score asked for) the k best (score to six places, index in docs) with a score
+        above 0; ties go to the lesser id."""
         dense = np.zeros((len(queries), len(self.matrix)), np.float32)
-        for i, (t, n) in enumerate(queries):
+        for i, (t, n, _) in enumerate(queries):
             c = self.column[t]
             dense[i, c[c >= 0]] = n[c >= 0]
         scores = dense @ self.matrix
-        return [self._one(s, t, n, k) for s, (t, n) in zip(scores, queries, strict=True)]
+        return [self._one(s, t, n, least, k) for s, (t, n, least) in zip(scores, queries, strict=True)]
 
-    def _least(self, s: np.ndarray, k: int) -> float:
-        """The k-th best score so far, with room for the rounding of single precision."""
-        return float(np.partition(s, -k)[-k]) * (1 - 1e-4) if len(s) > k else 0.0
+    def _least(self, s: np.ndarray, least: float, k: int) -> float:
+        """The k-th best score so far or that asked for, with room for the rounding of single precision."""
+        return max(least, float(np.partition(s, -k)[-k]) if len(s) > k else 0.0) * (1 - 1e-4) - 1e-5
 
-    def _one(self, s: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int) -> list[tuple[float, int]]:
-        lo, n = self.first[terms], self.first[terms + 1] - self.first[terms]
+    def _one(self, s: np.ndarray, terms: np.ndarray, times: np.ndarray, least: float, k: int) -> list[tuple[float, int]]:
+        rare = self.column[terms] < 0
+        lo, n = self.first[terms[rare]], self.first[terms[rare] + 1] - self.first[terms[rare]]
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         if len(entry):
-            factor = np.repeat(times.astype(np.float32), n)
+            factor = np.repeat(times[rare].astype(np.float32), n)
             block = self.block[entry]
             bound = s.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, factor * self.most[entry], self.blocks)
             open_ = bound > 0
             # The commonest terms' scores are lower bounds already; then the best blocks, then all that may still matter.
-            for part in (FIRST, self.blocks):
-                chosen = open_ & (bound >= self._least(s, k))
+            for part in (self.blocks,) if least > 0 else (FIRST, self.blocks):
+                chosen = open_ & (bound >= (least * (1 - 1e-4) - 1e-5 if least > 0 else self._least(s, least, k)))
                 if chosen.sum() > part:
                     at = np.flatnonzero(chosen)
                     chosen[:] = False
@@ -178,10 +183,14 @@ class Shard:
                 open_ &= ~chosen
                 sel = chosen[block]
                 e = entry[sel]
+                if not len(e):
+                    continue
                 size = self.begin[e + 1] - self.begin[e]
                 post = np.repeat(self.begin[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 s += np.bincount(self.post[post], np.repeat(factor[sel], size) * self.worth[post], len(s)).astype(np.float32)
-        near = np.flatnonzero((s > 0) & (s >= self._least(s, k)))
+        near = np.flatnonzero(s >= max(1e-6, least * (1 - 1e-4) - 1e-5))
+        if len(near) > k:
+            near = near[s[near] >= self._least(s[near], least, k)]
         if not len(near):
             return []
         # Exact scores of what is left.
@@ -191,7 +200,7 @@ class Shard:
         exact = np.round(np.add.reduceat(self.times[self.term[at]] * self.weight[at], np.cumsum(size) - size), 6)
         self.times[terms] = 0
         order = np.lexsort((self.ids[near], -exact))[:k]
-        return [(float(exact[i]), int(near[i])) for i in order]
+        return [(float(exact[i]), int(near[i])) for i in order if exact[i] > 0 and exact[i] >= least]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -205,18 +214,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     placed = running(sizes.withColumn("one", F.lit(1)), ["one"], ["query_id"], "n", "at", partitions(spark))
     numbered = placed.select("query_id", F.floor(F.col("at") / PAIRS).alias("set"))
     weighted = written(asked.join(numbered, "query_id").join(stats, "term"), "search-terms")
-    out = None
+    schema = "query_id long, rank int, doc_id long, score double"
+    out = spark.createDataFrame([], schema)
     for number in range(-(-total // PAIRS)):
         table = weighted.where(F.col("set") == number).select("query_id", "term", "n", "df").toArrow()
-        found = _searched(docs, table, count, mean, k)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+        if table.num_rows:
+            out = out.unionByName(_searched(docs, table, count, mean, k))
+    return out
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def _searched(docs: DataFrame, table: pa.Table, count: int, mean: float, k: int) -> DataFrame:
+    """The results of one set of queries, written."""
     query, term, n, df = (table.column(c).to_numpy() for c in ("query_id", "term", "n", "df"))
     terms, at = np.unique(term, return_inverse=True)
     frequency = np.zeros(len(terms))
@@ -224,32 +237,59 @@ def _searched(docs: DataFrame, table: pa.Table, count: int, mean: float, k: int)
     idf = np.log(1 + (count - frequency + 0.5) / (frequency + 0.5))
     order = np.argsort(query, kind="stable")
     ids, first = np.unique(query[order], return_index=True)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, idf, ids, np.append(first, len(order)), at[order].astype(np.int32), n[order]))
+    index = (terms, idf, ids, np.append(first, len(order)), at[order].astype(np.int32), n[order])
+    del table, query, term, df, frequency, order
+    spark, least = docs.sparkSession, np.zeros(len(ids))
+    shared = spark.sparkContext.broadcast(index)
+    few = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(SEEDS)) == 0
+    # So few documents in each file that some files make a shard.
+    some = docs.select("doc_id", "text").where(few).repartition(max(1, partitions(spark) // SEEDS))
+    seeds = written(_ranked(_shards(some, shared, least, mean, k), k), "search-seeds")
+    known = seeds.where(F.col("rank") == k).select("query_id", "score").toArrow()
+    least[np.searchsorted(ids, known.column(0).to_numpy())] = known.column(1).to_numpy()
+    rest = _shards(docs.select("doc_id", "text").where(~few), shared, least, mean, k)
+    found = written(_ranked(seeds.drop("rank").unionByName(rest), k), "search-found")
+    forget(seeds)
+    shared.destroy()
+    return found
+
+
+def _shards(docs: DataFrame, shared, least: np.ndarray, mean: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score): for each task and query the k best of its documents with the least score or more."""
+    asked = docs.sparkSession.sparkContext.broadcast(least)
 
     def run(batches):
         terms, idf, ids, first, at, n = shared.value
+        floor = asked.value.copy()
+        best: list[list[tuple[float, int, int | None]]] = [[] for _ in ids]
 
-        def answers(shard):
+        def search(shard):
             shard.seal()
-            rows = []
             for lo in range(0, len(ids), 128):
                 part = range(lo, min(lo + 128, len(ids)))
-                found = shard.best([(at[first[i] : first[i + 1]], n[first[i] : first[i + 1]]) for i in part], k)
-                rows += [(int(ids[i]), shard.docs[d], s) for i, best in zip(part, found, strict=True) for s, d in best]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "doc_id", "score"])
+                found = shard.best([(at[first[i] : first[i + 1]], n[first[i] : first[i + 1]], floor[i]) for i in part], k)
+                for i, rows in zip(part, found, strict=True):
+                    if rows:
+                        more = [(-s, int(shard.ids[d]), shard.docs[d]) for s, d in rows]
+                        best[i] = sorted(best[i] + more, key=lambda r: r[:2])[:k] if best[i] else more
+                        if len(best[i]) == k:
+                            floor[i] = max(floor[i], -best[i][-1][0])
 
         shard = Shard(terms, idf, mean)
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1), strict=True):
                 shard.add(doc.as_py(), text.as_py())
                 if shard.full():
-                    yield answers(shard)
+                    search(shard)
                     shard = Shard(terms, idf, mean)
         if shard.docs:
-            yield answers(shard)
+            search(shard)
+        rows = [(int(ids[i]), doc, -s) for i, found in enumerate(best) for s, _, doc in found]
+        for lo in range(0, len(rows), 100_000):
+            cols = list(zip(*rows[lo : lo + 100_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "query_id long, doc_id long, score double")
+    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:
