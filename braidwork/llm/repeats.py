@@ -525,17 +525,18 @@ def stretches(docs: DataFrame, parts: int) -> DataFrame:
             at, found = deal(repeated(blobs) if part < parts else again(blobs))
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found, pa.binary())], ["bucket", "gone"])
 
-    def join(table: pa.Table) -> pa.Table:
+    def join(batches):
         """All stretches of a bucket of documents: one row for each of them."""
-        found = joined(np.frombuffer(b"".join(x.as_py() for x in table.column("gone")), GONE))
+        found = joined(np.frombuffer(b"".join(x.as_py() for b in batches for x in b.column(1)), GONE))
         at = np.flatnonzero(np.append(True, found["doc"][1:] != found["doc"][:-1])) if len(found) else np.zeros(0, int)
         pairs = np.stack([found["start"], found["stop"]], axis=1)
         blobs = [p.tobytes() for p in np.split(pairs, at[1:])] if len(found) else []
-        return pa.table({"doc": pa.array(found["doc"][at], pa.int64()), "gone": pa.array(blobs, pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array(found["doc"][at], pa.int64()), pa.array(blobs, pa.binary())], ["doc", "gone"])
 
-    sent = docs.mapInArrow(emit, "part int, run binary").repartition(buckets, "part").sortWithinPartitions("part")
+    # Parts go to partitions in turn, as a hash would leave some partitions many of them and some none.
+    sent = docs.mapInArrow(emit, "part int, run binary").repartitionById(buckets, F.col("part") % buckets).sortWithinPartitions("part")
     found = sent.mapInArrow(settle, "bucket int, gone binary")
-    return found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "doc long, gone binary")
+    return found.repartitionById(buckets, "bucket").mapInArrow(join, "doc long, gone binary")
 
 
 def _seen(t: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, meta: np.ndarray, several: np.ndarray):
