@@ -17,9 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share; a temporary one only where none is set and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="braidwork-")
         shared_dir.own = folder
     return folder
@@ -33,6 +35,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As written(), one row of each `key`, dealt by it into as many buckets as there are partitions: joins by `key` do not
+    move it again."""
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", partitions(spark)
+    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).format("parquet").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table that `df`, from written() or bucketed() and with columns chosen at most, reads; nothing else may
+    need it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rpartition("/")[2].replace("_", "").isalnum():
+            spark.sql(f"drop table if exists {path.rpartition('/')[2]}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` has not, whatever the case of its letters."""
     have = {c.lower() for c in df.columns}

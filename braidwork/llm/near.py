@@ -1,19 +1,22 @@
 """MinHash near-dedup by order MinHash: sketches sensitive to edit similarity, verified by banded alignment.
 
 A text is its words (runs of letters and digits, lower-cased). Its 5-word k-mers are labelled with their occurrence
-number, so repeated ones count as often as they stand. For each of SKETCHES orders the TAKE least labelled k-mers are
-taken and put back into the order of the text; their hash is one bucket of the text. With TAKE = 1 two texts whose k-mers
-have Jaccard similarity j meet with probability 1 - (1 - j)^SKETCHES: 0.995 at a fifth of the words substituted at random.
-Few k-mers of a short text survive an edit, so texts of up to SHORT words have exact buckets besides: their runs of words
-so long that similar texts share one. Texts that share a bucket are candidates; they are linked if the edit distance of
-their words, found inside a band, is at most a fifth of the longer.
-
-Groups are the connected components of links. Exact copies are one node from the start. First each text is held against the
-first or the last of its bucket by length, the one it shares most buckets with; NEAREST times then against the one of
-another component that is nearest by its gauge; and at last every pair of a bucket is aligned that links do not join yet
-and whose lengths and gauges allow it. A gauge counts a text's words by hash, and bounds the edit distance from below, so
-nothing is lost by it. Hot buckets are dealt in blocks, and only pairs that pass leave a task. A pair is missed only if no
-bucket holds both.
+number, so repeated ones count as often as they stand. For each of SKETCHES orders the least labelled k-mer is taken, and
+all of them are kept with their places: the sketch is several minima in the order of the text. A k-mer of one order is a
+bucket. Texts are candidates if they share buckets of SHARED or more orders whose k-mers stand in the same order in both (the
+covariance of their places is above 0): with Jaccard similarity 0.2 of their k-mers, as a fifth of the words substituted at
+random leaves, two of 32 are shared with probability 0.993. Few k-mers of a short text survive an edit, so texts of up to
+SHORT words have exact buckets besides, one of which is enough: their runs of words so long that similar texts share one.
+Candidates are linked if the edit distance of their words, found inside a band, is at most a fifth of the longer.
+
+Groups are the connected components of links. Exact copies are one node from the start, with the least id of that text as
+its name, so that the least name of a component is that of its group. First each text is held against one of two texts of its
+buckets, the least by name and the one whose own buckets are fullest, which of a family of copies is one with few edits: that
+with which it shares most buckets. NEAREST times then against the one of another component in each of its buckets that is
+nearest by its gauge; and at last every candidate pair is aligned that links do not join yet and whose lengths and gauges allow it. A
+gauge counts a text's words by hash, and bounds the edit distance from below, so nothing is lost by it. Hot buckets are
+dealt in blocks: those of the commonest component are held against those of the others, and these against each other; only
+pairs that pass leave a task.
 
 Edge cases: a null text counts as empty; texts without words are grouped only with their exact copies; a text of fewer
 than five words is one k-mer; repeated rows are copies; ids that are null are ordered last; other columns are not read;
@@ -30,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import fresh, written
+from braidwork.llm.common import bucketed, forget, fresh, written
 
-K, TAKE, SKETCHES, SIMILAR, NEAREST = 5, 1, 24, 0.8, 2
+K, SKETCHES, SHARED, SIMILAR, NEAREST = 5, 32, 2, 0.8, 1
 #: A text of at most 30 words has similar ones of at most SHORT words.
 SHORT = 37
-#: Cells of a gauge, and members of a bucket that are dealt as one block.
-CELLS, BLOCK = 64, 512
+#: Cells of a gauge (half a byte each), how many of them are one in its rough form, and members of a bucket that are dealt as
+#: one block.
+CELLS, FOLD, BLOCK = 256, 4, 512
 #: Fixed odd multipliers of the orders, from a linear congruence.
 SEEDS = np.array([(i * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (1 << 64) | 1 for i in range(1, SKETCHES + 1)], np.uint64)
 POWERS = 64
+#: Power of two of the bits of the filter of wanted texts: 2 MB.
+FILTER = 24
 
 
 class _Letters:
@@ -88,11 +94,11 @@ def kmers(w: np.ndarray, k: int = K) -> np.ndarray:
     return mix(h)
 
 
-def sketch(w: np.ndarray) -> np.ndarray:
-    """SKETCHES buckets of the text with word hashes `w`; none if it has no words."""
+def sketch(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SKETCHES buckets of the text with word hashes `w`, and the places of their k-mers; none if it has no words."""
     h = kmers(w)
     if not len(h):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.append(True, s[1:] != s[:-1])
@@ -100,18 +106,32 @@ def sketch(w: np.ndarray) -> np.ndarray:
     occurrence = np.empty(len(s), np.uint64)
     occurrence[order] = (np.arange(len(s)) - first).astype(np.uint64)
     labelled = mix(h + occurrence * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    take = min(TAKE, len(h))
-    out = np.empty(SKETCHES, np.uint64)
+    out, place = np.empty(SKETCHES, np.uint64), np.empty(SKETCHES, np.int32)
     for lo in range(0, SKETCHES, step := max(1, min(SKETCHES, 2_000_000 // len(h)))):
         v = labelled[None, :] * SEEDS[lo : lo + step, None]
         v ^= v >> np.uint64(29)
-        least = np.argpartition(v, take - 1, axis=1)[:, :take] if take < len(h) else np.tile(np.arange(take), (len(v), 1))
-        least = np.sort(least, axis=1)
-        g = np.arange(lo, lo + len(v)).astype(np.uint64)
-        for i in range(take):
-            g = mix(g * np.uint64(0xD6E8FEB86659FD93) + h[least[:, i]])
-        out[lo : lo + step] = g
-    return out.view(np.int64)
+        least = v.argmin(axis=1)
+        place[lo : lo + step] = least
+        out[lo : lo + step] = mix(np.arange(lo, lo + len(v)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + h[least])
+    return out.view(np.int64), place
+
+
+def marks(buckets: np.ndarray, places: np.ndarray) -> bytes:
+    """A sketch by which two texts are compared: of each order 32 bits of its bucket, and the rank of its k-mer's place."""
+    if not len(buckets):
+        return bytes(5 * SKETCHES)
+    rank = np.unique(places, return_inverse=True)[1].astype(np.uint8)
+    return buckets.astype(np.uint32).tobytes() + rank.tobytes()
+
+
+def alike(one: np.ndarray, rank_one: np.ndarray, two: np.ndarray, rank_two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sketches, a row each: whether SHARED orders or more have the same k-mer, in the same order of their
+    places; and the first of these orders (SKETCHES if none)."""
+    same = one == two
+    n = same.sum(axis=1)
+    x, y = (np.where(same, a, 0).astype(np.int32) for a in (rank_one, rank_two))
+    covariance = n * (x * y).sum(axis=1) - x.sum(axis=1) * y.sum(axis=1)
+    return (n >= SHARED) & (covariance > 0), np.where(n > 0, same.argmax(axis=1), SKETCHES)
 
 
 def runs(w: np.ndarray) -> np.ndarray:
@@ -186,43 +206,62 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def gauge(w: np.ndarray) -> np.ndarray:
-    """Counts of the words by hash. What two gauges differ by, in the one direction or the other, their texts differ by."""
-    return np.minimum(np.bincount((w % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+    """Counts of the words by hash, of 15 at most, two in a byte. What two gauges differ by, in the one direction or the other,
+    their texts differ by; nor does a bound on counts, or their sum, add to it."""
+    n = np.minimum(np.bincount((w % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 15).astype(np.uint8)
+    return n[::2] << 4 | n[1::2]
+
+
+def _cells(gauges: np.ndarray) -> np.ndarray:
+    """Gauges, a row each, as counts."""
+    out = np.empty((len(gauges), CELLS), np.int8)
+    out[:, ::2], out[:, 1::2] = gauges >> 4, gauges & 15
+    return out
+
+
+def _gaps(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    d = rows - row
+    total = d.sum(axis=1, dtype=np.int32)
+    over = np.maximum(d, 0).sum(axis=1, dtype=np.int32)
+    return np.maximum(over, over - total)
 
 
 def digest() -> Column:
     """Names a text: 128 bits of its SHA-256."""
-    return F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            node, size, found, gauges = [], [], [], []
+            text, size, found, sketches, gauges = [], [], [], [], []
             for t in b.column(1):
                 t = t.as_py() or ""
                 w = words(t)
-                node.append(hashlib.sha256(t.encode()).hexdigest()[:32])
+                text.append(hashlib.sha256(t.encode()).digest()[:16])
                 size.append(len(w))
-                found.append(np.concatenate([sketch(w), runs(w)]))
+                (buckets, at), exact = sketch(w), runs(w)
+                found.append(np.concatenate([buckets, exact]))
+                sketches.append(marks(buckets, at))
                 gauges.append(gauge(w).tobytes())
-            buckets = pa.array(found, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), pa.array(size, pa.int32()), buckets, pa.array(gauges, pa.binary())], ["doc_id", "node", "size", "buckets", "gauge"])
+            cols = [pa.array(text, pa.binary()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(gauges, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "digest", "size", "buckets", "sketch", "gauge"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node string, size int, buckets array<long>, gauge binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, size int, buckets array<long>, sketch binary, gauge binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar."""
+    """The pairs (a, b) that are similar. `texts` (node, words) is bucketed by node, and stays where it is."""
 
     def run(batches):
+        read = lambda x: np.frombuffer(x.as_py(), np.uint64)
         for b in batches:
-            keep = [similar(words(x.as_py()), words(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            keep = [similar(read(x), read(y)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
+    both = one.join(texts.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,40 +270,58 @@ def components(edges: DataFrame) -> DataFrame:
     Every round gives a node the least root among its neighbours' and then that root's own; each is written to the shared
     folder, so that a lost executor costs one round at most.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
+    ways = [edges.select(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
+    both = written(ways[0].union(ways[1]).where("node <> other").distinct(), "edges")
+    now = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "roots")
+    roots = now
     while True:
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
+        near = both.join(roots.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("seen"))
         step = roots.join(near, "node").select("node", "root", F.least("root", "seen").alias("new"))
         jump = step.join(step.select(F.col("node").alias("_n"), F.col("new").alias("_r")), F.col("new") == F.col("_n"), "left")
         new = written(jump.select("node", "root", F.least("new", F.coalesce("_r", "new")).alias("new")), "roots")
         changed = new.where("root <> new").limit(1).count()
-        roots = new.select("node", F.col("new").alias("root"))
+        forget(now)
+        now, roots = new, new.select("node", F.col("new").alias("root"))
         if not changed:
+            forget(both)
             return roots
 
 
-def _ends(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in one bucket, from (bucket, size, node): each with the first and the last of its bucket."""
-    key = F.struct("size", "node")
-    ends = buckets.groupBy("bucket").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    near = buckets.join(ends, "bucket").select("node", "size", F.explode(F.array("lo", "hi")).alias("end"))
-    fits = F.least("size", "end.size") >= F.greatest("size", "end.size") * SIMILAR - 1e-6
-    pair = near.where((F.col("node") != F.col("end.node")) & fits)
-    return pair.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b"))
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): only the components that they touch are gone through, each as one node."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = named.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    found = components(between)
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    new = written(moved.unionByName(found.join(roots.select("node"), "node", "left_anti")), "roots")
+    forget(found)
+    forget(roots)
+    return new
+
 
+def _first(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node of (bucket, node, lo, n) with that of two texts of its buckets that it shares most of them
+    with: a bucket's least node, and the one whose buckets hold most."""
+    full = members.groupBy("node").agg(F.sum("n").alias("full"))
+    hubs = members.select("bucket", "node").join(full, "node").groupBy("bucket").agg(F.max(F.struct("full", "node")).alias("hub"))
+    near = members.join(hubs, "bucket").select("node", F.explode(F.array("lo", "hub.node")).alias("end")).where("node <> end").groupBy("node", "end").agg(F.count(F.lit(1)).alias("n"))
+    best = near.groupBy("node").agg(F.max(F.struct("n", "end")).alias("p"))
+    return best.select(F.least("node", "p.end").alias("a"), F.greatest("node", "p.end").alias("b")).distinct()
 
-def apart(root: np.ndarray, size: np.ndarray, gauges: np.ndarray, side: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def apart(root: np.ndarray, size: np.ndarray, gauges: np.ndarray, side: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of the members of a bucket, or of two of its blocks (`side` 0 and 1), the pairs of different roots whose lengths and
-    gauges allow a link, and what the gauges differ by; with `nearest` for each member only that with the least."""
+    gauges allow a link; with `nearest` for each member only that whose gauge is nearest."""
     none = np.zeros(0, np.int64)
     codes, counts = np.unique(root, return_counts=True)
     if len(codes) < 2:
-        return none, none, none
+        return none, none
     # Each pair has a member outside the largest root: these come first, and each is held against those after it.
     order = np.argsort(root == codes[counts.argmax()], kind="stable")
     root, size, side = root[order], size[order], side[order]
-    wide, cross = gauges[order].astype(np.int16), side.any() and not side.all()
+    fine, cross = _cells(gauges[order]), side.any() and not side.all()
+    rough = fine.reshape(len(fine), -1, FOLD).sum(axis=2, dtype=np.int8)
     found = []
     for i in range(len(root) - int(counts.max())):
         allowed = (np.maximum(size[i], size[i + 1 :]) * (1 - SIMILAR) + 1e-9).astype(np.int64)
@@ -273,48 +330,75 @@ def apart(root: np.ndarray, size: np.ndarray, gauges: np.ndarray, side: np.ndarr
             ok &= side[i + 1 :] != side[i]
         at = np.flatnonzero(ok)
         if len(at):
-            d = wide[i + 1 + at] - wide[i]
-            over, total = np.maximum(d, 0).sum(axis=1), d.sum(axis=1)
-            gap = np.maximum(over, over - total)
+            at = at[_gaps(rough[i + 1 + at], rough[i]) <= allowed[at]]
+            gap = _gaps(fine[i + 1 + at], fine[i])
             keep = np.flatnonzero(gap <= allowed[at])
             if len(keep):
                 found.append((np.full(len(keep), i), i + 1 + at[keep], gap[keep]))
     if not found:
-        return none, none, none
+        return none, none
     i, j, gap = (np.concatenate(x) for x in zip(*found, strict=True))
     if nearest:
         who, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
         by = np.lexsort((gap[pair], who))
         pair = np.unique(pair[by[np.append(True, who[by][1:] != who[by][:-1])]])
-        i, j, gap = i[pair], j[pair], gap[pair]
-    return order[i], order[j], gap
-
-
-def _unjoined(buckets: DataFrame, gauges: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket that links do not join and that gauges allow: with `nearest` for each node the one of
-    least gap, else all."""
-    named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = named.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    members = named.join(open_.where("r0 <> r1").select("bucket", "blocks"), "bucket").join(gauges, "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), "blocks").cast("int"))
-    # Each block is held against itself and every other, each two of them by themselves.
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = members.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("side"), "size", "node", "root", "gauge")
-    dealt = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        i, j = i[pair], j[pair]
+    return order[i], order[j]
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of (bucket, node, ...) the rows of buckets that hold several components, with root, the commonest root of the bucket
+    (major), and how many blocks its members (wide) and the others (many) make."""
+    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    of = each.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    of = of.where(F.col("all") > F.col("top.n")).select("bucket", F.col("top.root").alias("major"), blocks(F.col("top.n")).alias("wide"), blocks(F.col("all") - F.col("top.n")).alias("many"))
+    return named.join(of, "bucket")
+
+
+def _unjoined(opened: DataFrame, roots: DataFrame, sketches: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that links do not join and that gauges allow: with sketches (node, sketch) all candidates, without for
+    each node the one of least gap in each of its buckets."""
+    nearest = sketches is None
+    members = _open(opened, roots)
+    if sketches is not None:
+        members = members.join(sketches, "node")
+    dealt = lambda n: F.pmod(F.xxhash64(F.lit(5), "node"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, lo, hi, side: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    own = dealt(F.col("many"))
+    # Of the others each block is held against itself and every other, each two of them by themselves; and against each
+    # block of the commonest component.
+    others = F.concat(F.transform(upto("many"), lambda x: cell(0, F.least(own, x), F.greatest(own, x), own > x)), F.transform(upto("wide"), lambda x: cell(1, own, x, F.lit(False))))
+    major = F.transform(upto("many"), lambda x: cell(1, x, dealt(F.col("wide")), F.lit(True)))
+    cells = members.withColumn("cell", F.explode(F.when(F.col("root") == F.col("major"), major).otherwise(others)))
+    cells = cells.select("bucket", "place", *([] if nearest else ["sketch"]), F.col("cell.kind").alias("kind"), F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), F.col("cell.side").alias("side"), "size", "node", "root", "gauge")
+    dealt = cells.repartition("bucket", "kind", "lo", "hi").sortWithinPartitions("bucket", "kind", "lo", "hi")
 
     def pairs(t: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
-        node = t.column("node").to_pylist()
-        root = t.column("root").dictionary_encode().indices.to_numpy()
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
         size, side = t.column("size").to_numpy().astype(np.int64), t.column("side").to_numpy(zero_copy_only=False)
-        table = np.frombuffer(b"".join(t.column("gauge").to_pylist()), np.uint8).reshape(-1, CELLS)
-        a, b, gap = [], [], []
+        table = np.frombuffer(b"".join(t.column("gauge").to_pylist()), np.uint8).reshape(-1, CELLS // 2)
+        place = t.column("place").to_numpy()
+        if not nearest:
+            all_ = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, 5 * SKETCHES)
+            hashes, ranks = np.ascontiguousarray(all_[:, : 4 * SKETCHES]).view(np.uint32), all_[:, 4 * SKETCHES :]
+        a, b = [], []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            i, j, g = apart(root[s:e], size[s:e], table[s:e], side[s:e], nearest)
-            for x, y in zip((i + s).tolist(), (j + s).tolist(), strict=True):
-                a.append(min(node[x], node[y]))
-                b.append(max(node[x], node[y]))
-            gap += g.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(gap, pa.int32())], ["a", "b", "gap"])
+            i, j = (x + s for x in apart(root[s:e], size[s:e], table[s:e], side[s:e], nearest))
+            if not nearest and len(i):
+                # The buckets of a short text's runs come after those of its sketch. Of the others the first that both have
+                # tells of a pair, so that no other does too.
+                keep = []
+                for lo in range(0, len(i), 20_000):
+                    x, y = i[lo : lo + 20_000], j[lo : lo + 20_000]
+                    ok, first = alike(hashes[x], ranks[x], hashes[y], ranks[y])
+                    keep.append((place[x] >= SKETCHES) | (ok & (first == place[x])))
+                i, j = i[np.concatenate(keep)], j[np.concatenate(keep)]
+            a.append(np.minimum(node[i], node[j]))
+            b.append(np.maximum(node[i], node[j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
 
     def run(batches):
         kept = None
@@ -322,7 +406,7 @@ def _unjoined(buckets: DataFrame, gauges: DataFrame, roots: DataFrame, nearest:
             if not b.num_rows:
                 continue
             t = b if kept is None else pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0]
-            key = [t.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+            key = [t.column(c).to_numpy() for c in ("bucket", "kind", "lo", "hi")]
             change = np.flatnonzero(reduce(np.logical_or, [k[1:] != k[:-1] for k in key])) + 1
             last = int(change[-1]) if len(change) else 0
             if last:
@@ -331,34 +415,65 @@ def _unjoined(buckets: DataFrame, gauges: DataFrame, roots: DataFrame, nearest:
         if kept is not None:
             yield pairs(kept, np.array([0, kept.num_rows]))
 
-    found = dealt.mapInArrow(run, "a string, b string, gap int")
-    if not nearest:
-        return found.select("a", "b").distinct()
-    best = found.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "gap").groupBy("node").agg(F.min(F.struct("gap", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _nodes(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """digest, class_id, node, size, buckets, sketch, gauge: a row for each text. node is class_id, the least id of the text, or where
+    that does not tell texts apart (told by the flag), a number in its order."""
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first(F.struct("size", "buckets", "sketch", "gauge")).alias("s"))
+    nodes = written(first.select("digest", "class_id", F.col("class_id").alias("node"), "s.*"), "nodes")
+    odd = nodes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or class_id is null").limit(1).count()
+    if not odd:
+        return nodes, False
+    ranked = nodes.orderBy(F.col("class_id").asc_nulls_last(), "digest").withColumn("node", F.monotonically_increasing_id())
+    return written(ranked, "ranked"), True
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, words) of the wanted nodes' texts, as hashes, bucketed by node. Rows whose id is that of no wanted text are
+    mostly told by a filter of fixed size, before anything is moved."""
+    of = wanted.join(nodes.select("node", "class_id", "digest"), "node")
+    bits = of.select(F.shiftrightunsigned(F.xxhash64(F.lit(9), "class_id"), 64 - FILTER).alias("bit"))
+    cells = bits.groupBy(F.expr("cast(shiftright(bit, 6) as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("set"))
+    bitmap = np.zeros(1 << (FILTER - 6), np.int64)
+    found = cells.toArrow()  # 2^18 rows at most
+    bitmap[found.column("at").to_numpy()] = found.column("set").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for b in batches:
+            h = b.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER)
+            hit = (shared.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)).astype(np.int64)) & 1 == 1
+            rows = b.filter(pa.array(hit))
+            text, cut = rows.column(1).to_pylist(), []
+            for t in text:
+                cut.append(words(t).tobytes())
+            names = [hashlib.sha256(t.encode()).digest()[:16] for t in text]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.binary()), pa.array(cut, pa.binary())], ["doc_id", "digest", "words"])
+
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(9), "doc_id").alias("h")).mapInArrow(run, "doc_id long, digest binary, words binary")
+    met = some.join(of.select("node", "class_id", F.col("digest").alias("_d")), F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("_d")))
+    return bucketed(met.select("node", "words"), "node", "texts")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, node (names its text), class_id (the least id of that text), group_id (the least id of
+    """One row per document: doc_id, digest (names its text), class_id (the least id of that text), group_id (the least id of
     its group), n_links (links found between its text and others)."""
     rows = written(_sketched(docs), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.first(F.struct("size", "buckets", "gauge")).alias("s")).select("node", "class_id", "s.*"), "nodes")
-    buckets = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = written(buckets.join(full.select("bucket"), "bucket"), "buckets")
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "class_id"), "node")
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", digest())
-    texts = named.join(wanted, (named.node == wanted.node) & named.doc_id.eqNullSafe(wanted.class_id)).select(named.node, "text")
-    texts = written(texts, "texts")
-    gauges = nodes.select("node", "gauge")
-    counted = _ends(buckets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    # In the first round each node is held against the end with which it shares most.
-    best = counted.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "n").groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("p"))
-    tried = written(best.select("p.a", "p.b").distinct(), "pairs")
+    nodes, ranked = _nodes(rows)
+    buckets = nodes.select("node", "size", F.posexplode("buckets").alias("place", "bucket"))
+    several = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").drop("hi")
+    members = written(buckets.join(several, "bucket"), "members")
+    texts = _texts(docs, nodes, members.select("node").distinct())
+    tried = written(_first(members), "pairs")
     edges = written(_verified(tried, texts), "links")
     roots = components(edges)
+    opened = _open(members, roots).select("bucket", "node", "size", "place").join(nodes.select("node", "gauge"), "node")
+    opened = written(opened, "open")
+    forget(members)
     for nearest in [True] * NEAREST + [False]:
-        more = _unjoined(buckets, gauges, roots, nearest).join(tried, ["a", "b"], "left_anti")
+        more = _unjoined(opened, roots, None if nearest else nodes.select("node", "sketch")).join(tried, ["a", "b"], "left_anti")
         pairs = written(more, "pairs")
         if pairs.isEmpty():
             continue
@@ -366,13 +481,15 @@ def grouped(docs: DataFrame) -> DataFrame:
         new = written(_verified(pairs, texts), "links")
         edges = edges.union(new)
         if not new.isEmpty():
-            roots = components(edges)
+            roots = _merged(roots, new)
+    forget(opened)
+    forget(texts)
     links = edges.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = nodes.select("node", "class_id").join(roots, "node", "left").join(links, "node", "left")
-    known = known.select("node", "class_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    least = known.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    known = known.join(least, "root").drop("root")
-    return rows.select("doc_id", "node").join(known, "node").select("doc_id", "node", "class_id", "group_id", "n_links")
+    known = nodes.select("digest", "class_id", "node").join(roots, "node", "left").join(links, "node", "left")
+    known = known.select("digest", "class_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = nodes.select(F.col("node").alias("root"), F.col("class_id").alias("group_id"))
+    known = known.join(least, "root") if ranked else known.withColumn("group_id", F.col("root"))
+    return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "digest", "class_id", "group_id", "n_links")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -381,9 +498,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Of each group the row with the least id (of repeated rows one), with all columns of `docs`."""
-    node, place = fresh(docs, "_node"), fresh(docs, "_place")
-    found = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id", "node").distinct()
-    found = found.select(F.struct(F.col("doc_id").alias("i"), F.col("node").alias("n")).alias(plan := fresh(docs, "_kept")))
+    node, place, plan = fresh(docs, "_node"), fresh(docs, "_place"), fresh(docs, "_kept")
+    found = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id", "digest").distinct()
+    found = found.select(F.struct(F.col("doc_id").alias("i"), F.col("digest").alias("n")).alias(plan))
     rows = docs.withColumn(node, digest())
     on = [F.col("doc_id").eqNullSafe(F.col(f"{plan}.i")), F.col(node) == F.col(f"{plan}.n")]
     kept = rows.join(found, reduce(Column.__and__, on))
