@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from braidwork.llm import fingerprint, license, lm, mixing, near, packing, pii, repeats, search, toxicity
 from braidwork.llm.common import documents
@@ -50,5 +51,76 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_search": op1_search, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_lm": op4_lm, "op5_repeats": op5_repeats, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_near": op8_near, "op9_license": op9_license, "op10_fingerprint": op10_fingerprint}
-ORACLE: dict[str, str] = {}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2_mixing what SQL can say: the schedule's hash order has no SQL."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4_lm all but the model's score."""
+    return op4_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def toxicity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6_toxicity which rows its labels did not teach."""
+    return op6_toxicity(spark, sf_dir).select("doc_id", "held_out")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7_pii the base spans' numbers."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8_near the classes of equal texts."""
+    return op8_near(spark, sf_dir).select("doc_id", "class_id")
+
+
+def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10_fingerprint the edited texts."""
+    return op10_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_search, op2_mixing, op3_packing, op4_lm, op5_repeats, op6_toxicity, op7_pii, op8_near, op9_license, op10_fingerprint, mixing_targets, lm_base, toxicity_split, pii_counts, near_classes, fingerprint_texts)
+}
+
+WORD = r"[^\x20\x09-\x0D]+"
+# CRC-32, bit by bit.
+SHIFT = "list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))"
+CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {SHIFT}), 4294967295::BIGINT)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op1_search": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) term FROM documents),
+ t AS (SELECT doc_id, term, count(*) n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) len FROM t GROUP BY 1),
+ g AS (SELECT (SELECT count(*) FROM documents) n, (SELECT sum(len) FROM l) / (SELECT count(*) FROM documents) mean),
+ f AS (SELECT term, count(*) df FROM t GROUP BY 1),
+ s AS (SELECT q.doc_id query_id, d.doc_id, round(sum(q.n * ln(1 + (g.n - df + 0.5)/(df + 0.5)) * d.n * 2.2::DOUBLE / (d.n + 1.2::DOUBLE * (0.25 + 0.75 * len / mean))), 6) score
+ FROM t q JOIN t d USING (term) JOIN f USING (term) JOIN l ON l.doc_id = d.doc_id, g WHERE q.doc_id % 50 = 0 GROUP BY 1, 2)
+ SELECT query_id, rank::INT AS "rank", doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) rank FROM s) WHERE rank <= 10""",
+    "op5_repeats": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+ b AS (SELECT doc_id, p, substr(h, 2*p + 1, 2) x, CASE WHEN 2*p + 200 <= length(h) THEN substr(h, 2*p + 1, 200) END s FROM (SELECT doc_id, h, unnest(range(length(h)//2)) p FROM d)),
+ r AS (SELECT doc_id, p, x, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 again FROM b),
+ c AS (SELECT doc_id, p, x, max(again::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) gone FROM r),
+ e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY p) before FROM c)
+ SELECT d.doc_id, (length(any_value(h))//2)::BIGINT n_bytes, coalesce(sum(gone), 0)::BIGINT n_removed, count(*) FILTER (gone = 1 AND before = 0) n_spans,
+ sha256(unhex(coalesce(string_agg(x, '' ORDER BY p) FILTER (gone = 0), ''))) kept_sha256 FROM d LEFT JOIN e ON d.doc_id = e.doc_id GROUP BY d.doc_id""",
+    "mixing_targets": rf"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT size FROM documents), s AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
+ w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 weight, 3*source_size cap FROM s),
+ f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) lv FROM w WINDOW p AS (ORDER BY cap/weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ l AS (SELECT arg_min(lv, cap/weight) FILTER (lv*weight < cap) found FROM f)
+ SELECT doc_id, size, source_size, round(least(cap, coalesce(found*weight, cap))::DOUBLE, 6) target FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source, l""",
+    "lm_base": rf"""WITH d AS (SELECT doc_id, coalesce({CRC} % 5 = 1, false) held_out, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') ws FROM documents),
+ e AS (SELECT doc_id, held_out, unnest(list_append(ws, '')) w FROM d), c AS (SELECT w, count(*) c FROM e WHERE NOT held_out GROUP BY 1), g AS (SELECT coalesce(sum(c), 0) n, count(*) v FROM c)
+ SELECT doc_id, held_out, count(*) n_tokens, count(c) n_known, any_value(n)::BIGINT train_tokens, round(sum(log10((coalesce(c, 0) + 0.5::DOUBLE)/(n + 0.5::DOUBLE*(v + 1)))), 4) base_score FROM e LEFT JOIN c USING (w), g GROUP BY doc_id, held_out""",
+    "toxicity_split": f"SELECT doc_id, coalesce({CRC} % 4 = 2, false) held_out FROM documents",
+    "pii_counts": r"""WITH m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') i,
+ list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) c, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) p FROM (SELECT doc_id, coalesce(text, '') t FROM documents))
+ SELECT doc_id, len(e)::BIGINT n_email, len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: y::DOUBLE > 255)) = 0))::BIGINT n_ip,
+ len(list_filter(c, lambda x: length(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(x)), lambda k: CASE WHEN k % 2 = 0 THEN substr(x, length(x) - k, 1)::INT ELSE 2*substr(x, length(x) - k, 1)::INT - CASE WHEN substr(x, length(x) - k, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT n_card,
+ len(list_filter(p, lambda x: length(x) BETWEEN 8 AND 15))::BIGINT n_phone FROM m""",
+    "near_classes": "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) class_id FROM documents",
+    "fingerprint_texts": r"""SELECT doc_id, n_chars, sha256(left(t, n_chars - n_chars//2) || left(u, n_chars//2)) edited_sha256 FROM (SELECT doc_id, t, length(t) n_chars, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) u FROM (SELECT doc_id, coalesce(text, '') t FROM documents))""",
+}
