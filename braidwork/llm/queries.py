@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import fingerprint, license, lm, mixing, near, packing, pii, repeats, search, toxicity
+from braidwork.llm import codes, extraction, fingerprint, license, lm, mixing, near, packing, pii, repeats, resampling, search, toxicity
 from braidwork.llm.common import documents
 
 
@@ -51,6 +51,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(documents(spark, sf_dir))
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op2_mixing what SQL can say: the schedule's hash order has no SQL."""
     return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
@@ -83,7 +95,7 @@ def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_search, op2_mixing, op3_packing, op4_lm, op5_repeats, op6_toxicity, op7_pii, op8_near, op9_license, op10_fingerprint, mixing_targets, lm_base, toxicity_split, pii_counts, near_classes, fingerprint_texts)
+    for f in (op1_search, op2_mixing, op3_packing, op4_lm, op5_repeats, op6_toxicity, op7_pii, op8_near, op9_license, op10_fingerprint, op11_extraction, op12_codes, op13_resampling, mixing_targets, lm_base, toxicity_split, pii_counts, near_classes, fingerprint_texts)
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,7 +104,28 @@ SHIFT = "list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
 CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {SHIFT}), 4294967295::BIGINT)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Lloyd's rounds over all pairs of a part and an entry; doubles hold the squared distances exactly.
+NEAREST = "SELECT vec_id, label, part, any_value(x) x, arg_min(e, d * 256 + e) e, min(d) d FROM (SELECT v.*, e, list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y) d FROM v JOIN {c} USING (part)) GROUP BY vec_id, label, part"
+MEANS = "SELECT c.part, c.e, coalesce(m.y, c.y) y FROM {c} c LEFT JOIN (SELECT part, e, [floor(list_sum(list_transform(xs, lambda z: z[i])) / len(xs)) for i in range(1, len(xs[1]) + 1)] y FROM (SELECT part, e, list(x) xs FROM {a} GROUP BY part, e)) m ON m.part = c.part AND m.e = c.e"
+LLOYD = ", ".join(f"a{r} AS MATERIALIZED ({NEAREST.format(c=f'c{r}')}), c{r + 1} AS MATERIALIZED ({MEANS.format(c=f'c{r}', a=f'a{r}')})" for r in range(4))
+CRC_OF = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(encode(w))) // 2), lambda i: ('0x' || substr(hex(encode(w)), 2*i + 1, 2))::BIGINT)), lambda a, b: {SHIFT}), 4294967295::BIGINT)"
+
 ORACLE: dict[str, str] = {
+    "op12_codes": f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ v AS MATERIALIZED (SELECT vec_id, label, part, list_slice(x, part * (len(x) // 4) + 1, (part + 1) * (len(x) // 4)) x FROM k, range(4) p(part)),
+ c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 e, x y FROM v QUALIFY e < 256), {LLOYD}, a4 AS MATERIALIZED ({NEAREST.format(c="c4")}),
+ h AS (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda z: z::BIGINT), ','), ',' ORDER BY part, e)) s FROM c4),
+ r AS (SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY part) code, sum(d)::BIGINT error FROM a4 GROUP BY vec_id, label)
+ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT label_error, s codebooks_sha256 FROM r, h""",
+    "op13_resampling": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
+ e AS (SELECT doc_id, unnest(ws) w FROM d), f AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) w FROM benchmark),
+ b AS (SELECT w, {CRC_OF} % 10000 b FROM (SELECT w FROM e UNION SELECT w FROM f)),
+ s AS (SELECT b, count(*) s FROM e JOIN b USING (w) GROUP BY b), t AS (SELECT b, count(*) t FROM f JOIN b USING (w) GROUP BY b),
+ g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE))) gain FROM s LEFT JOIN t USING (b)),
+ m AS (SELECT doc_id, floor(sum(gain) / count(*))::BIGINT weight FROM e JOIN b USING (w) JOIN g USING (b) GROUP BY doc_id),
+ r AS (SELECT doc_id, len(ws)::BIGINT n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id::VARCHAR), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT score FROM d LEFT JOIN m USING (doc_id)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) place FROM r)
+ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM r WHERE n_features >= 20) // 100 THEN place END rank FROM o""",
     "op1_search": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) term FROM documents),
  t AS (SELECT doc_id, term, count(*) n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) len FROM t GROUP BY 1),
  g AS (SELECT (SELECT count(*) FROM documents) n, (SELECT sum(len) FROM l) / (SELECT count(*) FROM documents) mean),
