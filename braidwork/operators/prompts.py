@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.ranges import ranges
+
 
 def first_occurrences(rows: DataFrame, key: str, order: str, first: list[str], most: list[str]) -> DataFrame:
     """One row per key: its first place, columns `first` from there, and the greatest of columns `most` over all."""
@@ -29,17 +31,9 @@ def shuffled(rows: DataFrame, key: Column, seed: int) -> DataFrame:
 
 
 def places(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """Adds place, from 0, in the order of columns that tell rows apart; and the number of rows. Each task numbers its own
-    stretch of the sorted rows; what is gathered is one count per stretch."""
-    sorted_ = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    part, within = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = sorted_.select("*", part.alias("_part"), within.alias("_in"))
-    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect()
-    first, before = {}, 0
-    for r in sorted(counts):
-        first[r["_part"]], before = before, before + r["_n"]
-    start = F.create_map(*[F.lit(x) for kv in first.items() for x in kv]) if first else F.lit(None).cast("map<bigint,int>")
-    return numbered.withColumn("place", (F.element_at(start, F.col("_part")) + F.col("_in")).cast("long")).drop("_id", "_part", "_in"), before
+    """Adds place, from 0, in the order of columns that tell rows apart; and the number of rows."""
+    index = ranges(rows, order)
+    return index.numbered(), index.total
 
 
 def round_robin(rows: DataFrame, place: Column, shards: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators import ranges
+
 
 def token_budget(most: Column | int, context: int, used: Column) -> tuple[Column, Column]:
     """(budget, status): what may still be generated; nothing left means no request and a truncated sample."""
@@ -77,18 +79,9 @@ def offsets(rows: DataFrame, by: list[str], order: list[str], size: str) -> Data
 
 
 def page(rows: DataFrame, key: str, seed: int, offset: int, n: int) -> DataFrame:
-    """(key, epoch, place): n rows from `offset` on through epochs, each in an order of its own; at most as many epochs as
-    the page touches are ordered, and of each no more than the page needs."""
-    total = rows.count()
-    if not total:
-        return rows.select(key, F.lit(0).alias("epoch"), F.lit(0).alias("place")).limit(0)
-    out = None
-    for epoch in range(offset // total, (offset + n - 1) // total + 1):
-        lo, hi = max(offset - epoch * total, 0), min(offset + n - epoch * total, total)
-        head = rows.select(key, F.xxhash64(F.lit(seed + epoch), key).alias("_h")).orderBy("_h", key).limit(hi)
-        part = head.select(key, F.lit(epoch).alias("epoch"), (F.row_number().over(Window.orderBy("_h", key)) - 1).alias("place")).where(F.col("place") >= lo)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(key, step, epoch, slot): n rows from `offset` on through epochs, each in an order of its own. For many pages of one
+    table keep its index and use operators.ranges.page."""
+    return ranges.page(ranges.ranges(rows.select(key), [key]), seed, offset, n).select(key, "step", "epoch", "slot")
 
 
 def averaged(parameters: DataFrame) -> DataFrame:

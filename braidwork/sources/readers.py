@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.operators.prompts import places
+from braidwork.operators.ranges import ranges
 
 RECORD = T.StructType([T.StructField("id", T.StringType()), T.StructField("input_sha256", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("correct", T.StringType()), T.StructField("mean_tokens", T.DoubleType()), T.StructField("cap_hits", T.IntegerType())])
 GENERATION = "id string, input_sha256 string, model string, cap int, n int, responses array<string>, token_counts array<int>, finish_reasons array<string>"
@@ -44,14 +44,12 @@ def parse_slice(path: str) -> tuple[str, int | None, int | None]:
 
 
 def sliced(rows: DataFrame, order: str, lo: int | None, hi: int | None) -> DataFrame:
-    """Rows lo to hi by an explicit order column that tells rows apart. Each task numbers its own stretch of the sorted rows."""
+    """Rows lo to hi by an explicit order column that tells rows apart, from the ranges of an index that hold them."""
     if not lo and hi is None:
         return rows
     if not lo:
         return rows.orderBy(order).limit(hi)
-    placed, _ = places(rows, [order])
-    inside = F.col("place") >= lo
-    return placed.where(inside if hi is None else inside & (F.col("place") < hi)).drop("place")
+    return ranges(rows, [order]).between(lo, hi, "_place").drop("_place")
 
 
 def json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
