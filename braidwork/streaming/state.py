@@ -1,9 +1,8 @@
-"""State over batches: frozen multipliers, the last applied teacher, bounded filters, and per-update batches."""
+"""State over batches: keys seen before, bounded filters, and per-update batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,42 +10,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def frozen_multipliers(found: DataFrame) -> DataFrame:
-    """Streaming form of operators.normalizer.frozen: rows (step, domain, multiplier, measurable) in the order of steps
-    within a batch; the state of a domain is its first measurable multiplier."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get[0] if state.exists else None
-        out = []
-        # The steps' order is that of the whole batch, which may come in several parts; a domain has one row a step.
-        for r in pd.concat(list(parts)).sort_values("step").itertuples():
-            if kept is None and r.measurable:
-                kept = float(r.multiplier)
-            out.append((r.step, key[0], float(r.multiplier) if kept is None else kept))
-        yield pd.DataFrame(out, columns=["step", "domain", "applied"])
-        if kept is not None:
-            state.update((kept,))
-
-    return found.groupBy("domain").applyInPandasWithState(run, "step long, domain string, applied double", "kept double", "append", GroupStateTimeout.NoTimeout)
-
-
-def teacher_switches(rows: DataFrame) -> DataFrame:
-    """Streaming form of operators.groups.switches for (prompt, slot, index, teacher)."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last: Any = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(list(parts)).sort_values("index").itertuples():
-            out.append((key[0], key[1], r.index_, r.teacher, last is not None and last != r.teacher))
-            last = r.teacher
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["prompt", "slot", "index", "teacher", "switched"])
-
-    named = rows.withColumnRenamed("index", "index_")
-    inner = lambda k, p, s: run(k, (x.assign(index=x.index_) for x in p), s)
-    return named.groupBy("prompt", "slot").applyInPandasWithState(inner, "prompt string, slot int, index long, teacher string, switched boolean", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
 def per_update(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """One call per batch that has arrived; a batch that is repeated after a failure has the same number, by which the
     handler's writes can be made once."""
@@ -61,40 +24,24 @@ def unseen(stream: DataFrame, key: str, at: str | None = None, late: str | None
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def bounded_filter(groups: DataFrame, budget: int) -> DataFrame:
-    """Groups (run, group_index, keep) with accept and released: a run's first `budget` groups seen must be kept by their
-    filter, those after are let through. State: how many were seen, kept and dropped."""
+def bounded_filter(groups: DataFrame, budget: int, target: int | None = None) -> DataFrame:
+    """Groups (run, group_index, keep) with accept and released: of a rollout the first `budget` groups seen must be kept by
+    their filter, those after are let through. With a `target` a rollout ends when so many are accepted, and the next group
+    begins one of its own with all counters at 0. State: how many of the rollout were seen, kept, dropped and released; a
+    batch's groups of a run, whose number the rollout's size bounds, are put in the order of their indices."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, kept, dropped = state.get if state.exists else (0, 0, 0)
+        seen, kept, dropped, through = state.get if state.exists else (0, 0, 0, 0)
         out = []
         for r in pd.concat(list(parts)).sort_values("group_index").itertuples():
+            if target and kept >= target:
+                seen = kept = dropped = through = 0
             released = seen >= budget
             accept = released or bool(r.keep)
-            seen, kept, dropped = seen + 1, kept + accept, dropped + (not accept)
+            seen, kept, dropped, through = seen + 1, kept + accept, dropped + (not accept), through + released
             out.append((key[0], r.group_index, accept, released, kept, dropped))
-        state.update((seen, kept, dropped))
+        state.update((seen, kept, dropped, through))
         yield pd.DataFrame(out, columns=["run", "group_index", "accept", "released", "kept", "dropped"])
 
     kinds = "run string, group_index long, accept boolean, released boolean, kept long, dropped long"
-    return groups.groupBy("run").applyInPandasWithState(run, kinds, "seen long, kept long, dropped long", "append", GroupStateTimeout.NoTimeout)
-
-
-def partial_buffer(samples: DataFrame) -> DataFrame:
-    """Samples (run, step, index, status): finished ones are put out with the step at which they were first seen and whether
-    they are off-policy (begun at an earlier step); others wait in the state, and of several rows the last counts."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting: dict[int, int] = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out = []
-        for r in pd.concat(list(parts)).sort_values(["step", "index_"]).itertuples():
-            first = waiting.setdefault(int(r.index_), int(r.step))
-            if r.status in ("completed", "truncated"):
-                out.append((key[0], r.index_, first, r.step, first < r.step))
-                del waiting[int(r.index_)]
-        state.update((list(waiting), list(waiting.values())))
-        yield pd.DataFrame(out, columns=["run", "index", "first_step", "step", "off_policy"])
-
-    named = samples.withColumnRenamed("index", "index_")
-    kinds = "run string, index long, first_step long, step long, off_policy boolean"
-    return named.groupBy("run").applyInPandasWithState(run, kinds, "ids array<long>, steps array<long>", "append", GroupStateTimeout.NoTimeout)
+    return groups.groupBy("run").applyInPandasWithState(run, kinds, "seen long, kept long, dropped long, through long", "append", GroupStateTimeout.NoTimeout)

@@ -1,8 +1,11 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork.sources import readers, sinks
-from braidwork.streaming import state
+from braidwork.streaming import resume, state
 
 
 def test_jsonl_lenient_and_strict(spark, tmp_path):
@@ -45,7 +48,7 @@ def test_streamed_frozen_multipliers_equal_the_batch(spark, tmp_path):
     for i in range(3):
         df.where(F.col("step") == i + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = state.frozen_multipliers(stream).writeStream.format("memory").queryName("frozen").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = resume.frozen_multipliers(stream).writeStream.format("memory").queryName("frozen").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.step, r.applied) for r in spark.table("frozen").collect()) == [(1, 1.0), (2, 2.0), (3, 2.0)]
 
@@ -68,6 +71,7 @@ def test_slices_without_an_end(spark):
 def _streamed(spark, tmp_path, batches, schema, operator, name):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        time.sleep(0.01)  # files are read in the order of their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
     q = operator(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -80,7 +84,28 @@ def test_streamed_filter_releases_after_its_budget(spark, tmp_path):
     assert sorted((r.group_index, r.accept, r.released) for r in rows) == [(1, True, False), (2, False, False), (3, False, False), (4, True, True)]
 
 
+def test_streamed_filter_begins_anew_at_its_target(spark, tmp_path):
+    rng, target, budget = random.Random(6), 3, 5
+    groups = [(i, rng.random() < 0.35) for i in range(40)]
+    want, seen, kept = [], 0, 0
+    for i, keep in groups:
+        if kept >= target:
+            seen = kept = 0
+        seen += 1
+        accept = keep or seen > budget
+        kept += accept
+        want.append((i, accept, seen > budget, kept))
+    batches = [[("r", i, k) for i, k in groups[at : at + 9]] for at in range(0, 40, 9)]
+    rows = _streamed(spark, tmp_path, batches, "run string, group_index long, keep boolean", lambda s: state.bounded_filter(s, budget, target), "anew")
+    assert sorted((r.group_index, r.accept, r.released, r.kept) for r in rows) == want
+
+
+def test_keys_are_seen_once(spark, tmp_path):
+    rows = _streamed(spark, tmp_path, [[("a",), ("b",)], [("b",), ("c",), ("a",)]], "key string", lambda s: state.unseen(s, "key"), "once")
+    assert sorted(r.key for r in rows) == ["a", "b", "c"]
+
+
 def test_streamed_buffer_keeps_partial_samples(spark, tmp_path):
     batches = [[("r", 1, 0, "aborted"), ("r", 1, 1, "completed")], [("r", 2, 0, "completed"), ("r", 2, 2, "truncated")]]
-    rows = _streamed(spark, tmp_path, batches, "run string, step long, index long, status string", state.partial_buffer, "partial")
+    rows = _streamed(spark, tmp_path, batches, "run string, step long, index long, status string", resume.partial_buffer, "partial")
     assert sorted((r["index"], r.first_step, r.step, r.off_policy) for r in rows) == [(0, 1, 2, True), (1, 1, 1, False), (2, 2, 2, False)]
