@@ -1,16 +1,12 @@
-"""Evaluation records: question scores, macro levels, paired bootstrap, distributions."""
+"""Evaluation records: question scores, macro levels, pairs, distributions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The published intervals come from these.
 REPLICATES, SEED = 10_000, 20_260_923
-#: Numbers drawn at a time.
-DRAWN = 4_000_000
 
 
 def question_scores(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,37 +47,6 @@ def contrast_points(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(F.avg("d").alias("delta"), F.count(F.lit(1)).alias("suites"))
 
 
-def bootstrap(pairs: DataFrame, keys: list[str], suites: list[str], replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """keys, delta, lo, hi: questions resampled with the same indices for both models, suite by suite in the given order
-    from one generator for each contrast; the interval holds 95 % of the replicates. A contrast is one task: some hundred
-    questions, whose number the benchmark fixes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, delta, draws = np.random.default_rng(seed), 0.0, np.zeros(replicates)
-        for suite in suites:
-            part = pdf[pdf.suite == suite].sort_values("id")
-            va, vb = part.sa.to_numpy(), part.sb.to_numpy()
-            delta += 100 * (va.mean() - vb.mean()) / len(suites)
-            # In slices of replicates: the generator gives the same numbers, and memory is bounded.
-            step = max(1, DRAWN // max(1, len(part)))
-            for first in range(0, replicates, step):
-                at = rng.integers(0, len(part), size=(min(step, replicates - first), len(part)))
-                draws[first : first + step] += 100 * (va[at].mean(axis=1) - vb[at].mean(axis=1)) / len(suites)
-        lo, hi = np.percentile(draws, [2.5, 97.5])
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "delta": delta, "lo": lo, "hi": hi}])
-
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "delta double, lo double, hi double"]))
-
-
-def bootstrap_sql(pairs: DataFrame, replicates: int, seed: int = SEED) -> DataFrame:
-    """The same distribution without Python: replicate x place draws a question by hash. (replicate, delta) for one suite."""
-    ranked = pairs.withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
-    n = ranked.count()
-    draws = pairs.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("pos"))
-    return draws.join(ranked, "pos").groupBy("replicate").agg((100 * F.avg(F.col("sa") - F.col("sb"))).alias("delta"))
-
-
 def distribution(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Mean, median, extremes and percentiles with linear interpolation. Values are counted first: what meets at a key is
     its distinct values with their counts."""
@@ -153,18 +118,6 @@ def score_without(scores: DataFrame, listed: DataFrame, keys: list[str]) -> Data
     return marked.groupBy(*keys).agg(F.avg("score").alias("score"), F.avg(F.when(F.col("_out").isNull(), F.col("score"))).alias("score_without"), F.count("_out").alias("left_out"))
 
 
-def seed_interval(draws: dict[int, np.ndarray], rng: np.random.Generator) -> tuple[float, float]:
-    """The 95 % interval of a mean over seeds, resampled in two levels: as often as there are seeds a seed is drawn, and one
-    of its replicates."""
-    keys = sorted(draws)
-    n = len(draws[keys[0]])
-    table, total = np.stack([draws[k] for k in keys]), np.zeros(n)
-    for _ in keys:
-        total += table[rng.integers(0, len(keys), size=n), rng.integers(0, n, size=n)] / len(keys)
-    lo, hi = np.percentile(total, [2.5, 97.5])
-    return float(lo), float(hi)
-
-
 def graded(rows: DataFrame, catalogue: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """From generated rows (keys, id, input_sha256, responses, token_counts, finish_reasons) and a catalogue (id,
     input_sha256, answer): question records, and their cells' summary. A response is right if it holds the answer as its

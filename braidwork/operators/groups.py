@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.operators.partitioning import stretches
+from braidwork.operators import ranges
 
 GROUP = "group_index"
+#: Places to which gaps, and gains by which samples are put in order, are told apart: beyond, sums of doubles depend on their
+#: order.
+PLACES, FINE_PLACES = 9, 12
 
 
 def normalised(rows: DataFrame, by_std: bool = True) -> DataFrame:
@@ -90,44 +92,76 @@ def margin_shift(rows: DataFrame, delta: float, by_group: bool = False, kind: st
     return g.select(*keys, gap.alias("gap"), F.when(gap < delta, sign * (F.col("inc") - F.col("cor") + delta)).otherwise(0.0).alias("shift"))
 
 
-def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5) -> DataFrame:
+def _orders(kind: str) -> None:
+    if kind not in ("mean", "minmax"):
+        raise ValueError("a gap is of mean or minmax")
+
+
+def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5, kind: str = "mean") -> DataFrame:
     """(group_index, slot, masked): per group, the worst correct or the best incorrect sample is taken out again and again,
-    whichever widens the gap of means more (ties: correct), until the gap is delta, nothing helps, or `least` of a side
-    is left. Sequential by nature; a group is the samples of one prompt, whose number the rollout fixes."""
-
-    def solve(ok: list[tuple[float, int]], no: list[tuple[float, int]]) -> set[int]:
-        ok, no = sorted(ok), sorted(no, key=lambda x: (-x[0], x[1]))
-        a, b = [r for r, _ in ok], [r for r, _ in no]
-        keep_a, keep_b = max(1, int(len(a) * least)), max(1, int(len(b) * least))
-        i = j = 0
-        sa, sb = sum(a), sum(b)
-        while a and b:
-            na, nb = len(a) - i, len(b) - j
-            gap = sa / na - sb / nb
-            one = (sa - a[i]) / (na - 1) - sb / nb if na > keep_a else float("-inf")
-            two = sa / na - (sb - b[j]) / (nb - 1) if nb > keep_b else float("-inf")
-            if gap >= delta or max(one, two) <= gap:
-                break
-            if one >= two:
-                sa, i = sa - a[i], i + 1
-            else:
-                sb, j = sb - b[j], j + 1
-        return {s for _, s in ok[:i]} | {s for _, s in no[:j]}
-
-    def run(batches):
-        for t, edges in stretches(batches, [GROUP]):
-            slot, reward, correct = (t.column(c).to_pylist() for c in ("slot", "reward", "correct"))
-            masked = []
-            for lo, hi in edges:
-                sides: tuple[list, list] = ([], [])
-                for s, r, c in zip(slot[lo:hi], reward[lo:hi], correct[lo:hi], strict=True):
-                    sides[0 if c else 1].append((r, s))  # null verdicts are incorrect
-                gone = solve(*sides)
-                masked += [s in gone for s in slot[lo:hi]]
-            yield pa.RecordBatch.from_arrays([t.column(GROUP), t.column("slot"), pa.array(masked, pa.bool_())], [GROUP, "slot", "masked"])
-
-    dealt = rows.select(F.col(GROUP).cast("long"), F.col("slot").cast("int"), "reward", "correct").repartition(GROUP).sortWithinPartitions(GROUP, "slot")
-    return dealt.mapInArrow(run, f"{GROUP} long, slot int, masked boolean")
+    whichever widens the gap more (ties: correct), until the gap is delta, nothing helps, or `least` of a side is left. The gap
+    is that of means, or with minmax of the least correct and greatest incorrect one. A null verdict is incorrect; a sample
+    without reward neither counts nor goes.
+
+    No loop is needed. What taking out a side's next sample gains depends on that side alone. Of two lists of gains of which
+    always the greater head is taken, the order is that of their running minima; and as only gains above 0 are taken, the gap
+    grows along it, so a sample goes if the gap before it is below delta."""
+    _orders(kind)
+    correct = F.coalesce(F.col("correct"), F.lit(False))
+    at = rows.select(GROUP, "slot", (~correct).cast("int").alias("_side"), F.when(correct, F.col("reward")).otherwise(-F.col("reward")).alias("_v"))
+    side = Window.partitionBy(GROUP, "_side")
+    order = side.orderBy(F.col("_v").asc_nulls_last(), "slot")
+    n, i = F.count("_v").over(side), F.row_number().over(order) - 1
+    left = F.sum("_v").over(order.rowsBetween(0, Window.unboundedFollowing))
+    at = at.withColumns({"_n": n, "_i": i, "_left": left, "_next": F.lead("_v").over(order)})
+    at = _gained(at, kind, least)
+    at = at.withColumn("_key", F.min(F.round("_gain", FINE_PLACES)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # One side's gap is its first row's; both sides must have one.
+    firsts = F.sum(F.when(F.col("_i") == 0, F.col("_gap"))).over(Window.partitionBy(GROUP))
+    sides = F.count(F.when((F.col("_i") == 0) & F.col("_v").isNotNull(), 1)).over(Window.partitionBy(GROUP))
+    merged = Window.partitionBy(GROUP).orderBy(F.col("_key").desc_nulls_last(), "_side", "_i").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumns({"_gap0": firsts, "_sides": sides, "_before": F.coalesce(F.sum("_gain").over(merged), F.lit(0.0))})
+    masked = (F.col("_sides") == 2) & F.col("_gain").isNotNull() & (F.col("_key") > 0) & (F.round(F.col("_gap0") + F.col("_before"), PLACES) < delta)
+    return at.select(GROUP, "slot", F.coalesce(masked, F.lit(False)).alias("masked"))
+
+
+def _gained(at: DataFrame, kind: str, least: float) -> DataFrame:
+    """Adds _gap, a side's share in the gap as its row finds it, and _gain by taking the row out (null where it must stay), from
+    the place _i among _n, the sum _left from it on and the value _next after it."""
+    stay = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(least)))
+    rest = F.col("_n") - F.col("_i")
+    gap = F.col("_left") / rest if kind == "mean" else F.col("_v")
+    after = (F.col("_left") - F.col("_v")) / (rest - 1) if kind == "mean" else F.col("_next")
+    return at.withColumn("_gap", F.when(F.col("_v").isNotNull(), gap)).withColumn("_gain", F.when(F.col("_v").isNotNull() & (F.col("_i") < F.col("_n") - stay), after - gap))
+
+
+def global_margin_mask(rows: DataFrame, delta: float, least: float = 0.5, kind: str = "mean") -> DataFrame:
+    """As greedy_margin_mask with all rows as one group. Both sides' orders and the order of gains are indexes of ranges: sums and
+    minima run within a range, and go on from one value for each range before it, so no task has all rows."""
+    _orders(kind)
+    correct = F.coalesce(F.col("correct"), F.lit(False))
+    at = rows.select(F.col(GROUP).cast("long").alias(GROUP), F.col("slot").cast("int").alias("slot"), (~correct).cast("int").alias("_side"), F.when(correct, F.col("reward")).otherwise(-F.col("reward")).alias("_v"))
+    sizes = {r["_side"]: r for r in at.groupBy("_side").agg(F.count("_v").alias("n"), F.sum("_v").alias("s"), F.min("_v").alias("least")).collect()}  # two rows
+    none = at.select(GROUP, "slot", F.lit(False).alias("masked"))
+    if len(sizes) < 2 or not all(r.n for r in sizes.values()):
+        return none
+    n0, n1, s0, s1 = sizes[0].n, sizes[1].n, sizes[0].s, sizes[1].s
+    index = ranges.ranges(at.where("_v is not null"), ["_side", "_v", GROUP, "slot"])
+    one = F.col("_side") == 0
+    placed = index.running({"_sum": ("sum", F.col("_v"))}, follow={"_next": F.struct("_side", "_v")})
+    placed = placed.withColumns({"_n": F.when(one, n0).otherwise(n1), "_i": F.when(one, F.col("place")).otherwise(F.col("place") - n0)})
+    placed = placed.withColumn("_left", F.when(one, F.lit(s0) - F.col("_sum")).otherwise(F.lit(s0 + s1) - F.col("_sum")))
+    placed = placed.withColumn("_next", F.when(F.col("_next")["_side"] == F.col("_side"), F.col("_next")["_v"]))
+    gains = _gained(placed, kind, least)
+    gap0 = s0 / n0 + s1 / n1 if kind == "mean" else sizes[0].least + sizes[1].least
+    # The least gain up to a row, of its own side: of the other side's rows nothing is carried on.
+    keyed = index.running({f"_least{k}": ("min", F.when(F.col("_side") == k, F.round("_gain", FINE_PLACES))) for k in (0, 1)}, of=gains)
+    key = F.least(F.round("_gain", FINE_PLACES), F.when(one, F.col("_least0")).otherwise(F.col("_least1")))
+    worth = keyed.where(F.col("_gain").isNotNull()).withColumn("_key", key).where("_key > 0").select(GROUP, "slot", "_side", "_i", "_gain", (-F.col("_key")).alias("_order"))
+    merged = ranges.ranges(worth, ["_order", "_side", "_i"])
+    gone = merged.running({"_before": ("sum", F.col("_gain"))}).where(F.round(F.lit(gap0) + F.col("_before"), PLACES) < delta)
+    marks = gone.select(GROUP, "slot", F.lit(True).alias("_gone"))
+    return at.select(GROUP, "slot").join(marks, [GROUP, "slot"], "left").select(GROUP, "slot", F.coalesce("_gone", F.lit(False)).alias("masked"))
 
 
 def injection_pick(rows: DataFrame) -> DataFrame:

@@ -10,19 +10,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def differencing(costs: list[int], parts: int) -> list[list[int]]:
-    """The largest-differencing method for `parts` ways: the two sets of partial sums that differ most in themselves are
-    joined, heavy to light, until one is left. Parts come as ascending indices, in the order of their first."""
-    start = [(0, i, [(c, [i])] + [(0, [])] * (parts - 1)) for i, c in enumerate(costs)]
-    heap = [(-(s[2][0][0] - s[2][-1][0]), s[1], s[2]) for s in start]
-    heapq.heapify(heap)
+class _Greatest(tuple):
+    """A tuple that a heap of least elements gives greatest first."""
+
+    def __lt__(self, other: tuple) -> bool:
+        return tuple.__gt__(self, other)
+
+
+def differencing(costs: list[int], parts: int, equal: bool = False) -> list[list[int]]:
+    """The largest-differencing method for `parts` ways. A partial partition is `parts` subsets (sum, size, items in the order
+    in which they came), greatest first; the two whose sums spread most (of equals those with the greater first subset) are
+    joined, greatest to least, until one is left. It begins with one of each item or, for parts of an equal number of items,
+    of each `parts` neighbours in the order of cost. Parts come as they stand in the last one, with ascending indices."""
+    ranked = sorted((c, i) for i, c in enumerate(costs))
+    if equal and len(costs) % parts:
+        raise ValueError(f"{len(costs)} items cannot be dealt into {parts} parts of one size")
+    width, empty = parts if equal else 1, (0, 0, ())
+    heap: list = []
+
+    def push(subsets: list[tuple]) -> None:
+        subsets.sort(reverse=True)
+        heapq.heappush(heap, (subsets[-1][0] - subsets[0][0], _Greatest(subsets[0]), subsets))
+
+    for at in range(0, len(ranked), width):
+        push([(c, 1, ((i, c),)) for c, i in ranked[at : at + width]] + [empty] * (parts - width))
     while len(heap) > 1:
-        _, i, a = heapq.heappop(heap)
-        _, j, b = heapq.heappop(heap)
-        joined = sorted(((x + y, sorted(p + q)) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda s: (-s[0], s[1]))
-        heapq.heappush(heap, (-(joined[0][0] - joined[-1][0]), min(i, j), joined))
-    found = [p for _, p in heap[0][2]] if heap else [[] for _ in range(parts)]
-    return sorted(found, key=lambda p: (not p, p))
+        (*_, one), (*_, two) = heapq.heappop(heap), heapq.heappop(heap)
+        push([(a[0] + b[0], a[1] + b[1], a[2] + b[2]) for a, b in zip(one, reversed(two), strict=True)])
+    return [sorted(i for i, _ in items) for *_, items in heap[0][2]] if heap else [[] for _ in range(parts)]
 
 
 def least_loaded(costs: list[int], parts: int) -> list[list[int]]:
@@ -36,17 +51,25 @@ def least_loaded(costs: list[int], parts: int) -> list[list[int]]:
 
 
 def first_fit(costs: list[int], cap: int) -> list[list[int]]:
-    """Each item into the first bin with room; one over the cap has a bin of its own."""
-    bins: list[list] = []
+    """Each item into the first bin with room; one over the cap has a bin of its own. The greatest room under each node of a tree
+    over the bins leads to the first that fits, so an item takes as many steps as the tree is deep."""
+    width = 1 << max(0, len(costs) - 1).bit_length()
+    room, bins = [cap] * (2 * width), []
     for i, c in enumerate(costs):
-        for b in bins:
-            if b[0] + c <= cap:
-                b[0] += c
-                b[1].append(i)
-                break
+        at = 1
+        if c > cap:  # a new bin, the first that nothing is in
+            at = width + len(bins)
         else:
-            bins.append([c, [i]])
-    return [b[1] for b in bins]
+            while at < width:
+                at = 2 * at if room[2 * at] >= c else 2 * at + 1
+        if at - width == len(bins):
+            bins.append([])
+        bins[at - width].append(i)
+        room[at] -= c
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
+    return bins
 
 
 def chunks(costs: list[int], size: int) -> list[list[int]]:

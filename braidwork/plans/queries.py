@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import answers, text
 from braidwork.operators import evaluation as ev
 from braidwork.operators import groups as gr
+from braidwork.operators import intervals as iv
 from braidwork.operators import normalizer as nz
 from braidwork.operators import partitioning as pt
 from braidwork.operators import prompts as pr
@@ -262,11 +263,29 @@ def margin_shift_global(spark, d):
     return gr.margin_shift(groups(spark, d), 0.5, kind="minmax").select(r6("gap"), r6("shift"))
 
 
-@query()
+SIDES = "SELECT group_index, slot, (NOT coalesce(correct, false))::INT side, CASE WHEN coalesce(correct, false) THEN reward ELSE -reward END v FROM grp"
+GAINS = "SELECT *, CASE WHEN i < n - greatest(1, floor(n * 0.5)) THEN (s - v)/(n - i - 1) - s/(n - i) END gain FROM (SELECT *, count(*) OVER (PARTITION BY {g} side) n, row_number() OVER o - 1 i, sum(v) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) s FROM s WINDOW o AS (PARTITION BY {g} side ORDER BY v, {t}))"
+MASK = """, s AS ({sides}), a AS ({gains}), k AS (SELECT *, min(round(gain, 12)) OVER (PARTITION BY {g} side ORDER BY i) m, sum(CASE WHEN i = 0 THEN s/n END) OVER w gap, count(*) FILTER (i = 0) OVER w sides FROM a WINDOW w AS ({p})),
+ b AS (SELECT *, coalesce(sum(gain) OVER ({p} ORDER BY m DESC NULLS LAST, side, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) earlier FROM k)
+ SELECT group_index, slot, coalesce(sides = 2 AND gain IS NOT NULL AND m > 0 AND round(gap + earlier, 9) < 0.05, false) masked FROM b"""
+
+
+def _mask_sql(scope: str) -> str:
+    """The whole greedy rule as windows, over groups or over all rows."""
+    g = "group_index," if scope == "group" else ""
+    return MASK.format(sides=SIDES, gains=GAINS.format(g=g, t="slot" if g else "group_index, slot"), g=g, p="PARTITION BY group_index" if g else "")
+
+
+@query(_mask_sql("group"))
 def greedy_margin_mask(spark, d):
     return gr.greedy_margin_mask(groups(spark, d), 0.05)
 
 
+@query(_mask_sql("all"))
+def global_margin_mask(spark, d):
+    return gr.global_margin_mask(groups(spark, d), 0.05)
+
+
 @query("SELECT teacher, count(*) FILTER (previous IS NOT NULL) repeats, count(*) FILTER (previous <> teacher) switched FROM (SELECT teacher, lag(teacher) OVER (PARTITION BY l_partkey ORDER BY group_index, slot) previous FROM grp) GROUP BY teacher")
 def switch_rate(spark, d):
     s = gr.switches(groups(spark, d), ["l_partkey"], ["group_index", "slot"], "teacher")
@@ -326,7 +345,17 @@ def paired_contrast_point(spark, d):
 
 @query()
 def paired_bootstrap_exact(spark, d):
-    return ev.bootstrap(_pairs(spark, d), ["contrast"], ["de", "en", "es", "fr"])
+    return iv.bootstrap(_pairs(spark, d), ["contrast"], ["de", "en", "es", "fr"])
+
+
+@query()
+def seed_read(spark, d):
+    # Three seeds of a method: all questions' last two, first and third samples of four.
+    r = records(spark, d).select("suite", "id", F.split("correct", "").alias("c"), F.explode(F.array(*[F.lit(x) for x in (42, 43, 44)])).alias("seed"))
+    at = lambda k: F.element_at("c", k).cast("double")
+    sa = F.when(F.col("seed") == 42, at(F.lit(1))).when(F.col("seed") == 43, at(F.lit(2))).otherwise(at(F.lit(3)))
+    pairs = r.groupBy("seed", "suite", "id").agg(F.avg(sa).alias("sa"), F.avg(at(F.lit(4))).alias("sb"))
+    return iv.seed_read(pairs, "seed", [42, 43, 44], ["de", "en", "es", "fr"])
 
 
 @query("SELECT suite, id, a.correct <> b.correct AS differs FROM records a JOIN (SELECT suite, id, reverse(correct) correct FROM records) b USING (suite, id)")
@@ -399,6 +428,17 @@ def karmarkar_karp(spark, d):
     return pt.assign(batches, ["teacher", "batch"], ["group_index", "slot"], "length", lambda c: pt.differencing(c, 8))
 
 
+@query()
+def equal_parts(spark, d):
+    # As many samples for each of eight workers; a batch short of a multiple is filled up with empty ones.
+    def even(costs: list[int]) -> list[list[int]]:
+        filled = costs + [0] * (-len(costs) % 8)
+        return [[i for i in part if i < len(costs)] for part in pt.differencing(filled, 8, equal=True)]
+
+    batches = groups(spark, d).withColumn("batch", F.expr("group_index div 500"))
+    return pt.assign(batches, ["teacher", "batch"], ["group_index", "slot"], "length", even)
+
+
 @query()
 def first_fit_bins(spark, d):
     return pt.assign(groups(spark, d), ["group_index"], ["slot"], "length", lambda c: pt.first_fit(c, 60))

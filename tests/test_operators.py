@@ -77,22 +77,6 @@ def test_greedy_mask(spark):
     assert {r.slot for r in groups.greedy_margin_mask(df, 0.4).where("masked").collect()} == {0}
 
 
-def test_bootstrap_is_that_of_the_formula(spark):
-    rng = random.Random(3)
-    data = [("c", s, f"q{i:03}", rng.random(), rng.random()) for s in ("x", "y") for i in range(30)]
-    df = spark.createDataFrame(data, "contrast string, suite string, id string, sa double, sb double")
-    got = evaluation.bootstrap(df, ["contrast"], ["x", "y"], replicates=500, seed=5).first()
-    gen, draws = np.random.default_rng(5), np.zeros(500)
-    for s in ("x", "y"):
-        part = sorted(r[2:] for r in data if r[1] == s)
-        va, vb = np.array([p[1] for p in part]), np.array([p[2] for p in part])
-        at = gen.integers(0, 30, size=(500, 30))
-        draws += 50 * (va[at].mean(axis=1) - vb[at].mean(axis=1))
-    assert np.allclose([got.lo, got.hi], np.percentile(draws, [2.5, 97.5]))
-    same = evaluation.bootstrap(df.withColumn("sb", F.col("sa")), ["contrast"], ["x", "y"], replicates=50).first()
-    assert same.delta == same.lo == same.hi == 0
-
-
 def test_levels_are_null_without_a_suite(spark):
     df = spark.createDataFrame([("m", "x", "1", 0.5)], "model string, suite string, id string, score double")
     row = evaluation.levels(df, {"d": ["x", "y"]}, ["model"]).first()
@@ -149,15 +133,6 @@ def test_karmarkar_karp_parts_every_row(spark):
     assert {(r.teacher, r.batch, r.group_index, r.slot): r.part for r in got} == want
 
 
-def test_seed_interval_of_like_draws():
-    rng = np.random.default_rng(3)
-    draws = {s: rng.normal(1.0, 0.1, 4000) for s in (42, 43, 44)}
-    lo, hi = evaluation.seed_interval(draws, np.random.default_rng(1))
-    assert 0.85 < lo < 0.95 and 1.05 < hi < 1.15
-    apart = {s: np.full(4000, float(i)) for i, s in enumerate(draws)}
-    assert evaluation.seed_interval(apart, np.random.default_rng(1)) == (0.0, 2.0)
-
-
 def test_settings_of_layers():
     assert prompts.resolved({"a": None, "b": 2}, {"a": 1, "b": 3, "c": None}) == {"a": 1, "b": 2, "c": None}
     try:
