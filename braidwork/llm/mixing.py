@@ -3,8 +3,10 @@
 Time runs in slots t = 0, 1, ..., one for each BLOCK words. Slot t belongs to the source into whose stretch of the cumulative
 weights the fractional part of (t + 1/2) times the golden ratio falls, so that any run of slots is mixed nearly to weight;
 a source whose stretch no slot meets gets one at the end. The stream of a source is its documents in the order of a hash,
-begun anew at its end; the source's slots cut its target, rounded to whole words, from the stream's beginning on into equal
-blocks (of one word more or less), and the k-th slot takes the k-th block. So every source gives just its target.
+begun anew at its end; as many equal blocks as the source has slots (of one word more or less) cut its target, rounded to whole
+words, from the stream's beginning on, and the k-th slot takes the k-th block. A mix may end after any number of slots: what is
+taken of a document follows from how many of its source's slots there are by then, and its place in the mix is the slot of the
+block that holds its first word. After all slots every source has given just its target.
 
 Edge cases: a null text has no words, a null source is a source (the last); documents without words are never taken;
 repeated rows count each on its own; ties in the order of the hash are broken by id and text; if no source has words, all
@@ -79,76 +81,98 @@ def schedule(goals: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     return met.select("slot", "source", (F.col("_in") + F.col("_before")).alias("rank"))
 
 
-def blocks(goals: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
-    """slot, source, lo, hi: the words that each slot takes, from `lo` on and before `hi`, of its source's stream, which goes
-    on beyond the source's size by beginning anew."""
-    plan = schedule(goals, total, block)
-    many = plan.groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
-    sizes = goals.select(F.col("source").alias("_g"), "source_size", F.floor(F.col("target") + 0.5).alias("words"))
-    known = sizes.join(many, F.col("_g").eqNullSafe(F.col("source")), "left").drop("source").withColumn("slots", F.coalesce("slots", F.lit(0)))
-    unmet = known.where("slots = 0").select(F.lit(-(-total // block)).cast("long").alias("slot"), F.col("_g").alias("source"), F.lit(0).cast("long").alias("rank"))
-    each = plan.select("slot", "source", F.col("rank").cast("long").alias("rank")).unionByName(unmet)
-    met = each.join(known, F.col("source").eqNullSafe(F.col("_g")))
-    edge = lambda k: F.floor(k.cast("double") * F.col("words") / F.greatest(F.col("slots"), F.lit(1)))
-    cut = met.select("slot", "source", edge(F.col("rank")).alias("lo"), edge(F.col("rank") + 1).alias("hi"))
-    return cut.where("hi > lo")
-
-
-def takes(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, source, mix (a hash of id and text), size, source_size, target, and taken: the number
-    of its words that the schedule takes, repeats counted."""
+def streams(goals: DataFrame, plan: DataFrame, total: int, block: int = BLOCK, until: int | None = None) -> DataFrame:
+    """source, source_size, target, words (the rounded target), slots, and used: how many of the source's slots are among the
+    first `until` (None: all). A source that no slot meets has one after all others."""
+    end = -(-total // block)
+    early = F.lit(True) if until is None else F.col("slot") < until
+    many = plan.groupBy("source").agg(F.count(F.lit(1)).alias("slots"), F.count_if(early).alias("used"))
+    sizes = goals.select(F.col("source").alias("_g"), "source_size", "target", F.floor(F.col("target") + 0.5).alias("words"))
+    known = sizes.join(many, F.col("_g").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("_g", "source")
+    last = int(until is None or until > end)
+    return known.select("source", "source_size", "target", "words", F.coalesce("slots", F.lit(1)).alias("slots"), F.coalesce("used", F.lit(last)).alias("used"))
+
+
+def _wide(c: Column) -> Column:
+    """Products of words and slots leave 64 bits on large tables."""
+    return c.cast("decimal(19,0)")
+
+
+def _edge(rank: Column) -> Column:
+    """The word at which a source's block of a rank begins: its target is cut into as many equal blocks as it has slots."""
+    return F.call_function("div", _wide(rank) * _wide(F.col("words")), _wide(F.col("slots"))).cast("long")
+
+
+def _rank(word: Column) -> Column:
+    """The rank of the block that holds a word: the last whose beginning is not after it."""
+    return (F.call_function("div", _wide(word + 1) * _wide(F.col("slots")) + _wide(F.col("words")) - 1, _wide(F.col("words"))) - 1).cast("long")
+
+
+def placed(docs: DataFrame, seed: int = SEED, block: int = BLOCK, until: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents and the schedule that they meet: (doc_id, source, mix, size, first, taken and the columns of streams()), and
+    (slot, source, rank). first is the document's place in its source's stream, null without words; taken are its words among
+    those of the source's blocks that are used, repeats counted as often as the stream comes round."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source", mix_hash(seed).alias("mix"), words_in(F.col("text")).alias("size"))
     rows = written(rows, "mix-sizes")
     goals = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    placed = running(rows.where("size > 0"), ["source"], ["mix", "doc_id"], "size", "first", max(partitions(spark), count // 50_000))
-    told = goals.select(F.col("source").alias("_s"), "source_size", "target")
-    placed = placed.join(told, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # A document's stretches of the stream, as often as the target comes round to it; of two documents of a source no two
-    # begin at the same word.
-    last = F.floor(F.col("target") + 0.5)
-    rounds = F.floor((last - F.col("first") - 1) / F.col("source_size"))
-    parts = placed.withColumn("_round", F.explode(F.when(last > F.col("first"), F.sequence(F.lit(0).cast("long"), rounds))))
-    parts = parts.withColumn("_lo", F.col("first") + F.col("_round") * F.col("source_size"))
-    parts = parts.withColumn("_hi", F.least(F.col("_lo") + F.col("size"), last))
-    # Stretches and blocks meet in the cells of a grid that both touch.
-    grid = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor((hi - 1) / block)))
-    parts = parts.withColumn("_cell", grid(F.col("_lo"), F.col("_hi")))
-    used = blocks(goals, total, block)
-    used = used.select(F.col("source").alias("_t"), "lo", "hi", grid(F.col("lo"), F.col("hi")).alias("_at"))
-    met = parts.join(used, F.col("source").eqNullSafe(F.col("_t")) & (F.col("_cell") == F.col("_at")))
-    both = [F.greatest(F.col("_lo"), F.col("lo"), F.col("_cell") * block), F.least(F.col("_hi"), F.col("hi"), (F.col("_cell") + 1) * block)]
-    met = met.withColumn("_words", F.greatest(both[1] - both[0], F.lit(0)))
-    found = met.groupBy("source", "first").agg(F.sum("_words").cast("long").alias("taken"))
-    found = found.select(F.col("source").alias("_t"), F.col("first").alias("_f"), "taken")
-    taken = placed.join(found, F.col("source").eqNullSafe(F.col("_t")) & (F.col("first") == F.col("_f")), "left")
-    empty = rows.where("size = 0").join(told, F.col("source").eqNullSafe(F.col("_s")))
-    cols = ["doc_id", "source", "mix", "size", "source_size", "target"]
-    return taken.select(*cols, F.coalesce("taken", F.lit(0).cast("long")).alias("taken")).unionByName(empty.select(*cols, F.lit(0).cast("long").alias("taken")))
+    plan = written(schedule(goals, total, block), "mix-slots")
+    told = written(streams(goals, plan, total, block, until), "mix-streams")
+    end = -(-total // block)
+    extra = told.join(plan.select(F.col("source").alias("_s")).distinct(), F.col("source").eqNullSafe(F.col("_s")), "left_anti")
+    slots = plan.select("slot", "source", F.col("rank").cast("long").alias("rank")).unionByName(extra.select(F.lit(end).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("rank")))
+    at = running(rows.where("size > 0"), ["source"], ["mix", "doc_id"], "size", "first", max(partitions(spark), count // 50_000))
+    both = at.unionByName(rows.where("size = 0").withColumn("first", F.lit(None).cast("long")))
+    told = told.withColumnRenamed("source", "_s")
+    met = both.join(told, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_end", _edge(F.col("used")))
+    over = F.col("_end") - F.expr("_end div greatest(source_size, 1)") * F.col("source_size") - F.col("first")
+    taken = F.expr("_end div greatest(source_size, 1)") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), over))
+    return met.withColumn("taken", F.when(F.col("first").isNull(), F.lit(0)).otherwise(taken).cast("long")).drop("_end"), slots
+
+
+def _at_slot(rows: DataFrame, slots: DataFrame, word: Column, out: str) -> DataFrame:
+    """Adds the slot of the block that holds `word`; null where that is null."""
+    ranked = rows.withColumn("_rank", _rank(word))
+    named = slots.select(F.col("source").alias("_s"), F.col("rank").alias("_r"), F.col("slot").alias(out))
+    return ranked.join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_rank") == F.col("_r")), "left").drop("_s", "_r", "_rank")
+
+
+def takes(docs: DataFrame, seed: int = SEED, block: int = BLOCK, until: int | None = None) -> DataFrame:
+    """One row per document: doc_id, source, mix (a hash of id and text), size, source_size, target, taken: the number of its
+    words that the schedule takes in its first `until` slots (None: all), repeats counted, and first_slot: the slot that takes
+    its first word, null where none does."""
+    rows, slots = placed(docs, seed, block, until)
+    met = _at_slot(rows, slots, F.when(F.col("taken") > 0, F.col("first")), "first_slot")
+    return met.select("doc_id", "source", "mix", "size", "source_size", "target", "taken", "first_slot")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return takes(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return takes(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mix_hash(seed: int = SEED) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
-def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """The rows of `docs` as often as the schedule takes them, with their columns. Of a source only the document at which
-    the schedule ends is taken in part; it counts as whole if half of it or more is."""
+def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK, until: int | None = None) -> DataFrame:
+    """The rows of `docs` as often as the first `until` slots (None: all) take them, with their columns, in the order of the
+    slots that their copies begin in. Of a source only the document at which the schedule ends is taken in part; it counts as
+    whole if half of it or more is."""
+    found, slots = placed(docs, seed, block, until)
     copies = F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int")
-    mix, place = fresh(docs, "_mix"), fresh(docs, "_place")
-    key = Window.partitionBy("_i", "_t", "_m").orderBy("copies")
-    plan = takes(docs, seed, block).where("taken > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_t"), F.col("mix").alias("_m"), copies.alias("copies"))
-    plan = plan.where("copies > 0").select("*", F.row_number().over(key).alias("_n"))
-    plan = plan.select(F.struct("_i", "_t", "_m", "_n", "copies").alias("plan"))
+    mix, place, slot = fresh(docs, "_mix"), fresh(docs, "_place"), fresh(docs, "_slot")
+    key = Window.partitionBy("doc_id", "source", "mix").orderBy("first")
+    plan = found.where("taken > 0").withColumn("_copies", copies).where("_copies > 0").withColumn("_n", F.row_number().over(key))
+    each = plan.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    each = _at_slot(each, slots, F.col("first") + F.col("_copy") * F.col("source_size"), "_slot")
+    # A document's copies in one row, so that its text is joined once.
+    listed = each.groupBy("doc_id", "source", "mix", "_n").agg(F.collect_list("_slot").alias("_slots"))
+    name = fresh(docs, "_plan")
+    told = listed.select(F.struct(F.col("doc_id").alias("_i"), F.col("source").alias("_t"), F.col("mix").alias("_m"), "_n", "_slots").alias(name))
     rows = docs.withColumn(mix, mix_hash(seed))
     rows = rows.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", "source", mix).orderBy(mix)))
-    name = fresh(rows, "_plan")
     pairs = (("doc_id", "_i"), ("source", "_t"), (mix, "_m"), (place, "_n"))
     on = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(f"{name}.{b}")) for a, b in pairs])
-    kept = rows.join(plan.withColumnRenamed("plan", name), on)
-    return kept.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies"))).alias(mix)).drop(mix)
+    kept = rows.join(told, on).select(*docs.columns, F.explode(F.col(f"{name}._slots")).alias(slot))
+    return kept.orderBy(slot).select(*docs.columns)

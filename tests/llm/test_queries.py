@@ -94,6 +94,48 @@ def test_mixing_gives_small_sources_their_targets(spark):
     assert len(slots) == -(-100_000 // mixing.BLOCK) and abs(first.count("a") / 100 - want["a"] / sum(want.values())) < 0.02
 
 
+def test_the_schedule_decides_the_mix(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), f"s{rng.choice('aaaabbc')}", i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rank long").repartition(4)
+    whole = mixing.takes(docs, block=8).collect()
+    goal = {r.source: r.target for r in whole}
+    total, share = sum(goal.values()), lambda rs: {s: sum(r.taken for r in rs if r.source == s) for s in goal}
+    assert all(abs(n - goal[s]) <= 0.5 for s, n in share(whole).items())
+    for part in (0.1, 0.35, 0.7):  # every beginning of the mix is near the weights, by blocks of some words
+        until = int(part * total / 8)
+        cut = mixing.takes(docs, block=8, until=until).collect()
+        assert all(abs(n - part * goal[s]) < 8 * 6 for s, n in share(cut).items())
+        assert all((r.first_slot is None) == (r.taken == 0) and (r.first_slot is None or r.first_slot < until) for r in cut)
+    # The rows come in the order of slots, each source's in that of its stream, so their beginnings are mixed to weight too.
+    length, where = {r[0]: len(r[1].split()) for r in rows}, {r[0]: r[2] for r in rows}
+    order = [r.doc_id for r in mixing.mixed(docs, block=8).collect()]
+    assert set(order) == {r.doc_id for r in whole if r.taken >= r["size"] / 2 and r["size"]}
+    for part in (0.2, 0.5, 0.8):
+        met, words = {s: 0 for s in goal}, 0
+        for i in order:
+            if words >= part * total:
+                break
+            met[where[i]] += length[i]
+            words += length[i]
+        assert all(abs(n - part * goal[s]) < 0.03 * total for s, n in met.items())
+    # Consecutive slots in place of the golden ratio: another mix.
+    firsts = {r.doc_id: r.first_slot for r in whole}
+    plain = mixing.schedule
+
+    def lined_up(goals, total, block):
+        from pyspark.sql import Window
+
+        made = plain(goals, total, block).drop("slot")
+        return made.withColumn("slot", (F.row_number().over(Window.orderBy("source", "rank")) - 1).cast("long"))
+
+    monkeypatch.setattr(mixing, "schedule", lined_up)
+    again = mixing.takes(docs, block=8).collect()
+    assert {r.doc_id: r.first_slot for r in again} != firsts
+    half = share(mixing.takes(docs, block=8, until=int(total / 16)).collect())
+    assert max(abs(n - goal[s] / 2) for s, n in half.items()) > 0.1 * total
+
+
 def test_packing_places_every_row(docs):
     got = packing.packed(docs, buckets=4, budget=200).collect()
     assert len(got) == docs.count() and all(r["size"] <= r.width for r in got)
