@@ -36,7 +36,7 @@ def paired(scores: DataFrame, a: str, b: str) -> DataFrame:
     """suite, id, sa, sb of two models; an id that one lacks is an error."""
     one = scores.where(F.col("model") == a).select("suite", "id", F.col("score").alias("sa"))
     two = scores.where(F.col("model") == b).select("suite", "id", F.col("score").alias("sb"))
-    fail = F.raise_error(F.concat(F.lit("question of one model only: "), F.col("id"))).cast("double")
+    fail = F.raise_error(F.concat(F.lit("question of one model only: "), F.col("id"))).cast(dict(scores.dtypes)["score"])
     both = one.join(two, ["suite", "id"], "full")
     return both.select("suite", "id", *[F.when(F.col("sa").isNull() | F.col("sb").isNull(), fail).otherwise(F.col(c)).alias(c) for c in ("sa", "sb")])
 

@@ -198,8 +198,8 @@ def routed(rows: DataFrame, alias: Column, table: dict[str, str], default: str,
 
 
 def trimmed(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """The first floor(n / size) x size rows by `order`; which of rows equal in it go is not told, but as many as must. Fewer
-    than `size` rows are cut, so only those are ordered in one task."""
+    """The first floor(n / size) x size rows by `order`; of rows equal in it those go whose hash over all columns is least, so the
+    same on any run. Fewer than `size` rows are cut, so only those are ordered in one task."""
     extra = rows.count() % size
     if not extra:
         return rows
@@ -208,7 +208,7 @@ def trimmed(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     met = rows.withColumn("_order", F.struct(*order)).join(F.broadcast(cut), F.col("_order").eqNullSafe(F.col("_key")), "left")
     whole = met.where("_cut is null").drop("_order", "_key", "_cut")
     # Only rows that tie with one that goes are numbered, each tie by itself.
-    tied = met.where("_cut is not null").withColumn("_r", F.row_number().over(Window.partitionBy("_order").orderBy("_cut")))
+    tied = met.where("_cut is not null").withColumn("_r", F.row_number().over(Window.partitionBy("_order").orderBy(F.xxhash64(*rows.columns), *rows.columns)))
     return whole.unionByName(tied.where("_r > _cut").drop("_order", "_key", "_cut", "_r"))
 
 

@@ -185,11 +185,14 @@ def policy_total(policy: Column, entropy: Column, kl: Column, entropy_weight: fl
 
 
 def log_weighted_mean_exp(values: Column, weights: Column) -> Column:
-    """log of the sum of weights x exp(values); weights are scaled to 1, and those of 0 leave their value out."""
+    """log of the sum of weights x exp(values); weights of 0 leave their value out. Negative weights, and weights that do not
+    add up to 1 within 1e-6, are an error."""
     pairs = F.filter(F.arrays_zip(values.alias("v"), weights.alias("w")), lambda x: x["w"] > 0)
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     top = F.array_max(F.transform(pairs, lambda x: x["v"]))
-    return top + F.log(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"] * F.exp(x["v"] - top)) / total)
+    mean = top + F.log(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"] * F.exp(x["v"] - top)))
+    fine = (F.abs(total - 1) <= 1e-6) & ~F.exists(weights, lambda w: w < 0)
+    return F.when(fine, mean).otherwise(F.raise_error(F.lit("weights of a mixture must add up to 1")).cast("double"))
 
 
 def teacher_target(mode: str, scores: Column, label: Column, means: Column) -> Column:
@@ -197,7 +200,7 @@ def teacher_target(mode: str, scores: Column, label: Column, means: Column) -> C
     least mean (first by name in ties), or the pool of all. A teacher without a score is an error."""
     if mode == "pool":
         values = F.map_values(scores)
-        return F.struct(log_weighted_mean_exp(values, F.transform(values, lambda v: F.lit(1.0))).alias("target"), F.lit("pool").alias("applied"))
+        return F.struct(log_weighted_mean_exp(values, F.transform(values, lambda v: 1.0 / F.size(values))).alias("target"), F.lit("pool").alias("applied"))
     least = F.array_min(F.transform(F.map_entries(means), lambda e: F.struct(e["value"].alias("m"), e["key"].alias("t"))))["t"]
     name = label if mode == "label" else least
     fail = F.raise_error(F.concat(F.lit("teacher without a score: "), F.coalesce(name, F.lit("none")))).cast("double")

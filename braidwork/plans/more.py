@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from braidwork.functions import answers, text
 from braidwork.operators import evaluation as ev
 from braidwork.operators import groups as gr
+from braidwork.operators import hook
 from braidwork.operators import normalizer as nz
 from braidwork.operators import prompts as pr
+from braidwork.operators import ranges
 from braidwork.operators import rollouts as ro
 from braidwork.operators import tokens as tk
-from braidwork.plans.queries import CLIP, MULT, query, r6
+from braidwork.plans.queries import CLIP, MULT, STD, query, r6
 from braidwork.plans.views import groups, table, tokens
 
 DOMAINS = {"one": ["en", "de"], "two": ["fr", "es"]}
@@ -110,9 +112,9 @@ def pass_rate_band(spark, d):
     return pr.pass_band(rates).select("group_index")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY left(text, 40) ORDER BY doc_id) r FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 5000)) WHERE r = 1 ORDER BY doc_id LIMIT 100", views=False)
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) r FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 5000)) WHERE r = 1 ORDER BY doc_id LIMIT 100", views=False)
 def unrepeated_prompts(spark, d):
-    return pr.unrepeated(table(spark, d, "documents"), F.left("text", F.lit(40)), "doc_id", 100).select("doc_id")
+    return pr.unrepeated(table(spark, d, "documents"), F.col("text"), "doc_id", 100).select("doc_id")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'own' ELSE event_type END rm_type, json_extract_string(props, '$.k') k FROM events", views=False)
@@ -281,7 +283,7 @@ def policy_total(spark, d):
 
 @query("SELECT sample_id, pos, round(ln((exp(t_lp) + 3*exp(s_lp))/4), 6) pooled FROM tokens")
 def weighted_pool(spark, d):
-    return tokens(spark, d).select("sample_id", "pos", F.round(tk.log_weighted_mean_exp(F.array("t_lp", "s_lp", "old_lp"), F.array(F.lit(1.0), F.lit(3.0), F.lit(0.0))), 6).alias("pooled"))
+    return tokens(spark, d).select("sample_id", "pos", F.round(tk.log_weighted_mean_exp(F.array("t_lp", "s_lp", "old_lp"), F.array(F.lit(0.25), F.lit(0.75), F.lit(0.0))), 6).alias("pooled"))
 
 
 @query("SELECT sample_id, pos, round(CASE WHEN sample_id % 2 = 0 THEN t_lp ELSE s_lp END, 6) label, round(CASE WHEN s_lp < t_lp THEN s_lp ELSE t_lp END, 6) \"dynamic\", round(ln((exp(t_lp) + exp(s_lp))/2), 6) pool FROM tokens")
@@ -390,3 +392,46 @@ def nonzero_advantages(spark, d):
 def trim_with_ties(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.trunc("o_orderdate", "month").alias("m"))
     return gr.trimmed(o, ["m"], 777).agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("m"), "yyyy-MM-dd").alias("last"))
+
+
+# Responses as an update gets them, from the tokens of a user each. Scores are whole 64ths, so sums are exact in any order.
+HOOK = """, u AS (SELECT sample_id, pos, CASE WHEN max(mask::INT) OVER (PARTITION BY sample_id) = 1 THEN mask ELSE true END ok, floor(t_lp*64)/64 a, floor(old_lp*64)/64 b, floor(s_lp*64)/64 s FROM tokens),
+ m AS (SELECT sample_id i, count(*) len, avg(a) FILTER (ok) ma, avg(b) FILTER (ok) mb, CASE sample_id % 5 WHEN 0 THEN 'a_t' WHEN 1 THEN 'a_t' WHEN 2 THEN 'a_t' ELSE 'b_t' END applied,
+  CASE sample_id % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'code' ELSE 'unknown' END dom, 'p' || (sample_id // 4) % 97 prompt, sample_id % 4 slot FROM u GROUP BY sample_id),
+ e AS (SELECT i, dom, CASE WHEN applied = 'a_t' THEN a - s ELSE b - s END d FROM u JOIN m ON u.sample_id = m.i WHERE ok),
+ f AS (SELECT dom, count(*) n, sum(d) s, sum(d*d) q FROM e GROUP BY dom), k AS (SELECT dom, {own} sd, {all} sd_all FROM f),
+ r AS (SELECT m.*, CASE WHEN ma <= mb THEN 'a_t' ELSE 'b_t' END least, lag(applied) OVER (PARTITION BY prompt, slot ORDER BY i) was, (SELECT avg(d) FROM e WHERE e.i = m.i) delta FROM m) """.format(
+    own=STD.format(n="n", s="s", q="q"), all=STD.format(n="sum(n) OVER ()", s="sum(s) OVER ()", q="sum(q) OVER ()")
+)
+
+
+def _hook_rows(spark, d):
+    whole = lambda c: F.floor(F.col(c) * 64) / 64
+    t = tokens(spark, d).groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("mask").cast("int").alias("m"), whole("t_lp").alias("a"), whole("old_lp").alias("b"), whole("s_lp").alias("s")))).alias("t"))
+    i, mask = F.col("sample_id"), F.col("t.m")
+    samples = t.select(
+        i.alias("index"), F.concat(F.lit("p"), F.expr("sample_id div 4 % 97")).alias("prompt_sha256"), F.when(i % 3 == 0, "math").when(i % 3 == 1, "code").alias("domain"), F.when(i % 5 == 0, "").when(i % 5 == 2, "math").when(i % 5 > 2, "code").alias("label"),
+        F.when(i % 7 == 0, "truncated").otherwise("completed").alias("status"), (i % 2 == 0).alias("correct"), F.when(F.array_max(mask) == 1, mask).alias("loss_mask"), F.col("t.s").alias("rollout_logp"), F.create_map(F.lit("a_t"), F.col("t.a"), F.lit("b_t"), F.col("t.b")).alias("scores"),
+    )
+    return hook.batch(samples, ["a_t", "b_t"], "label", {"math": "a_t", "code": "b_t"}, "a_t", 4, "dn")
+
+
+@query(HOOK + f"SELECT i AS \"index\", applied, least current_argmin, was IS NOT NULL AS repeat, coalesce(was <> applied, false) switched, round(delta, 6) delta, round({CLIP}, 6) factor FROM r JOIN k USING (dom)")
+def hook_audit(spark, d):
+    return _hook_rows(spark, d).select("index", "applied", "current_argmin", "repeat", "switched", r6("rollout_delta_mean", "delta"), r6("dnorm_factor", "factor"))
+
+
+@query(HOOK + "SELECT count(*) n, min(i) first_index, round(avg((applied = 'a_t')::INT), 6) share_a, 1.0::DOUBLE agreement, round(avg((applied <> least)::INT), 6) disagreement, count(was) repeats, round(count(*) FILTER (was <> applied) / count(was), 6) switch_rate, round(avg(len), 6) mean_length, round(avg((i % 7 = 0)::INT), 6) truncation, round(avg(delta) FILTER (dom = 'unknown'), 6) delta_unknown, round(avg((applied = 'b_t')::INT) FILTER (dom = 'math'), 6) share_b_math FROM r")
+def hook_panel(spark, d):
+    p = hook.panel(_hook_rows(spark, d))
+    at = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0.0))
+    shares = [F.round(at(F.col("share"), "a_t"), 6).alias("share_a"), r6("label_agreement", "agreement"), r6("shadow_argmin_disagreement", "disagreement"), F.col("repeat_prompts").alias("repeats"), r6("repeat_switch_rate", "switch_rate"), r6("mean_response_length", "mean_length"), r6("truncation_rate", "truncation")]
+    return p.select("n", F.col("iteration_first_index").alias("first_index"), *shares, F.round(F.col("rollout_delta_by_domain")["unknown"]["mean_delta"], 6).alias("delta_unknown"), F.round(at(F.col("share_by_domain")["math"], "b_t"), 6).alias("share_b_math"))
+
+
+@query()
+def epoch_page(spark, d):
+    # The last third of one epoch and the first of the next: places in orders of their own.
+    o = table(spark, d, "orders").select("o_orderkey")
+    index = ranges.ranges(o, ["o_orderkey"])
+    return ranges.page(index, 11, index.total * 2 // 3, index.total * 2 // 3).select("o_orderkey", "step", "epoch", "slot")

@@ -91,9 +91,16 @@ def mixture(parts: list[Part]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(i, p) for i, p in enumerate(parts)])
 
 
-def records(spark: SparkSession, root: str, layout: str = "released") -> DataFrame:
+def records(spark: SparkSession, root: str, layout: str | None = None) -> DataFrame:
     """Records with suite, cap and model from their paths: scores/<suite>/cap<cap>/<model>.jsonl, or of single runs
-    <model>/<suite>/cap<cap>/scores.jsonl."""
+    <model>/<suite>/cap<cap>/scores.jsonl. Without a layout that of the files that are there; both or none is an error."""
+    if layout is None:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        there = {name: hadoop(f"{root}/{glob}") for name, glob in (("released", "scores/*/cap*/*.jsonl"), ("runs", "*/*/cap*/scores.jsonl"))}
+        found = [name for name, path in there.items() if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)]
+        if len(found) != 1:
+            raise ValueError(f"{root} holds records in {'two layouts' if found else 'no known layout'}")
+        layout = found[0]
     glob, pattern = {"released": (f"{root}/scores/*/cap*/*.jsonl", r"([^/]+)/cap(\d+)/([^/]+)\.jsonl$"), "runs": (f"{root}/*/*/cap*/scores.jsonl", r"([^/]+)/([^/]+)/cap(\d+)/scores\.jsonl$")}[layout]
     rows = spark.read.schema(RECORD).option("mode", "FAILFAST").json(glob).withColumn("_p", F.col("_metadata.file_path"))
     suite, cap, model = (1, 2, 3) if layout == "released" else (2, 3, 1)

@@ -158,3 +158,18 @@ def test_streamed_groups_of_a_partition_are_whole(spark):
     rows = spark.createDataFrame([(g, s, float(s % 3), s % 2 == 0) for g in range(40) for s in range(5)], "group_index long, slot int, reward double, correct boolean")
     got = groups.greedy_margin_mask(rows.repartition(3), 0.5).collect()
     assert len(got) == 200 and len({tuple(sorted((r.slot, r.masked) for r in got if r.group_index == g)) for g in range(40)}) == 1
+
+
+def test_weights_of_a_mixture(spark):
+    one = spark.range(1)
+    mean = lambda ws: one.select(tokens.log_weighted_mean_exp(F.array(F.lit(0.0), F.lit(-1.0)), F.array(*map(F.lit, ws)))).first()[0]
+    assert mean([1.0, 0.0]) == 0.0 and abs(mean([0.5, 0.5]) - np.log((1 + np.exp(-1)) / 2)) < 1e-12
+    for ws in ([0.5, 0.6], [1.5, -0.5], [1.0, 1.0]):
+        with pytest.raises(Exception, match="add up to 1"):
+            mean(ws)
+
+
+def test_trimmed_ties_are_the_same_for_any_partitions(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
+    left = [sorted(r.id for r in groups.trimmed(rows.repartition(n), ["k"], 37).collect()) for n in (1, 3, 7)]
+    assert left[0] == left[1] == left[2] and len(left[0]) == 74

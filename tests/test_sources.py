@@ -30,7 +30,7 @@ def test_records_layouts(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True)
         (tmp_path / p).write_text(line)
     a = readers.records(spark, str(tmp_path)).first()
-    b = readers.records(spark, str(tmp_path / "r"), "runs").first()
+    b = readers.records(spark, str(tmp_path / "r")).first()
     assert (a.suite, a.cap, a.model) == ("s1", 8, "m1") and (b.suite, b.cap, b.model) == ("s2", 16, "m2")
 
 
@@ -53,6 +53,11 @@ def test_streamed_frozen_multipliers_equal_the_batch(spark, tmp_path):
     assert sorted((r.step, r.applied) for r in spark.table("frozen").collect()) == [(1, 1.0), (2, 2.0), (3, 2.0)]
 
 
+def test_records_of_no_layout(spark, tmp_path):
+    with pytest.raises(ValueError):
+        readers.records(spark, str(tmp_path))
+
+
 def test_json_arrays_and_documents(spark, tmp_path):
     for start, ids in ((0, [5, 3]), (2, [9]), (10, [1, 7, 2])):
         (tmp_path / f"chunk_{start}.json").write_text("[" + ",\n ".join(f'{{"id": {i}}}' for i in ids) + "]")
