@@ -190,7 +190,7 @@ def test_each_token_is_scored_once_in_its_window():
         x = [lm.END if j == 0 else ids[j - 1] for j in range(a, i + 1)]
         s, _ = lm._forward(p, np.array([x + [0] * (lm.WIDTH - len(x))]), 0)
         want += lm.log_probs(p, s[0, [len(x) - 1]], ids[[i]])[0]
-    assert math.isclose(lm.score_ids(p, ids, np.array([70]))[0], want, rel_tol=1e-4)
+    assert math.isclose(lm.score_ids(p, ids, np.array([70])).sum(), want, rel_tol=1e-4)
     # The classes and their members make one distribution.
     s = rng.normal(size=(1, lm.DIM)).astype(np.float32)
     every = lm.log_probs(p, np.repeat(s, lm.VOCAB, axis=0), np.arange(lm.VOCAB))

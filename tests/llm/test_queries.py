@@ -1,6 +1,7 @@
 """The operators in Spark over small tables with nulls, empty texts, copies and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -36,7 +37,8 @@ def _columns(df):
 
 def test_every_query_runs_over_empty_tables(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, schema in {"labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int", "benchmark": "item_id long, text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, f in {**queries.QUERIES, "pipeline": corpus_pipeline.run}.items():
         assert f(spark, str(tmp_path)).count() == 0, name
 
@@ -409,10 +411,24 @@ def test_lm_learns_from_the_windows_of_all_training_texts(spark, monkeypatch):
     assert tables["lm-windows"].agg(F.sum("n")).first()[0] == sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
 
 
-def test_lm_beats_its_base_on_texts_it_has_not_seen(spark):
-    rows = lm.report(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").collect()
-    n = sum(r.n_tokens for r in rows)
-    assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n + 0.1
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.0), ("sf0.01", 0.02), ("sf0.1", 0.1)])
+def test_lm_beats_its_base_on_texts_it_has_not_seen(spark, sf, least):
+    rows = lm.report(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    assert all(r.score >= r.base_score + math.log10(lm.PRIOR[0]) - 1e-6 for r in rows)
+    for own in ([r for r in rows if r.held_out], [r for r in rows if not r.held_out]):
+        n = sum(r.n_tokens for r in own)
+        assert sum(r.score for r in own) / n > sum(r.base_score for r in own) / n + least
+
+
+def test_lm_mixtures():
+    import numpy as np
+
+    model, base = np.array([-1.0, -400.0, -3.0, -2.0]), np.array([-2.0, -5.0, -3.0, -330.0])
+    got = lm.mixtures(model, base)
+    for i, share in enumerate(lm.SHARES):
+        want = [math.log10(share * 10**m + (1 - share) * 10**b) if share * 10**m + (1 - share) * 10**b > 0 else None for m, b in zip(model, base, strict=True)]
+        assert all(w is None or abs(g - w) < 1e-9 for g, w in zip(got[:, i], want, strict=True))
+    assert got[3, 0] < -290 and got[1, 0] == -5.0
 
 
 def test_toxicity_report_handles_nulls_and_clashing_names(spark, docs):
@@ -460,11 +476,12 @@ def test_pipeline_equals_its_stages_and_keeps_clean_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = con.execute(queries.ORACLE[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    plain = lambda x: round(float(x), 4) if not isinstance(x, str) else x
+    plain = lambda x: x if isinstance(x, str) else None if str(x) in ("nan", "<NA>", "None") else round(float(x), 4)
     key = lambda df: sorted(str(tuple(map(plain, r))) for r in df[cols].itertuples(index=False, name=None))
     assert key(got) == key(want)
