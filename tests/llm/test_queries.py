@@ -420,6 +420,15 @@ def test_lm_beats_its_base_on_texts_it_has_not_seen(spark, sf, least):
         assert sum(r.score for r in own) / n > sum(r.base_score for r in own) / n + least
 
 
+def test_lm_is_the_same_for_any_split(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "START", 50)
+    monkeypatch.setattr(lm, "GROUP", 300)  # several groups, averaged
+    monkeypatch.setattr(lm, "TAKEN", 64)
+    score = lambda df: {(r.doc_id, r.n_tokens): r.score for r in lm.report(df).collect()}
+    one, two = score(docs.coalesce(1)), score(docs.repartition(6))
+    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-3, abs_tol=0.01) for k in one)
+
+
 def test_lm_mixtures():
     import numpy as np
 
