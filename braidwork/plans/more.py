@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from braidwork.functions import answers, text
+from braidwork.functions import answers, text, values
 from braidwork.operators import evaluation as ev
 from braidwork.operators import groups as gr
 from braidwork.operators import hook
@@ -435,3 +435,14 @@ def epoch_page(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
     index = ranges.ranges(o, ["o_orderkey"])
     return ranges.page(index, 11, index.total * 2 // 3, index.total * 2 // 3).select("o_orderkey", "step", "epoch", "slot")
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 IN (0, 1) by_text, o_orderkey % 5 IN (0, 1, 3) by_value FROM orders", views=False)
+def answer_values(spark, d):
+    # A fraction as such, with a slash, not reduced, as a mixed number, and another one.
+    a, b, k = F.col("o_custkey") % 400 + 1, F.col("o_orderkey") % 12 + 1, F.col("o_orderkey") % 5
+    frac = lambda x, y: F.concat(F.lit("\\frac{"), x.cast("string"), F.lit("}{"), y.cast("string"), F.lit("}"))
+    mixed = F.concat(F.floor(a / b).cast("string"), F.lit(" "), (a % b).cast("string"), F.lit("/"), b.cast("string"))
+    given = F.when(k == 0, frac(a, b)).when(k == 1, F.concat(a.cast("string"), F.lit("/"), b.cast("string"))).when(k == 2, frac(a * 2, b * 2)).when(k == 3, mixed).otherwise(frac(a + 1, b))
+    rows = table(spark, d, "orders").select("o_orderkey", given.alias("given"), frac(a, b).alias("truth"))
+    return values.compared(rows, "given", "truth").select("o_orderkey", "by_text", "by_value")
