@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidwork.functions import answers, text, values
+from braidwork.operators import constraints
 from braidwork.operators import evaluation as ev
 from braidwork.operators import groups as gr
 from braidwork.operators import hook
@@ -446,3 +447,11 @@ def answer_values(spark, d):
     given = F.when(k == 0, frac(a, b)).when(k == 1, F.concat(a.cast("string"), F.lit("/"), b.cast("string"))).when(k == 2, frac(a * 2, b * 2)).when(k == 3, mixed).otherwise(frac(a + 1, b))
     rows = table(spark, d, "orders").select("o_orderkey", given.alias("given"), frac(a, b).alias("truth"))
     return values.compared(rows, "given", "truth").select("o_orderkey", "by_text", "by_value")
+
+
+@query()
+def constraint_prompts(spark, d):
+    # As many prompts as there are parts, each about one of them.
+    parts = table(spark, d, "part").select("p_name")
+    made = constraints.generated(parts, "p_name", parts.count(), 5)
+    return made.select("row", F.col("base").alias("p_name"), "prompt", F.size("specs").alias("constraints"), "empty_fails")
