@@ -254,7 +254,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar. `texts` (node, words) is bucketed by node, and stays where it is."""
 
     def run(batches):
-        read = lambda x: np.frombuffer(x.as_py(), np.uint64)
+        read = lambda x: np.frombuffer(x.as_py(), np.uint32).astype(np.uint64)
         for b in batches:
             keep = [similar(read(x), read(y)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -431,7 +431,8 @@ def _nodes(rows: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the wanted nodes' texts, as hashes, bucketed by node. Rows whose id is that of no wanted text are
+    """(node, words) of the wanted nodes' texts, bucketed by node, as 32 bits of hash a word: that two unlike words count as one
+    has a chance of 2^-32 for each two of a pair of texts. Rows whose id is that of no wanted text are
     mostly told by a filter of fixed size, before anything is moved."""
     of = wanted.join(nodes.select("node", "class_id", "digest"), "node")
     bits = of.select(F.shiftrightunsigned(F.xxhash64(F.lit(9), "class_id"), 64 - FILTER).alias("bit"))
@@ -448,7 +449,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = b.filter(pa.array(hit))
             text, cut = rows.column(1).to_pylist(), []
             for t in text:
-                cut.append(words(t).tobytes())
+                cut.append((words(t) >> np.uint64(32)).astype(np.uint32).tobytes())
             names = [hashlib.sha256(t.encode()).digest()[:16] for t in text]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.binary()), pa.array(cut, pa.binary())], ["doc_id", "digest", "words"])
 
