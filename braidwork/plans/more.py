@@ -430,7 +430,17 @@ def hook_panel(spark, d):
     return p.select("n", F.col("iteration_first_index").alias("first_index"), *shares, F.round(F.col("rollout_delta_by_domain")["unknown"]["mean_delta"], 6).alias("delta_unknown"), F.round(at(F.col("share_by_domain")["math"], "b_t"), 6).alias("share_b_math"))
 
 
-@query()
+# The permutation a round at a time; a place that lands outside the table goes on for as many rounds again.
+PAGE = """WITH RECURSIVE d AS (SELECT n, hi, (n + hi - 1) // hi lo FROM (SELECT count(*) n, ceil(sqrt(count(*)))::BIGINT hi FROM orders)),
+ s AS (SELECT n * 2 // 3 + unnest(range(n * 2 // 3)) step FROM d),
+ w AS (SELECT step, step // n epoch, step % n slot, step % n // lo a, step % n % lo b, 0 i FROM s, d UNION ALL
+ SELECT step, epoch, slot, CASE WHEN i % 2 = 1 THEN a ELSE (a + f) % hi END, CASE WHEN i % 2 = 1 THEN (b + f) % lo ELSE b END, i + 1
+ FROM (SELECT *, (t2 * t2 % 2147483647 * 48271 + v) % 2147483647 f FROM (SELECT *, (t1 * t1 + t1) % 2147483647 t2 FROM (SELECT *, (v + (11 * 1000003 + epoch * 7919 + i % 6 * 104729) % 2147483647) % 2147483647 t1
+ FROM (SELECT w.*, n, hi, lo, CASE WHEN i % 2 = 1 THEN a ELSE b END v FROM w, d WHERE i = 0 OR i % 6 > 0 OR a * lo + b >= n)))))
+ SELECT o_orderkey, step, epoch, slot FROM w, d, (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 p FROM orders) o WHERE i > 0 AND i % 6 = 0 AND a * lo + b < n AND p = a * lo + b"""
+
+
+@query(PAGE, views=False)
 def epoch_page(spark, d):
     # The last third of one epoch and the first of the next: places in orders of their own.
     o = table(spark, d, "orders").select("o_orderkey")

@@ -438,7 +438,15 @@ def equal_parts(spark, d):
     return pt.assign(batches, ["teacher", "batch"], ["group_index", "slot"], "length", even)
 
 
-@query()
+# Item by item: the first bin of a group's loads with room, or a new one.
+FIRST_FIT = "WITH RECURSIVE" + WITH.removeprefix("WITH") + """, g AS (SELECT group_index, slot, length, length::BIGINT c, row_number() OVER (PARTITION BY group_index ORDER BY slot) n FROM grp),
+ r AS (SELECT group_index, slot, length, n, [c] loads, 1::BIGINT k FROM g WHERE n = 1 UNION ALL
+ SELECT group_index, slot, length, n, CASE WHEN k <= len(loads) THEN list_transform(loads, lambda v, i: CASE WHEN i = k THEN v + c ELSE v END) ELSE list_append(loads, c) END, k
+ FROM (SELECT g.*, r.loads, coalesce(list_min(list_filter(range(1, len(r.loads) + 1), lambda x: r.loads[x] + g.c <= 60)), len(r.loads) + 1) k FROM r JOIN g ON g.group_index = r.group_index AND g.n = r.n + 1))
+ SELECT group_index, slot, length, (k - 1)::INT part FROM r"""
+
+
+@query(FIRST_FIT, views=False)
 def first_fit_bins(spark, d):
     return pt.assign(groups(spark, d), ["group_index"], ["slot"], "length", lambda c: pt.first_fit(c, 60))
 
