@@ -214,10 +214,15 @@ def random_reward(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2)).cast("double")
 
 
-def cells(models: list[str], caps: list[int], suites: list[str], spark) -> DataFrame:
-    """Every (model, cap, suite) of an evaluation: a product of three short lists."""
-    one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return one("model", models, "string").crossJoin(one("cap", caps, "int")).crossJoin(one("suite", suites, "string"))
+def cells(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: every combination of the values that each key (model, cap, suite) has among the records, with the number of
+    records that it has, 0 where an evaluation has still to be run. Lists of names are short; they meet in one row, unfolded key
+    by key."""
+    grid = records.agg(*[F.collect_set(k).alias(k) for k in keys])
+    for k in keys:
+        grid = grid.withColumn(k, F.explode(k))
+    counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(counts, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:

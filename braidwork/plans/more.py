@@ -227,9 +227,13 @@ def restored_order(spark, d):
     return ro.restored(sent, docs.select(F.xxhash64("doc_id").alias("at"), "n_chars"), "at", "doc_id")
 
 
-@query("SELECT model, cap, suite FROM (SELECT unnest(['a', 'b']) model), (SELECT unnest([8192, 16384]) cap), (SELECT unnest(['x', 'y', 'z']) suite)", views=False)
+RUNS = "SELECT source model, CASE WHEN n_chars < 300 THEN 8192 ELSE 16384 END cap, lang suite FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL"
+
+
+@query(f"SELECT m.model, c.cap, s.suite, count(r.model) n FROM (SELECT DISTINCT model FROM ({RUNS})) m, (SELECT DISTINCT cap FROM ({RUNS})) c, (SELECT DISTINCT suite FROM ({RUNS})) s LEFT JOIN ({RUNS}) r ON r.model = m.model AND r.cap = c.cap AND r.suite = s.suite GROUP BY 1, 2, 3", views=False)
 def evaluation_cells(spark, d):
-    return ro.cells(["a", "b"], [8192, 16384], ["x", "y", "z"], spark)
+    docs = table(spark, d, "documents").where("source is not null and lang is not null")
+    return ro.cells(docs.select(F.col("source").alias("model"), F.when(F.col("n_chars") < 300, 8192).otherwise(16384).alias("cap"), F.col("lang").alias("suite")), ["model", "cap", "suite"])
 
 
 @query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey", views=False)
