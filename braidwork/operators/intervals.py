@@ -2,7 +2,9 @@
 
 The generator is PCG64 and draws below n come from its 32-bit numbers by Lemire's method, which now and then refuses one. PCG64
 can jump ahead, so the only thing a task has to know is how many numbers were refused before its own; a first job over the
-generator's numbers finds those, which are some in a thousand million, and any slice of replicates can then be drawn by itself.
+generator's numbers counts those by chunk, each kind of draw over the chunks its calls may reach. Any slice of replicates can
+then be drawn by itself. A suite's scores reach its slices, of which there is a fixed number, as packed doubles in the order of
+the questions: what is moved grows with the questions, as does what a task holds, 16 bytes for each of its suite's.
 """
 
 from __future__ import annotations
@@ -12,13 +14,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators.evaluation import REPLICATES, SEED
+from braidwork.sources.shared import written
 
-#: Numbers that one task looks at; draws of a task.
-CHUNK, DRAWN = 1 << 22, 4_000_000
+#: Numbers that are counted as one; numbers that are looked at and draws that are made at a time, as many as a cache holds; tasks
+#: that look; slices of a suite's replicates.
+CHUNK, DRAWN, LOOKERS, SLICES = 1 << 20, 1 << 17, 1024, 32
 
 
 def raw(seed: int, first: int, n: int) -> np.ndarray:
@@ -29,98 +35,173 @@ def raw(seed: int, first: int, n: int) -> np.ndarray:
 
 
 def refused(x: np.ndarray, n: int) -> np.ndarray:
-    return ((x.astype(np.uint64) * np.uint64(n)) & np.uint64(0xFFFFFFFF)) < np.uint64((2**32 - n) % n)
+    # Of a product only the lower half is asked for, which 32 bits hold.
+    return x * np.uint32(n) < np.uint32((2**32 - n) % n)
 
 
-def drawn(seed: int, first: int, n: int, count: int) -> np.ndarray:
-    """`count` draws below n from the numbers from `first` on."""
+def _taken(seed: int, first: int, n: int, count: int) -> tuple[np.ndarray, int]:
+    """`count` draws below n from the numbers from `first` on, and the number after the last one taken."""
     if n == 1:  # takes no number
-        return np.zeros(count, np.int64)
-    parts, have = [], 0
+        return np.zeros(count, np.int64), first
+    parts, have, least = [], 0, (2**32 - n) % n
     while have < count:
-        x = raw(seed, first, count - have + 64)
+        x = raw(seed, first, count - have).astype(np.uint64)
+        x *= np.uint64(n)
+        kept = x.astype(np.uint32) >= np.uint32(least) if least else None
         first += len(x)
-        x = x[~refused(x, n)][: count - have]
-        parts.append((x.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64))
-        have += len(x)
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        x >>= np.uint64(32)
+        parts.append((x if kept is None or kept.all() else x[kept]).view(np.int64))
+        have += len(parts[-1])
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int64), first
+
+
+def drawn(seed: int, first: int, n: int, count: int) -> np.ndarray:
+    """`count` draws below n from the numbers from `first` on."""
+    return _taken(seed, first, n, count)[0]
 
 
 @dataclass
 class Draws:
-    """Calls of one generator in a row: (n, count) each; skips: the refused numbers for each n; starts: each call's first."""
+    """Calls of one generator in a row: (n, count) each; refused: for each n how many numbers each chunk of `size` refuses, from
+    a first chunk on; starts: each call's first number."""
 
     calls: list[tuple[int, int]]
-    skips: dict[int, np.ndarray] = field(default_factory=dict)
+    seed: int
+    size: int
+    refused: dict[int, tuple[int, np.ndarray]] = field(default_factory=dict)
     starts: list[int] = field(default_factory=list)
 
     def after(self, first: int, n: int, count: int) -> int:
         """The number after `count` draws below n from `first` on."""
-        if n == 1:
+        if n == 1 or not count:
             return first
-        skips, end = self.skips.get(n, np.zeros(0, np.int64)), first + count
-        while (new := first + count + int(np.searchsorted(skips, end) - np.searchsorted(skips, first))) != end:
-            end = new
-        return end
+        if not (2**32 - n) % n:
+            return first + count
+        begin, refusals = self.refused[n]
+        chunk = first // self.size
+        if chunk < begin:
+            raise LookupError("draws before the chunks that were looked at")
+        taken = np.cumsum(self.size - refusals[chunk - begin :])
+        wanted = count + int(np.searchsorted(self._kept(n, chunk), first % self.size))
+        k = int(np.searchsorted(taken, wanted))
+        if k == len(taken):
+            raise LookupError("draws after the chunks that were looked at")
+        return (chunk + k) * self.size + int(self._kept(n, chunk + k)[wanted - (int(taken[k - 1]) if k else 0) - 1]) + 1
+
+    def _kept(self, n: int, chunk: int) -> np.ndarray:
+        """The places in a chunk of the numbers that are not refused."""
+        begin, refusals = self.refused[n]
+        if chunk - begin < len(refusals) and not refusals[chunk - begin]:
+            return np.arange(self.size)
+        return np.flatnonzero(~refused(raw(self.seed, chunk * self.size, self.size), n))
 
     def at(self, call: int, draw: int) -> int:
         return self.after(self.starts[call], self.calls[call][0], draw)
 
 
-def draws(spark: SparkSession, calls: list[tuple[int, int]], seed: int) -> Draws:
-    """Where each call's draws begin. The numbers are looked at by Spark in chunks; what is gathered is the refused ones."""
-    found = Draws(calls)
-    kinds = sorted({n for n, _ in calls if n > 1 and (2**32 - n) % n})
-    upto = sum(count for n, count in calls if n > 1) + 1024
+def _reach(calls: list[tuple[int, int]], slack: float) -> dict[int, tuple[int, int]]:
+    """For each n that refuses numbers the first and last number that its calls may come to: as many are refused as is likely,
+    give or take `slack` standard deviations."""
+    mean = spread = 0.0
+    out: dict[int, tuple[int, int]] = {}
+    for n, count in calls:
+        share = (2**32 - n) % n / 2**32
+        lo = max(0, int(mean - slack * spread**0.5) - 1024)
+        if n > 1:
+            mean, spread = mean + count / (1 - share), spread + count * share / (1 - share) ** 2
+            if share:
+                hi, have = int(mean + slack * spread**0.5) + 1024, out.get(n, (lo, 0))
+                out[n] = (min(lo, have[0]), max(hi, have[1]))
+    return out
 
-    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for chunk in part.id:
-                x = raw(seed, int(chunk) * CHUNK, CHUNK)
-                for n in kinds:
-                    at = np.flatnonzero(refused(x, n))
-                    if len(at):
-                        yield pd.DataFrame({"n": n, "at": at + int(chunk) * CHUNK})
-
-    seen = 0
+
+def draws(spark: SparkSession, calls: list[tuple[int, int]], seed: int) -> Draws:
+    """Where each call's draws begin. The numbers are looked at by Spark in chunks; what is gathered is one count for each chunk
+    and n whose calls may reach it."""
+    size, slack = CHUNK, 10.0
     while True:
-        chunks = -(-upto // CHUNK)
-        if kinds:
-            rows = spark.range(seen, chunks, numPartitions=chunks - seen).mapInPandas(look, "n long, at long").toPandas()
-            for n in kinds:
-                found.skips[n] = np.sort(np.concatenate([found.skips.get(n, np.zeros(0, np.int64)), rows["at"][rows["n"] == n].to_numpy(np.int64)]))
-        found.starts, end = [], 0
-        for n, count in calls:
-            found.starts.append(end)
-            end = found.after(end, n, count)
-        if end <= chunks * CHUNK:
+        found = Draws(calls, seed, size)
+        reach = {n: (lo // size, hi // size + 1) for n, (lo, hi) in _reach(calls, slack).items()}
+
+        def look(parts: Iterator[pd.DataFrame], reach=reach) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for chunk in part.id.tolist():
+                    kinds = [n for n, (lo, hi) in reach.items() if lo <= chunk < hi]
+                    if kinds:
+                        total = np.zeros(len(kinds), np.int64)
+                        for lo in range(0, size, DRAWN):
+                            x = raw(seed, chunk * size + lo, min(DRAWN, size - lo))
+                            total += [np.count_nonzero(refused(x, n)) for n in kinds]
+                        yield pd.DataFrame({"n": kinds, "chunk": chunk, "refused": total})
+
+        if reach:
+            chunks = max(hi for _, hi in reach.values())
+            rows = spark.range(0, chunks, numPartitions=min(chunks, LOOKERS)).mapInPandas(look, "n long, chunk long, refused long").toPandas()
+            for n, part in rows.sort_values("chunk").groupby("n"):
+                found.refused[int(n)] = (reach[int(n)][0], part.refused.to_numpy(np.int64))
+        try:
+            end = 0
+            for n, count in calls:
+                found.starts.append(end)
+                end = found.after(end, n, count)
             return found
-        seen, upto = chunks, end + 1024
+        except LookupError:  # once in more runs than there will be
+            slack *= 4
+
+
+def _packed(pairs: DataFrame, keys: list[str], suites: list[str]) -> DataFrame:
+    """keys, suite, chunk, a and b: the scores of some questions each, as doubles laid end to end; chunks are numbered in the order
+    of the ids."""
+
+    def run(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        for b in batches:
+            names = list(zip(*(b.column(k).to_pylist() for k in by), strict=True))
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo < hi:
+                    scores = [pa.array([b.column(c)[lo:hi].to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in ("sa", "sb")]
+                    yield pa.RecordBatch.from_arrays([*(b.column(k)[lo : lo + 1] for k in by), pa.array([chunk], pa.int64()), *scores], [*by, "chunk", "a", "b"])
+                    chunk += 1
+
+    by, kinds = [*keys, "suite"], dict(pairs.dtypes)
+    order = [*by, F.col("id").asc_nulls_last()]
+    rows = pairs.where(F.col("suite").isin(*suites)).select(*by, "id", F.col("sa").cast("double").alias("sa"), F.col("sb").cast("double").alias("sb"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("id")
+    return dealt.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in by), "chunk long, a binary, b binary"]))
 
 
 def _resampled(pairs: DataFrame, keys: list[str], suites: list[str], replicates: int, seed: int, plans: dict[tuple, tuple[Draws, int]], sized: DataFrame) -> DataFrame:
     """keys, replicate, delta. plans: by the sizes of the suites (and, for chained contrasts, their keys) the generator's calls
     and the number of the contrast's first one; sized: keys with those, as `plan`."""
     spark = pairs.sparkSession
-    rows = []
+    rows, step = [], -(-replicates // SLICES)
     for number, (found, call) in enumerate(plans.values()):
         for i, suite in enumerate(suites):
             n = found.calls[call + i][0]
-            step = max(1, DRAWN // max(1, n))
             rows += [(number, suite, i, first, min(step, replicates - first), found.at(call + i, first * n)) for first in range(0, replicates, step)]
     slices = spark.createDataFrame(rows, "plan int, suite string, suite_at int, first int, count int, start long")
-    dealt = pairs.join(sized, keys).join(F.broadcast(slices), ["plan", "suite"])  # a row for each slice, as plans have
+    packed = written(_packed(pairs, keys, suites), "pairs")
+    dealt = packed.join(sized, keys).join(F.broadcast(slices), ["plan", "suite"])  # a row for each slice, as plans have
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        r, va, vb = pdf.iloc[0], pdf.sa.to_numpy(), pdf.sb.to_numpy()
-        at = drawn(seed, int(r.start), len(pdf), int(r["count"]) * len(pdf)).reshape(int(r["count"]), len(pdf))
-        delta = 100 * (va[at].mean(axis=1) - vb[at].mean(axis=1)) / len(suites)
-        out = pd.DataFrame({"suite_at": r.suite_at, "replicate": np.arange(r["first"], r["first"] + r["count"], dtype=np.int64), "delta": delta})
+        pdf = pdf.sort_values("chunk")
+        r = pdf.iloc[0]
+        va, vb = (np.frombuffer(b"".join(pdf[c]), float) for c in ("a", "b"))
+        n, place, deltas = len(va), int(r.start), []
+        many = max(1, DRAWN // n)
+        for lo in range(0, int(r["count"]), many):
+            now = min(many, int(r["count"]) - lo)
+            at, place = _taken(seed, place, n, now * n)
+            at = at.reshape(now, n)
+            deltas.append(100 * (va[at].mean(axis=1) - vb[at].mean(axis=1)) / len(suites))
+        out = pd.DataFrame({"suite_at": r.suite_at, "replicate": np.arange(r["first"], r["first"] + r["count"], dtype=np.int64), "delta": np.concatenate(deltas)})
         return out.assign(**{k: r[k] for k in keys})[[*keys, "suite_at", "replicate", "delta"]]
 
     kinds = dict(pairs.dtypes)
     names = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    # Few bytes make much work, so the slices are dealt to as many tasks, which are not put together by their size.
+    dealt = dealt.repartition(len(rows), *keys, "suite", "first")
     parts = dealt.groupBy(*keys, "suite", "first").applyInPandas(run, f"{names}, suite_at int, replicate long, delta double")
     # Suites are added in their order, as sums of doubles depend on it.
     listed = F.sort_array(F.collect_list(F.struct("suite_at", "delta")))
@@ -174,7 +255,7 @@ def seed_read(pairs: DataFrame, key: str, order: list, suites: list[str], replic
     plans = {(k,): (found, i * len(suites)) for i, k in enumerate(order)}
     kind = dict(pairs.dtypes)[key]
     numbers = spark.createDataFrame([(k, i) for i, k in enumerate(order)], f"{key} {kind}, plan int")
-    of = _resampled(pairs, [key], suites, replicates, seed, plans, numbers).join(F.broadcast(numbers), key)
+    of = written(_resampled(pairs, [key], suites, replicates, seed, plans, numbers), "replicates").join(F.broadcast(numbers), key)  # read twice below
 
     step = max(1, DRAWN // 8)
     rows = []

@@ -64,6 +64,26 @@ def test_slices_are_tasks(spark):
     assert "FlatMapGroupsInPandas" in plan._jdf.queryExecution().toString() and plan.where("replicate < 0").count() == 0
 
 
+def test_what_is_moved_grows_with_the_questions(spark, monkeypatch):
+    """Few draws at a time make no more rows than slices; many refusals are gathered as counts of chunks."""
+    monkeypatch.setattr(intervals, "DRAWN", 50)
+    monkeypatch.setattr(intervals, "SLICES", 3)
+    rows, df = pairs(spark, [1])
+    of = intervals.replicates_of(df, ["key"], SUITES, 200)
+    _, want = serial(rows, 1, np.random.default_rng(intervals.SEED), 200)
+    assert [r.delta for r in of.orderBy("replicate").collect()] == want.tolist()
+    plans = {(41, 17, 30): (intervals.draws(spark, [(n, n * 200) for n in (17, 41, 30)], intervals.SEED), 0)}
+    made = []
+    keep = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a: made.append(len(data)) or keep(data, *a))
+    intervals._resampled(df, ["key"], SUITES, 200, intervals.SEED, plans, keep([(1, 0)], "key int, plan int"))
+    assert made == [9]
+    monkeypatch.setattr(intervals, "CHUNK", 1 << 12)
+    found = intervals.draws(spark, [(5, 30), (3 * 10**9, 100_000)], 11)
+    first, refusals = found.refused[3 * 10**9]
+    assert first == 0 and len(refusals) < 50 and refusals.max() > 1000
+
+
 def test_seeds_in_two_levels(spark, monkeypatch):
     monkeypatch.setattr(intervals, "DRAWN", 3000)
     rows, df = pairs(spark, [42, 43, 44])
