@@ -46,10 +46,10 @@ def fan_out(samples: DataFrame, teachers: list[str], scores: DataFrame, keys: li
 def throughput(rows: DataFrame, by: list[str], tokens: str, seconds: str) -> DataFrame:
     """by, n, tokens_per_second (ratio of sums), longest (tokens), longest_rate: the mean rate of the longest rows, ties
     included."""
-    w = Window.partitionBy(*by)
-    marked = rows.withColumn("_longest", F.col(tokens) == F.max(tokens).over(w))
-    rate = F.try_divide(F.col(tokens), F.col(seconds))
-    return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(tokens), F.sum(seconds)).alias("tokens_per_second"), F.max(tokens).alias("longest"), F.avg(F.when(F.col("_longest"), rate)).alias("longest_rate"))
+    # By length first, which map tasks combine: the rows of one `by` never meet in a task.
+    rate = F.avg(F.try_divide(F.col(tokens), F.col(seconds)))
+    per = rows.groupBy(*by, F.col(tokens).alias("_tokens")).agg(F.count(F.lit(1)).alias("_n"), F.sum(tokens).alias("_sum"), F.sum(seconds).alias("_seconds"), rate.alias("_rate"))
+    return per.groupBy(*by).agg(F.sum("_n").alias("n"), F.try_divide(F.sum("_sum"), F.sum("_seconds")).alias("tokens_per_second"), F.max("_tokens").alias("longest"), F.max_by("_rate", "_tokens").alias("longest_rate"))
 
 
 def contiguity(rows: DataFrame, index: str) -> DataFrame:

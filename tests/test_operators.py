@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.operators import evaluation, groups, normalizer, partitioning, prompts, tokens
+from braidwork.operators import evaluation, groups, normalizer, partitioning, prompts, rollouts, tokens
 from braidwork.plans import queries as plans
 from braidwork.plans import views
 
@@ -173,3 +173,12 @@ def test_trimmed_ties_are_the_same_for_any_partitions(spark):
     rows = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
     left = [sorted(r.id for r in groups.trimmed(rows.repartition(n), ["k"], 37).collect()) for n in (1, 3, 7)]
     assert left[0] == left[1] == left[2] and len(left[0]) == 74
+
+
+def test_throughput_without_a_window(spark):
+    """Rows of one status need not meet in a task; ties of the longest count, null lengths and seconds of 0 do not."""
+    rows = [("a", 9, 3), ("a", 9, 0), ("a", 9, 1), ("a", 2, 4), ("a", None, 5), (None, 4, 2), ("b", None, 1)]
+    df = spark.createDataFrame(rows, "status string, length int, seconds int").repartition(3)
+    got = rollouts.throughput(df, ["status"], "length", "seconds")
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert {tuple(r) for r in got.collect()} == {("a", 5, 29 / 13, 9, 6.0), (None, 1, 2.0, 4, 2.0), ("b", 1, None, None, None)}
