@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.operators import ranges
+from braidwork.operators.partitioning import sized
 
 GROUP = "group_index"
 #: Places to which gaps, and gains by which samples are put in order, are told apart: beyond, sums of doubles depend on their
@@ -109,6 +110,7 @@ def greedy_margin_mask(rows: DataFrame, delta: float, least: float = 0.5, kind:
     _orders(kind)
     correct = F.coalesce(F.col("correct"), F.lit(False))
     at = rows.select(GROUP, "slot", (~correct).cast("int").alias("_side"), F.when(correct, F.col("reward")).otherwise(-F.col("reward")).alias("_v"))
+    at = sized(at, [GROUP])
     side = Window.partitionBy(GROUP, "_side")
     order = side.orderBy(F.col("_v").asc_nulls_last(), "slot")
     n, i = F.count("_v").over(side), F.row_number().over(order) - 1

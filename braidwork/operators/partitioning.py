@@ -1,4 +1,4 @@
-"""Balanced partitions by cost: sequential kernels, each over the items of one batch, whose number the batch size fixes."""
+"""Tasks of some size, and balanced partitions by cost: sequential kernels, each over the items of one batch, whose number the batch size fixes."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Rows that a task sorts.
+SORTED = 1 << 18
+
 
 class _Greatest(tuple):
     """A tuple that a heap of least elements gives greatest first."""
@@ -104,6 +107,13 @@ def stretches(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tu
             kept = t.slice(at[-1])
 
 
+def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` dealt by their keys to as many tasks as have some SORTED rows each, and as a shuffle has at least: what the windows of
+    a task sort does not grow with the table."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // SORTED)), *keys)
+
+
 def assign(rows: DataFrame, keys: list[str], order: list[str], cost: str, kernel: Callable[[list[int]], list[list[int]]]) -> DataFrame:
     """keys, order columns, cost and part: the kernel over each batch's costs in order."""
 

@@ -111,3 +111,14 @@ def test_first_fit():
             fits = next((b for b in bins if sum(costs[j] for j in b) + c <= cap), None)
             bins.append([i]) if fits is None else fits.append(i)
         assert partitioning.first_fit(costs, cap) == bins
+
+
+@pytest.mark.parametrize("run", [lambda df: groups.greedy_margin_mask(df, 0.5)])
+def test_tasks_are_sized_by_their_rows(spark, monkeypatch, run):
+    """More rows make more tasks, not greater ones, with the same results."""
+    rows = spark.range(600).select((F.col("id") % 90).alias("group_index"), (F.col("id") / 90).cast("int").alias("slot"), (F.col("id") % 7 / 7).alias("reward"), (F.col("id") % 3 == 0).alias("correct"))
+    want = sorted(map(tuple, run(rows).collect()))
+    monkeypatch.setattr(partitioning, "SORTED", 30)
+    assert sorted(map(tuple, run(rows).collect())) == want
+    made = run(rows)._jdf.queryExecution().toString()
+    assert "hashpartitioning(group_index" in made and ", 20), REPARTITION_BY_NUM" in made
