@@ -54,8 +54,12 @@ def balanced(rows: DataFrame, ratio: float, by_group: bool = True, seed: int = 0
     one); 0 keeps only incorrect, infinity only correct, and none where a side is empty. A null verdict is incorrect."""
     ok = F.coalesce(F.col("correct"), F.lit(False))
     keys = [GROUP] if by_group else []
-    counts = rows.groupBy(*keys).agg(F.sum(ok.cast("long")).alias("_c"), F.sum((~ok).cast("long")).alias("_i"))
-    joined = rows.join(counts, keys) if keys else rows.crossJoin(F.broadcast(counts))
+    sums = {"_c": F.sum(ok.cast("long")), "_i": F.sum((~ok).cast("long"))}
+    if keys:
+        own = Window.partitionBy(*keys)
+        joined = sized(rows, keys).withColumns({name: c.over(own) for name, c in sums.items()})
+    else:
+        joined = rows.crossJoin(F.broadcast(rows.agg(*[c.alias(name) for name, c in sums.items()])))
     joined = joined.withColumn("_ok", ok)
     if ratio == 0 or ratio == float("inf"):
         return joined.withColumn("keep", ~F.col("_ok") if ratio == 0 else F.col("_ok")).drop("_c", "_i", "_ok")

@@ -113,7 +113,7 @@ def test_first_fit():
         assert partitioning.first_fit(costs, cap) == bins
 
 
-@pytest.mark.parametrize("run", [lambda df: groups.greedy_margin_mask(df, 0.5)])
+@pytest.mark.parametrize("run", [lambda df: groups.greedy_margin_mask(df, 0.5), lambda df: groups.balanced(df, 1.0)])
 def test_tasks_are_sized_by_their_rows(spark, monkeypatch, run):
     """More rows make more tasks, not greater ones, with the same results."""
     rows = spark.range(600).select((F.col("id") % 90).alias("group_index"), (F.col("id") / 90).cast("int").alias("slot"), (F.col("id") % 7 / 7).alias("reward"), (F.col("id") % 3 == 0).alias("correct"))
