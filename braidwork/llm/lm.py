@@ -16,7 +16,7 @@ What it learns from: counts of all words of all training documents (the vocabula
 ids in them (the biases of the output), and the windows of all training texts. First the driver takes steps on START windows
 or a few more; then the windows are dealt into groups of about GROUP, whatever the cluster, each of which takes steps on its
 own, and the parameters are averaged in a tree. A text's first window has all its ids as targets, each later one the LAST at
-its end. So what is gathered grows with the corpus.
+its end, which follow on each other: every id is a target. So what is gathered grows with the corpus.
 
 Edge cases: a null text is empty: one end; repeated rows are scored each on its own; ties in counts are broken by the
 id; null ids count as held out never (they train); other columns are not read; an empty table gives an empty result;
@@ -49,7 +49,7 @@ SENT, KEPT, SLICE = 1 << 16, 1 << 17, 40_000
 CHUNK = 256
 #: Windows of the driver's start, how often it sees them, windows of a group; targets of a later window; targets in a step; the rate, which falls to a
 #: tenth in a group.
-START, EPOCHS, GROUP, LAST, STEP = 20_000, 3, 400_000, 8, 1536
+START, EPOCHS, GROUP, LAST, STEP = 20_000, 3, 400_000, STRIDE, 1536
 RATE = 1.2e-2
 #: Windows that a group's training takes at a time, of as many texts as have them.
 TAKEN = 8192
@@ -445,16 +445,16 @@ def prepared(counts: DataFrame, tokenizer: str) -> dict:
     return {"tokenizer": text, "pieces": pieces, "words": [w for w, _ in words], "counts": np.array([n for _, n in words], np.int64), "lengths": lengths, "flat": flat}
 
 
-def training_rows(ids: np.ndarray, ends: np.ndarray, phase: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows for a Trainer: the texts' first windows; windows whose last LAST ids begin a multiple of WIDTH after the text's
-    phase (from 0 to WIDTH - 1) and the first window; and how many of these each text has."""
+def training_rows(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows for a Trainer, of which each id is a target once: the texts' first windows, and those whose last LAST ids go on from
+    there; and how many of the latter each text has."""
     begins = np.append(0, ends[:-1])
     n = ends - begins
     cut = lambda text, start: _rows(ids, begins[text], ends[text], begins[text] + start)
-    many = np.maximum(0, -(-(n - WIDTH - phase) // WIDTH))
+    many = np.maximum(0, -(-(n - WIDTH) // LAST))
     text = np.repeat(np.arange(len(n)), many)
     step = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    return cut(np.arange(len(n)), 0), cut(text, LAST + phase[text] + step * WIDTH), many
+    return cut(np.arange(len(n)), 0), cut(text, LAST + step * LAST), many
 
 
 def _rows(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -472,8 +472,7 @@ def train(docs: DataFrame, shared) -> dict:
         for b in batches:
             for _, texts in cut.slices(b.column(0).to_pylist()):
                 ids, ends, _ = cut.ids(texts)
-                phase = np.array([xxhash.xxh32_intdigest(b" ".join(ws[:50])) % WIDTH for ws in texts], np.int64)
-                heads, rest, many = training_rows(ids, ends, phase)
+                heads, rest, many = training_rows(ids, ends)
                 # A row for each text, named by what it teaches, so that nothing depends on how texts were dealt to tasks; the
                 # ids' numbers stand in the first.
                 cuts = np.append(0, np.cumsum(many))
@@ -539,8 +538,9 @@ def train(docs: DataFrame, shared) -> dict:
     return unpack(trained.p, p) if trained else p
 
 
-def report(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score; see the module's text."""
+def report(docs: DataFrame, tokenizer: str = TOKENIZER, scored_too: bool = True) -> DataFrame:
+    """Per document: held_out, n_tokens, n_known, train_tokens, base_score and score; see the module's text. Without `scored_too`
+    no model is trained and there is no score; the other columns come the same way."""
     spark = docs.sparkSession
     counts = written(word_counts(docs), "lm-counts")
     texts = docs.where(training()).count()
@@ -548,8 +548,7 @@ def report(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     total, distinct = words + texts, kinds + (texts > 0)
     sent = prepared(counts, tokenizer)
     shared = spark.sparkContext.broadcast(sent)
-    model = train(docs, shared)
-    params = spark.sparkContext.broadcast(pack(model))
+    params = spark.sparkContext.broadcast(pack(train(docs, shared))) if scored_too else None
     like = {k: np.empty(v.shape, np.float32) for k, v in initial(np.zeros(VOCAB)).items()}
     under = total + 0.5 * (distinct + 1)
 
@@ -558,7 +557,7 @@ def report(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches):
         import xxhash
 
-        cut, p = Cut(shared.value), unpack(params.value, like)
+        cut, p = Cut(shared.value), unpack(params.value, like) if params else None
         key = TaskContext.get().partitionId() << 33
         known = cut.known
         value = np.append(np.log10((shared.value["counts"] + 0.5) / under), 0.0)
@@ -569,7 +568,7 @@ def report(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 met = np.unique(np.concatenate([a[a >= known] for a in at]))
                 names = np.array([xxhash.xxh64_intdigest(cut.other[i], seed=42) for i in (met - known).tolist()], np.uint64).view(np.int64)
                 sizes = cut.sizes
-                model = np.add.reduceat(score_ids(p, ids, ends), np.cumsum(sizes) - sizes) / math.log(10)
+                model = np.add.reduceat(score_ids(p, ids, ends), np.cumsum(sizes) - sizes) / math.log(10) if p else np.zeros(len(sizes))
                 n = np.array([len(a) + 1 for a in at])
                 last = np.cumsum(n) - 1
                 words = np.zeros(len(model), np.int64)
@@ -614,5 +613,5 @@ def report(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         (F.col("k") + F.coalesce("known", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (best + F.log10(total_chance)).alias("score"),
+        *[(best + F.log10(total_chance)).alias("score")] * scored_too,
     )

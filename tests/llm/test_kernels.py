@@ -278,3 +278,23 @@ def test_repeats_equal_brute_force(alphabet):
     for i, t in enumerate(texts):
         mine = found[found["doc"] == i]
         assert repeats.kept(t, np.stack([mine["start"], mine["stop"]], axis=1).tobytes())[1] == want[i]
+
+
+def test_every_id_is_a_target_once():
+    """Of texts shorter than a window, as long as one, and with later windows that end within or past the text."""
+    from braidwork.llm import lm
+
+    sizes = np.array([1, lm.WIDTH, lm.WIDTH + 1, lm.WIDTH + lm.LAST, 500])
+    ids = np.arange(1, 1 + sizes.sum())
+    heads, rest, _ = lm.training_rows(ids, np.cumsum(sizes))
+    met = np.concatenate([heads[:, 1:].ravel(), rest[:, 1 + lm.WIDTH - lm.LAST :].ravel()])
+    assert sorted(met[met >= 0].tolist()) == ids.tolist()
+
+
+def test_base_without_a_model(spark, monkeypatch):
+    from braidwork.llm import lm
+
+    docs = spark.createDataFrame([(i, f"some words {i % 7} and rare{i}") for i in range(40)] + [(40, None)], "doc_id long, text string")
+    want = sorted(map(tuple, lm.report(docs).drop("score").collect()))
+    monkeypatch.setattr(lm, "train", None)
+    assert sorted(map(tuple, lm.report(docs, scored_too=False).collect())) == want
