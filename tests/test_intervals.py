@@ -101,3 +101,12 @@ def test_seeds_in_two_levels(spark, monkeypatch):
     assert abs(got[None].delta - np.mean([per[k][0] for k in per])) < 1e-9
     with pytest.raises(ValueError):
         intervals.seed_read(df.where(F.col("key") != 44), "key", [42, 43, 44], SUITES, 80)
+
+
+def test_scores_are_packed(spark):
+    """A slice gets few rows, however many questions there are, which are all there in the order of their ids."""
+    rows = [(1, "a", f"q{i:05d}", i / 7, -i / 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key int, suite string, id string, sa double, sb double").repartition(5)
+    got = intervals._packed(df, ["key"], ["a"]).orderBy("chunk").collect()
+    assert len(got) < 20
+    assert [np.frombuffer(b"".join(r[c] for r in got)).tolist() for c in "ab"] == [[r[k] for r in rows] for k in (3, 4)]
