@@ -80,6 +80,8 @@ def byte_symbols() -> list[str]:
 def encoder(tokenizer: str):
     """Words to ids of the tokenizer laid end to end, and how many each has. CHUNK words are encoded as one text: an id that
     begins with a space begins a word. Where that does not tell as many words, each is encoded by itself."""
+    # A task has one core, and each thread of the tokenizer would keep memory of its own.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer)
@@ -388,12 +390,12 @@ class Cut:
         self.other: list[bytes] = []
         self.flat, self.lengths = [self.sent["flat"]], [self.sent["lengths"]]
 
-    def slices(self, texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-        """(first, words of each) of stretches of the texts with some SLICE words."""
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+        """(first, words of each) of stretches of the texts with some SLICE words; only a stretch's texts are made Python's."""
         held: list[list[bytes]] = []
         size = 0
         for i, t in enumerate(texts):
-            held.append((t or "").encode("utf-8", "surrogatepass").lower().split())
+            held.append((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split())
             size += len(held[-1])
             if size > SLICE or i == len(texts) - 1:
                 yield i + 1 - len(held), held
@@ -470,7 +472,7 @@ def train(docs: DataFrame, shared) -> dict:
     def take(batches):
         cut = Cut(shared.value)
         for b in batches:
-            for _, texts in cut.slices(b.column(0).to_pylist()):
+            for _, texts in cut.slices(b.column(0)):
                 ids, ends, _ = cut.ids(texts)
                 heads, rest, many = training_rows(ids, ends)
                 # A row for each text, named by what it teaches, so that nothing depends on how texts were dealt to tasks; the
@@ -562,7 +564,7 @@ def report(docs: DataFrame, tokenizer: str = TOKENIZER, scored_too: bool = True)
         known = cut.known
         value = np.append(np.log10((shared.value["counts"] + 0.5) / under), 0.0)
         for b in batches:
-            for lo, texts in cut.slices(b.column(1).to_pylist()):
+            for lo, texts in cut.slices(b.column(1)):
                 part = b.slice(lo, len(texts))
                 ids, ends, at = cut.ids(texts)
                 met = np.unique(np.concatenate([a[a >= known] for a in at]))
