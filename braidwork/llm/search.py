@@ -1,13 +1,14 @@
 """Exact top-k search: BM25 over inverted indexes of shards with block-max pruning, merged with global statistics.
 
-A shard is an inverted index of some documents in the memory of a task: for each term its postings in the order of the
-shard's documents, cut into blocks of BLOCK documents with the greatest weight of each. For a query the blocks' maxima add
-up to bounds, and only blocks whose bound reaches the k-th best score so far are scored. That score is known from the start:
-a SEEDS-th of the documents is searched first, and its k-th best score is a lower bound for all others. The COMMON commonest
-terms of a shard, that stand in most of its blocks, so that no block could be passed over for them, are a matrix instead:
-their part of all scores is one product for many queries, exact, and makes the bounds tight. Document frequencies, the number
+Documents are cut into words once and written. A shard is an inverted index of some documents in the memory of a task, in
+blocks of BLOCK documents. For a query the greatest weights of its terms in a block add up to a bound, and only blocks whose
+bound reaches the least score that matters are scored. That score is known from the start: a SEEDS-th of the documents is
+searched first, and its k-th best score is a lower bound for all others. The COMMON commonest terms of a shard are a matrix for
+each block: their bounds are one product for many queries and all blocks, their scores one for each block and the queries that
+have not passed it over. Rarer terms stand in few documents of a block, so that a block's greatest weight costs as much as the
+postings themselves: their part of the scores is added up first, and bounds hold it as it is. Document frequencies, the number
 and the mean length of documents are global, so shards' scores compare and the best k of all shards' best are the best k.
-Documents of a shard are ordered by their commonest word, which tightens the bounds.
+Documents of a shard are ordered by their commonest word, which tightens the bounds, and queries are taken in the same order.
 
 Queries come in sets of at most PAIRS words with counts; one set at a time is broadcast, and the shards are gone through once
 for each.
@@ -28,10 +29,12 @@ from braidwork.llm.common import forget, partitions, running, written
 from braidwork.llm.near import words
 
 K1, B, TOP = 1.2, 0.75, 10
-BLOCK, DOCUMENTS, WORDS = 32, 16_384, 8_000_000
-#: Terms of a shard that are kept as a matrix; blocks scored before the bounds are looked at again; the share searched first.
-COMMON, FIRST, SEEDS = 256, 8, 16
+BLOCK, DOCUMENTS, WORDS = 64, 8_192, 4_000_000
+#: Terms of a shard that are kept as a matrix; the share searched first.
+COMMON, SEEDS = 512, 16
 PAIRS = 2_000_000
+#: Documents cut at a time.
+HELD = 512
 
 
 def _terms(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -41,17 +44,31 @@ def _terms(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return t, n, len(w)
 
 
+def parsed(docs: DataFrame) -> DataFrame:
+    """(doc_id, few, terms, times, words): each document's distinct words, their counts and the number of words, and whether it is
+    of those searched first; written, so that texts are cut once however many sets of queries there are."""
+
+    def cut(batches):
+        for whole in batches:
+            # Few rows at a time, as an Arrow batch of long texts has many words.
+            for lo in range(0, whole.num_rows, HELD):
+                b = whole.slice(lo, HELD)
+                found = [(t.tobytes(), n.astype(np.int32).tobytes(), size) for t, n, size in (_terms(x.as_py()) for x in b.column(2))]
+                cols = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "few", "terms", "times", "words"])
+
+    few = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(SEEDS)) == 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), few.alias("few"), "text")
+    return written(rows.mapInArrow(cut, "doc_id long, few boolean, terms binary, times binary, words long"), "search-documents")
+
+
 def statistics(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, int, float]:
-    """(term, df) for all terms of the queries; the number of documents, and their mean length."""
+    """(term, df) for all terms of the queries; the number of documents, and their mean length; `docs` as from parsed()."""
     parts = partitions(docs.sparkSession)
 
     def emit(batches):
         for b in batches:
-            found, length = [], 0
-            for t in b.column(0):
-                terms, _, n = _terms(t.as_py())
-                found.append(terms)
-                length += n
+            found = [np.frombuffer(t.as_buffer(), np.int64) for t in b.column(0)]
             term, df = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
             part = (term.view(np.uint64) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
@@ -59,24 +76,19 @@ def statistics(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, int, flo
             edges = np.searchsorted(part, np.arange(parts + 1))
             keep = np.flatnonzero(np.diff(edges))
             cut = lambda a: [a[edges[i] : edges[i + 1]].tobytes() for i in keep]
-            head = [pa.array([-1], pa.int32()), pa.array([np.array([b.num_rows, length]).tobytes()], pa.binary()), pa.array([b""], pa.binary())]
-            rows = [pa.array(keep, pa.int32()), pa.array(cut(term), pa.binary()), pa.array(cut(df), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(head, rows, strict=True)], ["part", "terms", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(cut(term), pa.binary()), pa.array(cut(df), pa.binary())], ["part", "terms", "df"])
 
     def add(table: pa.Table) -> pa.Table:
         term = np.frombuffer(b"".join(x.as_py() for x in table.column("terms")), np.int64)
-        if table.column("part")[0].as_py() < 0:
-            sums = term.reshape(-1, 2).sum(axis=0)
-            return pa.table({"term": pa.array([None], pa.int64()), "df": pa.array(sums[1:], pa.int64())})
         df = np.frombuffer(b"".join(x.as_py() for x in table.column("df")), np.int32)
         t, at = np.unique(term, return_inverse=True)
         return pa.table({"term": t, "df": np.bincount(at, df, len(t)).astype(np.int64)})
 
-    sent = docs.select("text").mapInArrow(emit, "part int, terms binary, df binary")
+    sent = docs.select("terms").mapInArrow(emit, "part int, terms binary, df binary")
     found = written(sent.groupBy("part").applyInArrow(add, "term long, df long"), "search-df")
-    n, length = docs.count(), sum(r.df for r in found.where("term is null").collect())
+    n, length = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
     wanted = queries.select("term").distinct()
-    return found.where("term is not null").join(wanted, "term"), n, length / n if n else 0.0
+    return found.join(wanted, "term"), n, length / n if n else 0.0
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -102,7 +114,9 @@ class Shard:
         self.words = 0
 
     def add(self, doc: int | None, text: str | None) -> None:
-        t, n, length = _terms(text)
+        self.put(doc, *_terms(text))
+
+    def put(self, doc: int | None, t: np.ndarray, n: np.ndarray, length: int) -> None:
         at = np.searchsorted(self.terms, t)
         ok = at < len(self.terms)
         ok[ok] = self.terms[at[ok]] == t[ok]
@@ -122,82 +136,84 @@ class Shard:
         sizes = np.array([len(self.parts[i][0]) for i in order])
         self.blocks = -(-len(order) // BLOCK)
         none = [np.zeros(0, np.int32)]
-        doc = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
-        term = np.concatenate([self.parts[i][0] for i in order] or none)
-        n = np.concatenate([self.parts[i][1] for i in order] or none).astype(float)
-        self.parts = []
-        norm = K1 * (1 - B + B * np.array(self.lengths, float)[order] / max(self.mean, 1e-9))
-        weight = self.idf[term] * n * (K1 + 1) / (n + norm[doc])
         # By document, for the scores that are returned.
-        self.of, self.term, self.weight = np.append(0, np.cumsum(sizes)), term, weight
-        # The commonest terms as a matrix: their part of all scores is one product for many queries.
-        count = np.bincount(term, minlength=len(self.terms))
+        self.of = np.append(0, np.cumsum(sizes))
+        self.term = np.concatenate([self.parts[i][0] for i in order] or none)
+        self.n = np.concatenate([self.parts[i][1] for i in order] or none)
+        self.parts = []
+        self.norm = K1 * (1 - B + B * np.array(self.lengths, float)[order] / max(self.mean, 1e-9))
+        # The commonest terms as a matrix for each block, and the greatest weight of each in it.
+        count = np.bincount(self.term, minlength=len(self.terms))
         top = np.argsort(-count, kind="stable")[:COMMON]
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[top] = np.arange(len(top))
-        self.matrix = np.zeros((len(top), self.blocks * BLOCK), np.float32)
-        c = self.column[term]
-        self.matrix[c[c >= 0], doc[c >= 0]] = weight[c >= 0]
-        # The others as postings with block maxima.
-        term, doc, weight = term[c < 0], doc[c < 0], weight[c < 0]
+        self.matrix = np.zeros((self.blocks, len(top), BLOCK), np.float32)
+        rare = []
+        for lo in range(0, len(order), BLOCK):
+            place = slice(self.of[lo], self.of[min(lo + BLOCK, len(order))])
+            doc = np.repeat(np.arange(lo, min(lo + BLOCK, len(order))), sizes[lo : lo + BLOCK])
+            weight, c = self._weights(place, doc), self.column[self.term[place]]
+            self.matrix[lo // BLOCK, c[c >= 0], doc[c >= 0] - lo] = weight[c >= 0]
+            rare.append((self.term[place][c < 0], doc[c < 0].astype(np.int32), weight[c < 0].astype(np.float32)))
+        self.most = np.ascontiguousarray(self.matrix.max(axis=2).T)
+        # The others as postings.
+        term, doc, weight = (np.concatenate(x) for x in zip(*rare, strict=True))
         by = np.argsort(term, kind="stable")
-        term, self.post, self.worth = term[by], doc[by], weight[by].astype(np.float32)
-        block = self.post // BLOCK
-        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, int)
-        self.begin = np.append(new, len(term))
-        self.block = block[new]
-        self.most = np.maximum.reduceat(self.worth, new) if len(new) else np.zeros(0, np.float32)
-        self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
+        # A posting is one number, so that memory is met once: the document above, the weight's bits below.
+        self.post = doc[by].astype(np.int64) << 32 | weight[by].view(np.uint32)
+        self.first = np.searchsorted(term[by], np.arange(len(self.terms) + 1))
         self.times = np.zeros(len(self.terms))
 
+    def _weights(self, place: slice | np.ndarray, doc: np.ndarray) -> np.ndarray:
+        n = self.n[place]
+        return self.idf[self.term[place]] * n * (K1 + 1) / (n + self.norm[doc])
+
     def best(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[float, int]]]:
         """For each query (terms, times, least score asked for) the k best (score to six places, index in docs) with a score
         above 0; ties go to the lesser id."""
-        dense = np.zeros((len(queries), len(self.matrix)), np.float32)
+        dense = np.zeros((len(queries), self.matrix.shape[1]), np.float32)
+        scores = np.zeros((len(queries), self.blocks, BLOCK), np.float32)
         for i, (t, n, _) in enumerate(queries):
             c = self.column[t]
             dense[i, c[c >= 0]] = n[c >= 0]
-        scores = dense @ self.matrix
-        return [self._one(s, t, n, least, k) for s, (t, n, least) in zip(scores, queries, strict=True)]
-
-    def _least(self, s: np.ndarray, least: float, k: int) -> float:
-        """The k-th best score so far or that asked for, with room for the rounding of single precision."""
-        return max(least, float(np.partition(s, -k)[-k]) if len(s) > k else 0.0) * (1 - 1e-4) - 1e-5
-
-    def _one(self, s: np.ndarray, terms: np.ndarray, times: np.ndarray, least: float, k: int) -> list[tuple[float, int]]:
-        rare = self.column[terms] < 0
-        lo, n = self.first[terms[rare]], self.first[terms[rare] + 1] - self.first[terms[rare]]
-        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        if len(entry):
-            factor = np.repeat(times[rare].astype(np.float32), n)
-            block = self.block[entry]
-            bound = s.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, factor * self.most[entry], self.blocks)
-            open_ = bound > 0
-            # The commonest terms' scores are lower bounds already; then the best blocks, then all that may still matter.
-            for part in (self.blocks,) if least > 0 else (FIRST, self.blocks):
-                chosen = open_ & (bound >= (least * (1 - 1e-4) - 1e-5 if least > 0 else self._least(s, least, k)))
-                if chosen.sum() > part:
-                    at = np.flatnonzero(chosen)
-                    chosen[:] = False
-                    chosen[at[np.argpartition(-bound[at], part)[:part]]] = True
-                open_ &= ~chosen
-                sel = chosen[block]
-                e = entry[sel]
-                if not len(e):
-                    continue
-                size = self.begin[e + 1] - self.begin[e]
-                post = np.repeat(self.begin[e] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                s += np.bincount(self.post[post], np.repeat(factor[sel], size) * self.worth[post], len(s)).astype(np.float32)
-        near = np.flatnonzero(s >= max(1e-6, least * (1 - 1e-4) - 1e-5))
+            scores[i] = self._rare(t[c < 0], n[c < 0]).reshape(-1, BLOCK)
+        # With room for the rounding of single precision.
+        asked = np.array([max(1e-6, least * (1 - 1e-4) - 1e-5) for _, _, least in queries], np.float32)
+        open_ = dense @ self.most + scores.max(axis=2) >= asked[:, None]
+        for b in np.flatnonzero(open_.any(axis=0)):
+            chosen = np.flatnonzero(open_[:, b])
+            if len(chosen) > 0.8 * len(queries):
+                scores[:, b] += dense @ self.matrix[b]
+            else:
+                scores[chosen, b] += dense[chosen] @ self.matrix[b]
+        # A block passed over keeps a part of its scores, which is below what is asked for.
+        return [self._exact(s.ravel(), t, n, a, least, k) for s, (t, n, least), a in zip(scores, queries, asked, strict=True)]
+
+    def _rare(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The rarer terms' part of all documents' scores, from their postings."""
+        lo = self.first[terms]
+        size = self.first[terms + 1] - lo
+        end = np.cumsum(size)
+        at = np.repeat(lo - (end - size), size)
+        at += np.arange(len(at))
+        post = self.post.take(at)
+        worth = post.astype(np.uint32).view(np.float32)
+        many = times > 1
+        if many.any():
+            worth *= np.repeat(times.astype(np.float32), size)
+        post >>= 32
+        return np.bincount(post, worth, self.blocks * BLOCK)
+
+    def _exact(self, s: np.ndarray, terms: np.ndarray, times: np.ndarray, asked: float, least: float, k: int) -> list[tuple[float, int]]:
+        near = np.flatnonzero(s >= asked)
         if len(near) > k:
-            near = near[s[near] >= self._least(s[near], least, k)]
+            near = near[s[near] >= np.partition(s[near], -k)[-k] * (1 - 1e-4) - 1e-5]
         if not len(near):
             return []
-        # Exact scores of what is left.
         self.times[terms] = times
         size = self.of[near + 1] - self.of[near]
         at = np.repeat(self.of[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        exact = np.round(np.add.reduceat(self.times[self.term[at]] * self.weight[at], np.cumsum(size) - size), 6)
+        exact = np.round(np.add.reduceat(self.times[self.term[at]] * self._weights(at, np.repeat(near, size)), np.cumsum(size) - size), 6)
         self.times[terms] = 0
         order = np.lexsort((self.ids[near], -exact))[:k]
         return [(float(exact[i]), int(near[i])) for i in order if exact[i] > 0 and exact[i] >= least]
@@ -207,6 +223,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): for each of `queries` (query_id, text) the k best of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     asked = written(query_terms(queries), "search-queries")
+    docs = parsed(docs)
     stats, count, mean = statistics(docs, asked)
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     sizes = written(sizes, "search-sizes")
@@ -220,6 +237,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         table = weighted.where(F.col("set") == number).select("query_id", "term", "n", "df").toArrow()
         if table.num_rows:
             out = out.unionByName(_searched(docs, table, count, mean, k))
+    forget(docs)
     return out
 
 
@@ -237,17 +255,20 @@ def _searched(docs: DataFrame, table: pa.Table, count: int, mean: float, k: int)
     idf = np.log(1 + (count - frequency + 0.5) / (frequency + 0.5))
     order = np.argsort(query, kind="stable")
     ids, first = np.unique(query[order], return_index=True)
-    index = (terms, idf, ids, np.append(first, len(order)), at[order].astype(np.int32), n[order])
+    # Queries go together by their commonest term, as documents do, so that they ask for the same blocks.
+    most = np.lexsort((-n, query))[first]
+    turn = np.argsort(at[most], kind="stable")
+    index = (terms, idf, ids, np.append(first, len(order)), at[order].astype(np.int32), n[order], turn)
     del table, query, term, df, frequency, order
     spark, least = docs.sparkSession, np.zeros(len(ids))
     shared = spark.sparkContext.broadcast(index)
-    few = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(SEEDS)) == 0
-    # So few documents in each file that some files make a shard.
-    some = docs.select("doc_id", "text").where(few).repartition(max(1, partitions(spark) // SEEDS))
+    # A shard for each core at least, and as few beyond that as hold all documents: each costs every query a little.
+    tasks = lambda rows: max(spark.sparkContext.defaultParallelism, -(-5 * rows // (4 * DOCUMENTS)))
+    some = docs.where("few").repartition(tasks(count // SEEDS))
     seeds = written(_ranked(_shards(some, shared, least, mean, k), k), "search-seeds")
     known = seeds.where(F.col("rank") == k).select("query_id", "score").toArrow()
     least[np.searchsorted(ids, known.column(0).to_numpy())] = known.column(1).to_numpy()
-    rest = _shards(docs.select("doc_id", "text").where(~few), shared, least, mean, k)
+    rest = _shards(docs.where("not few").coalesce(tasks(count)), shared, least, mean, k)
     found = written(_ranked(seeds.drop("rank").unionByName(rest), k), "search-found")
     forget(seeds)
     shared.destroy()
@@ -259,14 +280,14 @@ def _shards(docs: DataFrame, shared, least: np.ndarray, mean: float, k: int) ->
     asked = docs.sparkSession.sparkContext.broadcast(least)
 
     def run(batches):
-        terms, idf, ids, first, at, n = shared.value
+        terms, idf, ids, first, at, n, turn = shared.value
         floor = asked.value.copy()
         best: list[list[tuple[float, int, int | None]]] = [[] for _ in ids]
 
         def search(shard):
             shard.seal()
             for lo in range(0, len(ids), 128):
-                part = range(lo, min(lo + 128, len(ids)))
+                part = turn[lo : lo + 128]
                 found = shard.best([(at[first[i] : first[i + 1]], n[first[i] : first[i + 1]], floor[i]) for i in part], k)
                 for i, rows in zip(part, found, strict=True):
                     if rows:
@@ -277,8 +298,8 @@ def _shards(docs: DataFrame, shared, least: np.ndarray, mean: float, k: int) ->
 
         shard = Shard(terms, idf, mean)
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                shard.add(doc.as_py(), text.as_py())
+            for doc, t, times, size in zip(*b.columns, strict=True):
+                shard.put(doc.as_py(), np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(times.as_buffer(), np.int32), size.as_py())
                 if shard.full():
                     search(shard)
                     shard = Shard(terms, idf, mean)
@@ -289,7 +310,7 @@ def _shards(docs: DataFrame, shared, least: np.ndarray, mean: float, k: int) ->
             cols = list(zip(*rows[lo : lo + 100_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "doc_id", "score"])
 
-    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+    return docs.select("doc_id", "terms", "times", "words").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:
