@@ -12,7 +12,7 @@ the whole text, and each of its tokens has the mixture by that share of what bot
 share 0 is the base itself, so no text's score is more than -log10 of its chance, 0.22 digits, below its base's, however small
 the table that the model learnt from.
 
-What it learns from: counts of all words of all training documents (the vocabulary and the base score), the counts of its
+Texts are cut into ids once, and both training and scores read the table of them. What is learnt from: counts of all words of all training documents (the vocabulary and the base score), the counts of its
 ids in them (the biases of the output), and the windows of all training texts. First the driver takes steps on START windows
 or a few more; then the windows are dealt into groups of about GROUP, whatever the cluster, each of which takes steps on its
 own, and the parameters are averaged in a tree. A text's first window has all its ids as targets, each later one the LAST at
@@ -45,6 +45,8 @@ DIM, HIDDEN, WIDTH, STRIDE = 24, 64, 24, 16
 END = 0
 #: Words whose counts and ids are sent to every task, others that a task keeps, and words cut at a time.
 SENT, KEPT, SLICE = 1 << 16, 1 << 17, 40_000
+#: Beside the first id of each token, where ids are written.
+MARK = 1 << 14
 #: Words that the tokenizer gets as one text.
 CHUNK = 256
 #: Windows of the driver's start, how often it sees them, windows of a group; targets of a later window; targets in a step; the rate, which falls to a
@@ -180,6 +182,16 @@ def initial(tally: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     return p
 
 
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, which is short: a product is much faster there."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(a.shape[:-1])
+
+
+def _totals(a: np.ndarray) -> np.ndarray:
+    """Sums of columns."""
+    return np.ones(len(a), a.dtype) @ a
+
+
 def _mask(first: int) -> np.ndarray:
     return np.where(np.arange(WIDTH)[None, :] <= np.arange(first, WIDTH)[:, None], np.float32(0), np.float32(-1e9))
 
@@ -188,8 +200,9 @@ def _forward(p: dict, x: np.ndarray, first: int) -> tuple:
     """States after the inputs x (rows of WIDTH ids), at the places from `first` on."""
     n = WIDTH - first
     flat = lambda a: a.reshape(-1, a.shape[-1])  # noqa: E731  one large product instead of many small ones
-    e = p["E"][x] + p["P"]
-    e[:, 1:] += p["G"][x[:, :-1]]
+    e = p["E"].take(x, axis=0)
+    e += p["P"]
+    e[:, 1:] += p["G"].take(x[:, :-1], axis=0)
     every = e
     kv = flat(e) @ np.concatenate([p["K"], p["V"]], axis=1)
     k, v = (np.ascontiguousarray(kv[:, i : i + DIM]).reshape(e.shape) for i in (0, DIM))
@@ -199,10 +212,12 @@ def _forward(p: dict, x: np.ndarray, first: int) -> tuple:
     w += _mask(first)
     # Scores are small; no maximum is taken off before the exponential but a bound kept.
     np.exp(np.minimum(w, 60, out=w), out=w)
-    w /= w.sum(axis=2, keepdims=True)
+    w /= _sums(w)[..., None]
     m = w @ v
     y = e + (flat(m) @ p["O"]).reshape(e.shape)
-    h = np.maximum(flat(y) @ p["A"] + p["a"], 0).reshape(-1, n, HIDDEN)
+    h = flat(y) @ p["A"]
+    h += p["a"]
+    h = np.maximum(h, 0, out=h).reshape(-1, n, HIDDEN)
     return y + (flat(h) @ p["B"]).reshape(e.shape), (every, e, k, v, q, w, m, y, h)
 
 
@@ -213,21 +228,33 @@ def log_probs(p: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     z += p["c"]
     out = z[np.arange(len(targets)), group] - _log_sum(z)
     order = np.argsort(group.astype(np.int8), kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for g in np.flatnonzero(np.diff(edges)):
-        at = order[edges[g] : edges[g + 1]]
-        z = states[at] @ p["U"][g].T
-        z += p["u"][g]
-        out[at] += z[np.arange(len(at)), member[at]] - _log_sum(z)
+    edges = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    sorted_ = states.take(order, axis=0)
+    z = np.empty((len(order), EACH), states.dtype)
+    for g in range(CLASSES):
+        at = slice(edges[g], edges[g + 1])
+        np.matmul(sorted_[at], p["U"][g].T, out=z[at])
+        z[at] += p["u"][g]
+    own = z[np.arange(len(order)), member[order]]
+    out[order] += own - _log_sum(z)
     return out
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of exponentials of the rows of `z`, which is overwritten."""
-    top = z.max(axis=1)
-    z -= top[:, None]
+    """Logarithms of the sums of exponentials of the rows of `z`, which is overwritten. One number is taken off all rows; where
+    that would leave nothing of a row, each row's greatest."""
+    top = z.max(initial=0)
+    if top > 60:
+        top = z.max(axis=1, keepdims=True)
+        z -= top
+        top = top[:, 0]
+    elif len(z) and (lost := z[:, 0] < -60).any():
+        top = np.where(lost, z.max(axis=1), 0).astype(z.dtype)
+        z -= top[:, None]
+    else:
+        top = z.dtype.type(0)
     np.exp(z, out=z)
-    return np.log(z.sum(axis=1)) + top
+    return np.log(_sums(z)) + top
 
 
 def windows(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +272,7 @@ def windows(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x, place, text
 
 
-def score_ids(p: dict, ids: np.ndarray, ends: np.ndarray, batch: int = 512) -> np.ndarray:
+def score_ids(p: dict, ids: np.ndarray, ends: np.ndarray, batch: int = 256) -> np.ndarray:
     """The natural log-probability of each id, its text's ids before it given."""
     x, place, text = windows(ids, ends)
     total = np.zeros(len(ids))
@@ -273,22 +300,23 @@ def mixtures(model: np.ndarray, base: np.ndarray) -> np.ndarray:
 def _loss(z: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Summed loss of a softmax over the rows of `z`, which is overwritten, and its gradient."""
     at = np.arange(len(target))
-    z -= z.max(axis=1, keepdims=True)
+    if len(z) and np.abs(z).max() > 60:
+        z -= z.max(axis=1, keepdims=True)
     out = z[at, target].sum()
     np.exp(z, out=z)
-    total = z.sum(axis=1, keepdims=True)
-    z /= total
+    total = _sums(z)
+    z /= total[:, None]
     z[at, target] -= 1
     return float(np.log(total).sum() - out), z
 
 
 def _added(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of values by row."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")
     s = at[order]
     new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
     out = np.zeros((rows, values.shape[1]), values.dtype)
-    out[s[new]] = np.add.reduceat(values[order], new, axis=0)
+    out[s[new]] = np.add.reduceat(values.take(order, axis=0), new, axis=0)
     return out
 
 
@@ -299,42 +327,52 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int
     g: dict[str, np.ndarray] = {}
     t = y[ok]
     order = np.argsort((t // EACH).astype(np.int8), kind="stable")
-    flat, t = s[ok][order], t[order]
+    place = np.flatnonzero(ok)[order]
+    flat, t = two(s).take(place, axis=0), t[order]
     group = t // EACH
     loss, d = _loss(flat @ p["C"].T + p["c"], group)
-    g["C"], g["c"] = d.T @ flat, d.sum(axis=0)
+    g["C"], g["c"] = d.T @ flat, _totals(d)
     df = d @ p["C"]
-    edges = np.searchsorted(group, np.arange(CLASSES + 1))
-    held = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
-    z = p["u"][group]
-    for c, at in held:
-        z[at] += flat[at] @ p["U"][c].T
+    edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    z, inner = np.empty((len(t), EACH), flat.dtype), np.empty_like(flat)
+    for c in range(CLASSES):
+        at = slice(edges[c], edges[c + 1])
+        np.matmul(flat[at], p["U"][c].T, out=z[at])
+        z[at] += p["u"][c]
     more, d = _loss(z, t % EACH)
-    g["U"], g["u"] = np.zeros_like(p["U"]), np.zeros_like(p["u"])
-    for c, at in held:
-        g["U"][c], g["u"][c] = d[at].T @ flat[at], d[at].sum(axis=0)
-        df[at] += d[at] @ p["U"][c]
-    back = np.empty_like(df)
-    back[order] = df
+    g["U"], g["u"] = np.empty_like(p["U"]), np.empty_like(p["u"])
+    for c in range(CLASSES):
+        at = slice(edges[c], edges[c + 1])
+        own = d[at]
+        np.matmul(own.T, flat[at], out=g["U"][c])
+        g["u"][c] = _totals(own)
+        np.matmul(own, p["U"][c], out=inner[at])
+    df += inner
     ds = np.zeros_like(s)
-    ds[ok] = back
+    two(ds)[place] = df
     g["B"] = two(h).T @ two(ds)
-    dh = (two(ds) @ p["B"].T) * (two(h) > 0)
-    g["A"], g["a"] = two(r).T @ dh, dh.sum(axis=0)
+    dh = two(ds) @ p["B"].T
+    dh *= two(h) > 0
+    g["A"], g["a"] = two(r).T @ dh, _totals(dh)
     dr = two(ds) + dh @ p["A"].T
     g["O"] = two(m).T @ dr
     dm = (dr @ p["O"].T).reshape(s.shape)
     dw = dm @ v.transpose(0, 2, 1)
     dv = two(w.transpose(0, 2, 1) @ dm)
-    dz = w * (dw - (dw * w).sum(axis=2, keepdims=True))
+    dw -= _sums(dw * w)[..., None]
+    dw *= w
+    dz = dw
     # q holds the scale of the scores already.
     dq, dk = two(dz @ k) * e.dtype.type(DIM**-0.5), two(dz.transpose(0, 2, 1) @ q)
     g["Q"], g["K"], g["V"] = two(e).T @ dq, two(every).T @ dk, two(every).T @ dv
     de = (dk @ p["K"].T + dv @ p["V"].T).reshape(every.shape)
     de[:, first:] += (dr + dq @ p["Q"].T).reshape(s.shape)
-    g["P"] = de.sum(axis=0)
-    g["E"] = _added(VOCAB, x.ravel(), two(de))
-    g["G"] = _added(VOCAB, x[:, :-1].ravel(), two(np.ascontiguousarray(de[:, 1:])))
+    g["P"] = _totals(de.reshape(len(de), -1)).reshape(WIDTH, DIM)
+    # An id stands for itself at its place and for the one before at the next.
+    both = np.zeros((*x.shape, 2 * DIM), de.dtype)
+    both[..., :DIM], both[:, :-1, DIM:] = de, de[:, 1:]
+    both = _added(VOCAB, x.ravel(), two(both))
+    g["E"], g["G"] = both[:, :DIM], both[:, DIM:]
     n = max(1, len(t))
     return (loss + more) / n, {key: a / a.dtype.type(n) for key, a in g.items()}
 
@@ -343,8 +381,11 @@ class Trainer:
     """Adam over training windows: rows of WIDTH + 1 ids, of which the first is the input before the others; -1 is nothing."""
 
     def __init__(self, p: dict, seed: int):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+        # All parameters lie in one array, of which `p` has views.
+        self.all, self.p, at = np.concatenate([v.ravel() for v in p.values()]), {}, 0
+        for k, v in p.items():
+            self.p[k], at = self.all[at : at + v.size].reshape(v.shape), at + v.size
+        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
         self.n, self.rng = 0, np.random.default_rng(seed)
 
     def run(self, rows: np.ndarray, first: int, rate: float) -> None:
@@ -358,10 +399,19 @@ class Trainer:
             _, g = gradients(self.p, np.maximum(part[:, :-1], 0), y, y >= 0, first)
             self.n += 1
             lr = rate * min(1.0, self.n / 20)
-            for k, d in g.items():
-                self.m[k] += np.float32(0.1) * (d - self.m[k])
-                self.v[k] += np.float32(0.01) * (d * d - self.v[k])
-                self.p[k] -= np.float32(lr / (1 - 0.9**self.n)) * self.m[k] / (np.sqrt(self.v[k] / np.float32(1 - 0.99**self.n)) + np.float32(1e-8))
+            d = np.concatenate([g[k].ravel() for k in self.p])
+            self.m *= np.float32(0.9)
+            self.m += np.float32(0.1) * d
+            d *= d
+            d *= np.float32(0.01)
+            self.v *= np.float32(0.99)
+            self.v += d
+            np.divide(self.v, np.float32(1 - 0.99**self.n), out=d)
+            np.sqrt(d, out=d)
+            d += np.float32(1e-8)
+            np.divide(self.m, d, out=d)
+            d *= np.float32(lr / (1 - 0.9**self.n))
+            self.all -= d
 
 
 def pack(p: dict) -> bytes:
@@ -465,62 +515,86 @@ def _rows(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) ->
     return np.where(at < lo[:, None], END, rows).astype(np.int16)
 
 
-def train(docs: DataFrame, shared) -> dict:
-    """The parameters; see the module's text."""
-    import xxhash
+def cut_texts(docs: DataFrame, shared) -> DataFrame:
+    """For each text its ids, the first of each token marked; the places of its tokens' counts, that of words that were not sent
+    and of the end after them; the names of the former; and what training asks for: a key by what the text teaches, so that nothing
+    depends on how texts were dealt to tasks, and the number of windows (0: held out). How often each id is taught stands in the
+    first row of some."""
+
+    def run(batches):
+        import xxhash
 
-    def take(batches):
         cut = Cut(shared.value)
+        known = cut.known
         for b in batches:
-            for _, texts in cut.slices(b.column(0)):
-                ids, ends, _ = cut.ids(texts)
-                heads, rest, many = training_rows(ids, ends)
-                # A row for each text, named by what it teaches, so that nothing depends on how texts were dealt to tasks; the
-                # ids' numbers stand in the first.
-                cuts = np.append(0, np.cumsum(many))
-                head, more = [h.tobytes() for h in heads], [rest[lo:hi].tobytes() for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                keys = [xxhash.xxh64_intdigest(h + m) >> 1 for h, m in zip(head, more, strict=True)]
-                tally = [np.bincount(ids, minlength=VOCAB).tolist()] + [None] * (len(head) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(many + 1, pa.int64()), pa.array(tally, pa.list_(pa.int64())), pa.array(head, pa.binary()), pa.array(more, pa.binary())], ["key", "n", "tally", "heads", "rest"])
-
-    table = docs.where(training()).select("text").mapInArrow(take, "key long, n long, tally array<long>, heads binary, rest binary")
-    table = written(table, "lm-windows")
-    read = lambda blob: np.frombuffer(blob, np.int16).reshape(-1, WIDTH + 1)
+            for lo, texts in cut.slices(b.column(1)):
+                part = b.slice(lo, len(texts))
+                ids, ends, at = cut.ids(texts)
+                first = np.cumsum(cut.sizes) - cut.sizes
+                begins, tokens = np.append(0, ends[:-1]), np.array([len(a) + 1 for a in at])
+                teaches = part.column(2).to_numpy(zero_copy_only=False)
+                n = np.where(teaches, 1 + np.maximum(0, -(-(ends - begins - WIDTH) // LAST)), 0)
+                tally = [np.bincount(ids[np.repeat(teaches, ends - begins)], minlength=VOCAB).tolist()] + [None] * (len(at) - 1)
+                marked = ids.astype(np.int16)
+                marked[first] |= MARK
+                written_ids = [marked[i:j].tobytes() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+                rare = [a[a >= known] for a in at]
+                met = np.unique(np.concatenate(rare))
+                names = np.array([xxhash.xxh64_intdigest(cut.other[i], seed=42) for i in (met - known).tolist()], np.uint64).view(np.int64)
+                places = [np.append(np.minimum(a, known), known + 1).astype(np.uint16 if known + 2 <= 1 << 16 else np.uint32).tobytes() for a in at]
+                rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rare])).astype(np.int32)), pa.array(names[np.searchsorted(met, np.concatenate(rare))]))
+                keys = pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in written_ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(n, pa.int64()), pa.array(tokens, pa.int64()), pa.array(tally, pa.list_(pa.int64())), pa.array(written_ids, pa.binary()), pa.array(places, pa.binary()), rest], ["doc_id", "key", "n", "tokens", "tally", "ids", "places", "rest"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", training().alias("teaches"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, n long, tokens long, tally array<long>, ids binary, places binary, rest array<long>")
+
+
+def train(table: DataFrame) -> dict:
+    """The parameters, from a table as of cut_texts(); see the module's text."""
     sums = table.select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n")).collect()  # VOCAB rows
     tally = np.zeros(VOCAB)
     for r in sums:
         tally[r.pos] = r.n
     p = initial(tally)
-    count, pieces = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    count, pieces = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     if not count:
         return p
     # As many texts, in the order of their keys, as have START windows or so; of a long text no more than that.
-    most = F.lit(START * (WIDTH + 1) * 2)
-    some = table.select("key", "heads", F.substring("rest", F.lit(1), most).alias("rest")).orderBy("key").limit(max(1, START * pieces // count)).collect()
+    most = F.lit(START * WIDTH * 2)
+    taught = table.where("n > 0")
+    some = taught.select("key", F.substring("ids", F.lit(1), most).alias("ids")).orderBy("key").limit(max(1, START * pieces // count)).collect()
+
+    def read(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' first windows and the later ones."""
+        ends = np.cumsum([len(x) // 2 for x in blobs])
+        return training_rows(np.frombuffer(b"".join(blobs), np.int16) & ~np.int16(MARK), ends)[:2]
+
     start = Trainer(p, 1)
-    rows = np.concatenate([read(x) for r in some for x in (r.heads, r.rest)])[: 2 * START]
+    rows = np.concatenate([x for r in some for x in read([bytes(r.ids)])])[: 2 * START]
     for e in range(EPOCHS):
         start.run(rows, 0, RATE * (1 - 0.8 * e / EPOCHS))
     p = start.p
     groups = parts = -(-count // GROUP)
-    now = docs.sparkSession.sparkContext.broadcast(pack(p))
+    now = table.sparkSession.sparkContext.broadcast(pack(p))
 
     def local(batches):
         trainer, n, part = Trainer(unpack(now.value, p), 2), 0, None
-        found = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True))
+        found = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
 
-        def learn(held: list[tuple[bytes, bytes]]) -> int:
-            one, more = (read(b"".join(x)) for x in zip(*held, strict=True))
+        def learn(held: list[bytes]) -> int:
+            one, more = read(held)
             rate = RATE * max(0.1, 1 - 0.9 * n * parts / count)
             trainer.run(one, 0, rate)
             trainer.run(more, WIDTH - LAST, rate)
             return len(one) + len(more)
 
         held, size = [], 0
-        for group, heads, rest in found:
-            held.append((heads.as_py(), rest.as_py()))
-            size, part = size + len(held[-1][0]) + len(held[-1][1]), group
-            if size >= TAKEN * (WIDTH + 1) * 2:
+        for group, windows_, ids in found:
+            held.append(ids.as_py())
+            size, part = size + windows_, group
+            if size >= TAKEN:
                 n, held, size = n + learn(held), [], 0
         if held:
             n += learn(held)
@@ -532,8 +606,8 @@ def train(docs: DataFrame, shared) -> dict:
         total = sum(w * np.frombuffer(b.as_py(), np.float32).astype(float) for w, b in zip(n, table.column("p"), strict=True))
         return pa.table({"part": pa.array([table.column("part")[0].as_py() // 32], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "p": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-    dealt = table.select(F.pmod(F.col("key"), F.lit(groups)).cast("int").alias("group"), "heads", "rest", "key")
-    means = dealt.repartitionById(groups, "group").sortWithinPartitions("key").select("group", "heads", "rest").mapInArrow(local, "part int, n long, p binary")
+    dealt = taught.select(F.pmod(F.col("key"), F.lit(groups)).cast("int").alias("group"), "n", "ids", "key")
+    means = dealt.repartitionById(groups, "group").sortWithinPartitions("key").select("group", "n", "ids").mapInArrow(local, "part int, n long, p binary")
     while groups > 1:
         means, groups = means.groupBy(F.floor(F.col("part") / 32)).applyInArrow(mean, "part int, n long, p binary"), -(-groups // 32)
     trained = means.first()
@@ -550,48 +624,49 @@ def report(docs: DataFrame, tokenizer: str = TOKENIZER, scored_too: bool = True)
     total, distinct = words + texts, kinds + (texts > 0)
     sent = prepared(counts, tokenizer)
     shared = spark.sparkContext.broadcast(sent)
-    params = spark.sparkContext.broadcast(pack(train(docs, shared))) if scored_too else None
+    table = cut_texts(docs, shared)
+    # Texts are cut once for training and scores.
+    table = written(table, "lm-windows") if scored_too else table
+    params = spark.sparkContext.broadcast(pack(train(table))) if scored_too else None
     like = {k: np.empty(v.shape, np.float32) for k, v in initial(np.zeros(VOCAB)).items()}
     under = total + 0.5 * (distinct + 1)
 
     ended = float(math.log10((texts + 0.5) / under))
 
-    def run(batches):
-        import xxhash
+    known = len(sent["words"])
+    value = np.concatenate([np.log10((sent["counts"] + 0.5) / under), [0.0, ended]])
 
-        cut, p = Cut(shared.value), unpack(params.value, like) if params else None
+    def run(batches):
+        p = unpack(params.value, like) if params else None
         key = TaskContext.get().partitionId() << 33
-        known = cut.known
-        value = np.append(np.log10((shared.value["counts"] + 0.5) / under), 0.0)
-        for b in batches:
-            for lo, texts in cut.slices(b.column(1)):
-                part = b.slice(lo, len(texts))
-                ids, ends, at = cut.ids(texts)
-                met = np.unique(np.concatenate([a[a >= known] for a in at]))
-                names = np.array([xxhash.xxh64_intdigest(cut.other[i], seed=42) for i in (met - known).tolist()], np.uint64).view(np.int64)
-                sizes = cut.sizes
-                model = np.add.reduceat(score_ids(p, ids, ends), np.cumsum(sizes) - sizes) / math.log(10) if p else np.zeros(len(sizes))
-                n = np.array([len(a) + 1 for a in at])
-                last = np.cumsum(n) - 1
-                words = np.zeros(len(model), np.int64)
-                words[np.delete(np.arange(len(model)), last)] = np.concatenate(at)
-                given = value[np.minimum(words, known)]
-                given[last] = ended
-                rare = words >= known
-                rare[last] = False
-                both = mixtures(model, given)
-                both[rare] = 0.0
-                text = np.repeat(np.arange(len(at)), n)
-                sums = np.stack([np.bincount(text, both[:, k], len(at)) for k in range(len(SHARES))], 1)
-                base = np.bincount(text, np.where(rare, 0.0, given), len(at))
-                edge = np.append(0, np.cumsum(np.bincount(text[rare], minlength=len(at)))).astype(np.int32)
-                lists = lambda v, e=edge: pa.ListArray.from_arrays(pa.array(e), pa.array(v))
-                rest, scores = lists(names[np.searchsorted(met, words[rare])]), lists(model[rare])
+        for whole in batches:
+            stretch = np.cumsum(whole.column(1).to_numpy()) // SLICE
+            cuts = np.flatnonzero(np.diff(stretch, prepend=-1, append=-1)).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                b = whole.slice(lo, hi - lo)
+                n, rest = b.column(1).to_numpy(), b.column(4)
+                blobs = [x.as_py() for x in b.column(2)]
+                ids, ends = np.frombuffer(b"".join(blobs), np.int16), np.cumsum([len(x) // 2 for x in blobs])
+                words = np.frombuffer(b"".join(x.as_py() for x in b.column(3)), np.uint16 if known + 2 <= 1 << 16 else np.uint32)
+                starts = np.flatnonzero(ids & MARK)
+                ids = (ids & ~np.int16(MARK)).astype(np.int64)
+                model = np.add.reduceat(score_ids(p, ids, ends), starts) / math.log(10) if p else np.zeros(len(starts))
+                given, rare = value[words], words == known
+                text = np.repeat(np.arange(len(n)), n)
+                sums = np.zeros((len(n), len(SHARES)))
+                if p:
+                    both = mixtures(model, given)
+                    both[rare] = 0.0
+                    sums = np.stack([np.bincount(text, both[:, k], len(n)) for k in range(len(SHARES))], 1)
+                base = np.bincount(text, given, len(n))
+                edge = np.append(0, np.cumsum(np.bincount(text[rare], minlength=len(n)))).astype(np.int32)
+                scores = pa.ListArray.from_arrays(pa.array(edge), pa.array(model[rare]))
                 k = n - 1 - np.diff(edge)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(range(key, key + len(at)), pa.int64()), pa.array(n), pa.array(k.astype(np.int64)), pa.array(base), rest, scores, pa.array(list(sums), pa.list_(pa.float64()))], ["doc_id", "key", "n", "k", "base", "rest", "model", "sums"])
-                key += len(at)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(range(key, key + len(n)), pa.int64()), pa.array(n), pa.array(k.astype(np.int64)), pa.array(base), rest, scores, pa.array(list(sums), pa.list_(pa.float64()))], ["doc_id", "key", "n", "k", "base", "rest", "model", "sums"])
+                key += len(n)
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, k long, base double, rest array<long>, model array<double>, sums array<double>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = table.select("doc_id", "tokens", "ids", "places", "rest").mapInArrow(run, f"doc_id {kind}, key long, n long, k long, base double, rest array<long>, model array<double>, sums array<double>")
     scored = written(scored, "lm-scores")
     rare = counts.select(F.xxhash64(F.col("word")).alias("name"), "n").withColumnRenamed("n", "c")
     value = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(under)))
