@@ -28,9 +28,12 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ DIM, HIDDEN, WIDTH, STRIDE = 24, 64, 24, 16
 END = 0
 #: Words whose counts and ids are sent to every task, others that a task keeps, and words cut at a time.
 SENT, KEPT, SLICE = 1 << 16, 1 << 17, 40_000
+#: Bytes of texts whose words a task counts at a time.
+COUNTED = 1 << 23
 #: Beside the first id of each token, where ids are written.
 MARK = 1 << 14
 #: Words that the tokenizer gets as one text.
@@ -65,10 +70,20 @@ def training() -> Column:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over the training documents."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.split(F.translate(F.coalesce("text", F.lit("")), upper, lower), r"[\x20\x09-\x0D]+")
-    found = docs.where(training()).select(F.explode(words).alias("word")).where("word <> ''")
-    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(0)
+            # Stretches of texts of some COUNTED bytes; the words of one are counted before they leave the task.
+            stretch = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // COUNTED
+            cuts = np.flatnonzero(np.diff(stretch, prepend=-1, append=-1)).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo))).flatten()
+                found = pc.value_counts(words.filter(pc.not_equal(words, "")))
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+
+    found = docs.where(training()).select("text").mapInArrow(run, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def byte_symbols() -> list[str]:
@@ -192,51 +207,74 @@ def _totals(a: np.ndarray) -> np.ndarray:
     return np.ones(len(a), a.dtype) @ a
 
 
+@lru_cache
 def _mask(first: int) -> np.ndarray:
     return np.where(np.arange(WIDTH)[None, :] <= np.arange(first, WIDTH)[:, None], np.float32(0), np.float32(-1e9))
 
 
+def _flat(a: np.ndarray) -> np.ndarray:
+    """One large product instead of many small ones."""
+    return a.reshape(-1, a.shape[-1])
+
+
+def _inputs(p: dict) -> np.ndarray:
+    """Q with the scale of the scores, K and V beside each other: one product gives all three."""
+    return np.concatenate([p["Q"] * p["Q"].dtype.type(DIM**-0.5), p["K"], p["V"]], axis=1)
+
+
+def _outputs(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The output's weights, with the biases as a last column: states end with a 1 there."""
+    return np.concatenate([p["C"], p["c"][:, None]], axis=1), np.concatenate([p["U"], p["u"][..., None]], axis=2)
+
+
+def _ended(states: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of the flat states, each with a 1 after it."""
+    out = np.ones((len(at), states.shape[1] + 1), states.dtype)
+    out[:, :-1] = states.take(at, axis=0)
+    return out
+
+
 def _forward(p: dict, x: np.ndarray, first: int) -> tuple:
     """States after the inputs x (rows of WIDTH ids), at the places from `first` on."""
     n = WIDTH - first
-    flat = lambda a: a.reshape(-1, a.shape[-1])  # noqa: E731  one large product instead of many small ones
     e = p["E"].take(x, axis=0)
     e += p["P"]
     e[:, 1:] += p["G"].take(x[:, :-1], axis=0)
-    every = e
-    kv = flat(e) @ np.concatenate([p["K"], p["V"]], axis=1)
-    k, v = (np.ascontiguousarray(kv[:, i : i + DIM]).reshape(e.shape) for i in (0, DIM))
-    e = np.ascontiguousarray(e[:, first:])
-    q = (flat(e) @ (p["Q"] * e.dtype.type(DIM**-0.5))).reshape(e.shape)
-    w = q @ k.transpose(0, 2, 1)
+    qkv = (_flat(e) @ _inputs(p)).reshape(*x.shape, 3 * DIM)
+    w = qkv[:, first:, :DIM] @ qkv[..., DIM : 2 * DIM].transpose(0, 2, 1)
     w += _mask(first)
     # Scores are small; no maximum is taken off before the exponential but a bound kept.
     np.exp(np.minimum(w, 60, out=w), out=w)
     w /= _sums(w)[..., None]
-    m = w @ v
-    y = e + (flat(m) @ p["O"]).reshape(e.shape)
-    h = flat(y) @ p["A"]
+    m = w @ qkv[..., 2 * DIM :]
+    y = (_flat(m) @ p["O"]).reshape(m.shape)
+    y += e[:, first:]
+    h = _flat(y) @ p["A"]
     h += p["a"]
-    h = np.maximum(h, 0, out=h).reshape(-1, n, HIDDEN)
-    return y + (flat(h) @ p["B"]).reshape(e.shape), (every, e, k, v, q, w, m, y, h)
+    h = np.maximum(h, 0, out=h)
+    out = (h @ p["B"]).reshape(y.shape)
+    out += y
+    return out, (e, qkv, w, m, y, h.reshape(-1, n, HIDDEN))
 
 
 def log_probs(p: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probabilities of the targets after flat states."""
-    group, member = targets // EACH, targets % EACH
-    z = states @ p["C"].T
-    z += p["c"]
-    out = z[np.arange(len(targets)), group] - _log_sum(z)
-    order = np.argsort(group.astype(np.int8), kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
-    sorted_ = states.take(order, axis=0)
-    z = np.empty((len(order), EACH), states.dtype)
+    group = (targets // EACH).astype(np.int8)
+    order = np.argsort(group, kind="stable")
+    group, member, flat = group[order], targets[order] % EACH, _ended(states, order)
+    heads, members = _outputs(p)
+    at = np.arange(len(order))
+    z = flat @ heads.T
+    found = z[at, group]
+    found -= _log_sum(z)
+    edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
     for g in range(CLASSES):
-        at = slice(edges[g], edges[g + 1])
-        np.matmul(sorted_[at], p["U"][g].T, out=z[at])
-        z[at] += p["u"][g]
-    own = z[np.arange(len(order)), member[order]]
-    out[order] += own - _log_sum(z)
+        if edges[g] < edges[g + 1]:
+            np.matmul(flat[edges[g] : edges[g + 1]], members[g].T, out=z[edges[g] : edges[g + 1]])
+    found += z[at, member]
+    found -= _log_sum(z)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -272,7 +310,7 @@ def windows(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x, place, text
 
 
-def score_ids(p: dict, ids: np.ndarray, ends: np.ndarray, batch: int = 256) -> np.ndarray:
+def score_ids(p: dict, ids: np.ndarray, ends: np.ndarray, batch: int = 128) -> np.ndarray:
     """The natural log-probability of each id, its text's ids before it given."""
     x, place, text = windows(ids, ends)
     total = np.zeros(len(ids))
@@ -290,17 +328,20 @@ def score_ids(p: dict, ids: np.ndarray, ends: np.ndarray, batch: int = 256) -> n
 def mixtures(model: np.ndarray, base: np.ndarray) -> np.ndarray:
     """For each token (a row) and each of SHARES the base-10 logarithm of the mixture of the model's and the base's
     probability, from their logarithms."""
-    low = np.minimum(model, base)
-    top = np.maximum(model, base)
-    share = np.array(SHARES)[None, :]
-    upper = np.where((model >= base)[:, None], share, 1 - share)
-    return top[:, None] + np.log10(np.maximum(upper + (1 - upper) * 10.0 ** (low - top)[:, None], 1e-300))
+    top, above, ten = np.maximum(model, base), model >= base, math.log(10)
+    low = np.exp(np.abs(model - base) * -ten)
+    out = np.empty((len(model), len(SHARES)))
+    for i, share in enumerate(SHARES):
+        upper = np.where(above, share, 1 - share)
+        upper += (1 - upper) * low
+        out[:, i] = top + np.log(np.maximum(upper, 1e-300)) / ten
+    return out
 
 
 def _loss(z: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Summed loss of a softmax over the rows of `z`, which is overwritten, and its gradient."""
     at = np.arange(len(target))
-    if len(z) and np.abs(z).max() > 60:
+    if len(z) and (z.max() > 60 or z.min() < -60):
         z -= z.max(axis=1, keepdims=True)
     out = z[at, target].sum()
     np.exp(z, out=z)
@@ -311,42 +352,46 @@ def _loss(z: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def _added(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of values by row."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    s = at[order]
-    new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    out = np.zeros((rows, values.shape[1]), values.dtype)
-    out[s[new]] = np.add.reduceat(values.take(order, axis=0), new, axis=0)
-    return out
+    """Sums of values by row: rows are taken EACH at a time, of which a product with ones and zeros adds all."""
+    block = (at // EACH).astype(np.int16)
+    order = np.argsort(block, kind="stable")
+    edges = np.searchsorted(block[order], np.arange(rows // EACH + 1)).tolist()
+    values = values.take(order, axis=0)
+    hot = np.eye(EACH, dtype=values.dtype).take(at[order] % EACH, axis=0)
+    out = np.zeros((rows // EACH, EACH, values.shape[1]), values.dtype)
+    for b in range(len(out)):
+        if edges[b] < edges[b + 1]:
+            np.matmul(hot[edges[b] : edges[b + 1]].T, values[edges[b] : edges[b + 1]], out=out[b])
+    return out.reshape(rows, -1)
 
 
 def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int = 0) -> tuple[float, dict]:
     """Mean loss of the targets y where ok, which stand at the places from `first` on, and its gradients."""
-    s, (every, e, k, v, q, w, m, r, h) = _forward(p, x, first)
-    two = lambda a: a.reshape(-1, a.shape[-1])
+    s, (every, qkv, w, m, r, h) = _forward(p, x, first)
+    k, v = qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    two = _flat
     g: dict[str, np.ndarray] = {}
     t = y[ok]
-    order = np.argsort((t // EACH).astype(np.int8), kind="stable")
+    group = (t // EACH).astype(np.int8)
+    order = np.argsort(group, kind="stable")
     place = np.flatnonzero(ok)[order]
-    flat, t = two(s).take(place, axis=0), t[order]
-    group = t // EACH
-    loss, d = _loss(flat @ p["C"].T + p["c"], group)
-    g["C"], g["c"] = d.T @ flat, _totals(d)
+    t, group, flat = t[order], group[order], _ended(two(s), place)
+    heads, members = _outputs(p)
+    loss, d = _loss(flat @ heads.T, group)
+    own = d.T @ flat
+    g["C"], g["c"] = own[:, :DIM], own[:, DIM]
     df = d @ p["C"]
     edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-    z, inner = np.empty((len(t), EACH), flat.dtype), np.empty_like(flat)
-    for c in range(CLASSES):
-        at = slice(edges[c], edges[c + 1])
-        np.matmul(flat[at], p["U"][c].T, out=z[at])
-        z[at] += p["u"][c]
+    parts = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+    z, inner = np.empty((len(t), EACH), flat.dtype), np.empty_like(df)
+    for c, at in parts:
+        np.matmul(flat[at], members[c].T, out=z[at])
     more, d = _loss(z, t % EACH)
-    g["U"], g["u"] = np.empty_like(p["U"]), np.empty_like(p["u"])
-    for c in range(CLASSES):
-        at = slice(edges[c], edges[c + 1])
-        own = d[at]
-        np.matmul(own.T, flat[at], out=g["U"][c])
-        g["u"][c] = _totals(own)
-        np.matmul(own, p["U"][c], out=inner[at])
+    own = np.zeros_like(members)
+    for c, at in parts:
+        np.matmul(d[at].T, flat[at], out=own[c])
+        np.matmul(d[at], p["U"][c], out=inner[at])
+    g["U"], g["u"] = own[..., :DIM], own[..., DIM]
     df += inner
     ds = np.zeros_like(s)
     two(ds)[place] = df
@@ -354,19 +399,22 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int
     dh = two(ds) @ p["B"].T
     dh *= two(h) > 0
     g["A"], g["a"] = two(r).T @ dh, _totals(dh)
-    dr = two(ds) + dh @ p["A"].T
+    dr = dh @ p["A"].T
+    dr += two(ds)
     g["O"] = two(m).T @ dr
     dm = (dr @ p["O"].T).reshape(s.shape)
     dw = dm @ v.transpose(0, 2, 1)
-    dv = two(w.transpose(0, 2, 1) @ dm)
-    dw -= _sums(dw * w)[..., None]
+    dw -= _sums(dm * m)[..., None]
     dw *= w
-    dz = dw
-    # q holds the scale of the scores already.
-    dq, dk = two(dz @ k) * e.dtype.type(DIM**-0.5), two(dz.transpose(0, 2, 1) @ q)
-    g["Q"], g["K"], g["V"] = two(e).T @ dq, two(every).T @ dk, two(every).T @ dv
-    de = (dk @ p["K"].T + dv @ p["V"].T).reshape(every.shape)
-    de[:, first:] += (dr + dq @ p["Q"].T).reshape(s.shape)
+    d = np.zeros_like(qkv)
+    np.matmul(dw, k, out=d[:, first:, :DIM])
+    np.matmul(dw.transpose(0, 2, 1), qkv[:, first:, :DIM], out=d[..., DIM : 2 * DIM])
+    np.matmul(w.transpose(0, 2, 1), dm, out=d[..., 2 * DIM :])
+    own = two(every).T @ two(d)
+    # qkv holds the scale of the scores already.
+    g["Q"], g["K"], g["V"] = own[:, :DIM] * own.dtype.type(DIM**-0.5), own[:, DIM : 2 * DIM], own[:, 2 * DIM :]
+    de = (two(d) @ _inputs(p).T).reshape(every.shape)
+    de[:, first:] += dr.reshape(s.shape)
     g["P"] = _totals(de.reshape(len(de), -1)).reshape(WIDTH, DIM)
     # An id stands for itself at its place and for the one before at the next.
     both = np.zeros((*x.shape, 2 * DIM), de.dtype)
@@ -392,11 +440,12 @@ class Trainer:
         """A step for each STEP targets, which stand at the places from `first` on."""
         order, size = self.rng.permutation(len(rows)), STEP // (WIDTH - first)
         for lo in range(0, len(order), size):
-            part = rows[order[lo : lo + size]].astype(np.int64)
+            part = rows.take(order[lo : lo + size], axis=0).astype(np.int64)
             y = part[:, 1 + first :]
-            if not (y >= 0).any():
+            ok = y >= 0
+            if not ok.any():
                 continue
-            _, g = gradients(self.p, np.maximum(part[:, :-1], 0), y, y >= 0, first)
+            _, g = gradients(self.p, np.maximum(part[:, :-1], 0), y, ok, first)
             self.n += 1
             lr = rate * min(1.0, self.n / 20)
             d = np.concatenate([g[k].ravel() for k in self.p])
@@ -427,6 +476,14 @@ def unpack(blob: bytes, like: dict) -> dict:
     return out
 
 
+class Places(dict):
+    """Words to numbers, the next one for a word not met before."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Cut:
     """Texts to words and ids, with the words that are sent to every task at hand, and others as they come."""
 
@@ -436,7 +493,7 @@ class Cut:
         self.clear()
 
     def clear(self) -> None:
-        self.place = {w: i for i, w in enumerate(self.sent["words"])}
+        self.place = Places((w, i) for i, w in enumerate(self.sent["words"]))
         self.other: list[bytes] = []
         self.flat, self.lengths = [self.sent["flat"]], [self.sent["lengths"]]
 
@@ -456,23 +513,21 @@ class Cut:
         the words sent, or from `known` on in `other`. How many ids each word and end has is left in `sizes`."""
         if len(self.other) > KEPT:
             self.clear()
-        place, new = self.place, []
-        for ws in texts:
-            for w in ws:
-                if w not in place:
-                    place[w] = len(place)
-                    new.append(w)
-        if new:
+        met = len(self.place)
+        found = np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64)
+        if new := list(islice(self.place, met, None)):
             flat, n = self.speller.spell(new)
             self.other += new
             self.flat, self.lengths = [np.concatenate([*self.flat, flat])], [np.concatenate([*self.lengths, n])]
-        at = [np.fromiter(map(place.__getitem__, ws), np.int64, len(ws)) for ws in texts]
+        many = np.array([len(ws) for ws in texts], np.int64)
         flat, lengths = np.append(self.flat[0], np.int16(END)), np.append(self.lengths[0], 1)
-        begin, end = np.cumsum(lengths) - lengths, [len(lengths) - 1]
-        w = np.concatenate([x for a in at for x in (a, end)]).astype(np.int64)
+        begin = np.cumsum(lengths) - lengths
+        each = np.cumsum(many)
+        w = np.insert(found, each, len(lengths) - 1)
         n = lengths[w]
         where = np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        each = np.cumsum([len(a) + 1 for a in at])
+        at = [found[i:j] for i, j in zip((each - many).tolist(), each.tolist(), strict=True)]
+        each = each + np.arange(1, len(each) + 1)
         self.sizes = n
         return flat[where].astype(np.int64), np.cumsum(n)[each - 1], at
 
