@@ -39,3 +39,20 @@ def test_sums_by_row():
     np.add.at(want, at, values)
     assert np.allclose(lm._added(lm.VOCAB, at, values), want)
     assert not lm._added(lm.VOCAB, at[:0], values[:0]).any()
+
+
+def test_what_is_kept_of_words_not_sent(spark, monkeypatch):
+    tables, write = {}, lm.written
+    monkeypatch.setattr(lm, "START", 20)
+    monkeypatch.setattr(lm, "SENT", 3)  # most words are looked up in the table of counts
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    rows = [(i, f"the sea and the shore {i % 9} w{i} " * (i % 4)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = {r.doc_id: r.score for r in lm.report(docs).collect()}
+    # The model's digits come in single precision, so no more of them is moved.
+    assert dict(tables["lm-scores"].dtypes)["model"] == "array<float>"
+    assert tables["lm-scores"].where("size(rest) > 0").count() > 20
+    assert all(".zstd." in f for t in tables.values() for f in t.inputFiles())
+    monkeypatch.setattr(lm, "SENT", 1 << 16)
+    every = {r.doc_id: r.score for r in lm.report(docs).collect()}
+    assert max(abs(some[i] - every[i]) for i, _ in rows) < 1e-4
