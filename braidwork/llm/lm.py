@@ -221,9 +221,10 @@ def _flat(a: np.ndarray) -> np.ndarray:
     return a.reshape(-1, a.shape[-1])
 
 
-def _inputs(p: dict) -> np.ndarray:
-    """Q with the scale of the scores, K and V beside each other: one product gives all three."""
-    return np.concatenate([p["Q"] * p["Q"].dtype.type(DIM**-0.5), p["K"], p["V"]], axis=1)
+def _joined(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Q and K as one, with the scale of the scores, and V and O: what stands between two inputs, and after their mean. So
+    neither keys nor values are made of each input."""
+    return (p["Q"] * p["Q"].dtype.type(DIM**-0.5)) @ p["K"].T, p["V"] @ p["O"]
 
 
 def _outputs(p: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -241,24 +242,26 @@ def _ended(states: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _forward(p: dict, x: np.ndarray, first: int) -> tuple:
     """States after the inputs x (rows of WIDTH ids), at the places from `first` on."""
     n = WIDTH - first
+    between, after = _joined(p)
     e = p["E"].take(x, axis=0)
     e += p["P"]
     e[:, 1:] += p["G"].take(x[:, :-1], axis=0)
-    qkv = (_flat(e) @ _inputs(p)).reshape(*x.shape, 3 * DIM)
-    w = qkv[:, first:, :DIM] @ qkv[..., DIM : 2 * DIM].transpose(0, 2, 1)
+    own = np.ascontiguousarray(e[:, first:])
+    q = (_flat(own) @ between).reshape(own.shape)
+    w = q @ e.transpose(0, 2, 1)
     w += _mask(first)
     # Scores are small; no maximum is taken off before the exponential but a bound kept.
     np.exp(np.minimum(w, 60, out=w), out=w)
     w /= _sums(w)[..., None]
-    m = w @ qkv[..., 2 * DIM :]
-    y = (_flat(m) @ p["O"]).reshape(m.shape)
-    y += e[:, first:]
+    m = w @ e
+    y = (_flat(m) @ after).reshape(m.shape)
+    y += own
     h = _flat(y) @ p["A"]
     h += p["a"]
     h = np.maximum(h, 0, out=h)
     out = (h @ p["B"]).reshape(y.shape)
     out += y
-    return out, (e, qkv, w, m, y, h.reshape(-1, n, HIDDEN))
+    return out, (e, own, q, w, m, y, h.reshape(-1, n, HIDDEN))
 
 
 def log_probs(p: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -342,16 +345,16 @@ def mixtures(model: np.ndarray, base: np.ndarray) -> np.ndarray:
     return out
 
 
-def _loss(z: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed loss of a softmax over the rows of `z`, which is overwritten, and its gradient."""
+def _loss(z: np.ndarray, target: np.ndarray, n: int = 1) -> tuple[float, np.ndarray]:
+    """Summed loss of a softmax over the rows of `z`, which is overwritten, and a nth of its gradient."""
     at = np.arange(len(target))
     if len(z) and (z.max() > 60 or z.min() < -60):
         z -= z.max(axis=1, keepdims=True)
     out = z[at, target].sum()
     np.exp(z, out=z)
     total = _sums(z)
-    z /= total[:, None]
-    z[at, target] -= 1
+    z *= (1 / (total * total.dtype.type(n)))[:, None]
+    z[at, target] -= z.dtype.type(1 / n)
     return float(np.log(total).sum() - out), z
 
 
@@ -371,8 +374,8 @@ def _added(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int = 0) -> tuple[float, dict]:
     """Mean loss of the targets y where ok, which stand at the places from `first` on, and its gradients."""
-    s, (every, qkv, w, m, r, h) = _forward(p, x, first)
-    k, v = qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    s, (every, input_, q, w, m, r, h) = _forward(p, x, first)
+    between, after = _joined(p)
     two = _flat
     g: dict[str, np.ndarray] = {}
     t = y[ok]
@@ -381,7 +384,8 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int
     place = np.flatnonzero(ok)[order]
     t, group, flat = t[order], group[order], _ended(two(s), place)
     heads, members = _outputs(p)
-    loss, d = _loss(flat @ heads.T, group)
+    n = max(1, len(t))
+    loss, d = _loss(flat @ heads.T, group, n)
     own = d.T @ flat
     g["C"], g["c"] = own[:, :DIM], own[:, DIM]
     df = d @ p["C"]
@@ -390,7 +394,7 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int
     z, inner = np.empty((len(t), EACH), flat.dtype), np.empty_like(df)
     for c, at in parts:
         np.matmul(flat[at], members[c].T, out=z[at])
-    more, d = _loss(z, t % EACH)
+    more, d = _loss(z, t % EACH, n)
     own = np.zeros_like(members)
     for c, at in parts:
         np.matmul(d[at].T, flat[at], out=own[c])
@@ -405,19 +409,20 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int
     g["A"], g["a"] = two(r).T @ dh, _totals(dh)
     dr = dh @ p["A"].T
     dr += two(ds)
-    g["O"] = two(m).T @ dr
-    dm = (dr @ p["O"].T).reshape(s.shape)
-    dw = dm @ v.transpose(0, 2, 1)
+    own = two(m).T @ dr
+    g["V"], g["O"] = own @ p["O"].T, p["V"].T @ own
+    dm = (dr @ after.T).reshape(s.shape)
+    dw = dm @ every.transpose(0, 2, 1)
     dw -= _sums(dm * m)[..., None]
     dw *= w
-    d = np.zeros_like(qkv)
-    np.matmul(dw, k, out=d[:, first:, :DIM])
-    np.matmul(dw.transpose(0, 2, 1), qkv[:, first:, :DIM], out=d[..., DIM : 2 * DIM])
-    np.matmul(w.transpose(0, 2, 1), dm, out=d[..., 2 * DIM :])
-    own = two(every).T @ two(d)
-    # qkv holds the scale of the scores already.
-    g["Q"], g["K"], g["V"] = own[:, :DIM] * own.dtype.type(DIM**-0.5), own[:, DIM : 2 * DIM], own[:, 2 * DIM :]
-    de = (two(d) @ _inputs(p).T).reshape(every.shape)
+    dq = dw @ every
+    own = two(input_).T @ two(dq)
+    scale = own.dtype.type(DIM**-0.5)
+    g["Q"], g["K"] = own @ p["K"] * scale, own.T @ p["Q"] * scale
+    # An input is asked, is met by those that ask, and is part of their means.
+    de = dw.transpose(0, 2, 1) @ q
+    de += w.transpose(0, 2, 1) @ dm
+    dr += two(dq) @ between.T
     de[:, first:] += dr.reshape(s.shape)
     g["P"] = _totals(de.reshape(len(de), -1)).reshape(WIDTH, DIM)
     # An id stands for itself at its place and for the one before at the next.
@@ -425,8 +430,7 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, ok: np.ndarray, first: int
     both[..., :DIM], both[:, :-1, DIM:] = de, de[:, 1:]
     both = _added(VOCAB, x.ravel(), two(both))
     g["E"], g["G"] = both[:, :DIM], both[:, DIM:]
-    n = max(1, len(t))
-    return (loss + more) / n, {key: a / a.dtype.type(n) for key, a in g.items()}
+    return (loss + more) / n, g
 
 
 class Trainer:
@@ -453,17 +457,17 @@ class Trainer:
             self.n += 1
             lr = rate * min(1.0, self.n / 20)
             d = np.concatenate([g[k].ravel() for k in self.p])
+            # m and v are 10 and 100 times Adam's, which its last factor makes up for.
             self.m *= np.float32(0.9)
-            self.m += np.float32(0.1) * d
+            self.m += d
             d *= d
-            d *= np.float32(0.01)
             self.v *= np.float32(0.99)
             self.v += d
-            np.divide(self.v, np.float32(1 - 0.99**self.n), out=d)
-            np.sqrt(d, out=d)
-            d += np.float32(1e-8)
+            np.sqrt(self.v, out=d)
+            size_ = math.sqrt(0.01 / (1 - 0.99**self.n))
+            d += np.float32(1e-8 / size_)
             np.divide(self.m, d, out=d)
-            d *= np.float32(lr / (1 - 0.9**self.n))
+            d *= np.float32(0.1 * lr / (1 - 0.9**self.n) / size_)
             self.all -= d
 
 
